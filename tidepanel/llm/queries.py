@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tidepanel.llm import mpegts
+from tidepanel.llm import cuckoo, mixing, mpegts, packing
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -19,8 +20,56 @@ def op5_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mpegts.media_columns(table(spark, sf_dir, "documents"))
 
 
+def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.draw(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+
+
+def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = cuckoo.line_dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return done.select("doc_id", F.col("_n_lines").alias("n_lines"), F.col("_n_dropped").alias("n_dropped"), F.col("_sha256").alias("kept_sha256"))
+
+
+def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.packed(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Query] = {
+    "op4_mixing": op4_mixing,
     "op5_media": op5_media,
+    "op9_line_dedup": op9_line_dedup,
+    "op10_packing": op10_packing,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+OP4_SQL = r"""
+WITH i AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size FROM documents),
+j AS (SELECT *, md5('doc|0|' || coalesce(doc_id::VARCHAR, 'null') || '|' || size) AS h FROM i),
+k AS (SELECT *, ('0x' || substr(h, 1, 8))::BIGINT % 1024 AS block FROM j),
+s AS (SELECT source, sum(size)::BIGINT AS s, row_number() OVER (ORDER BY source NULLS LAST) AS r FROM i GROUP BY source),
+w AS (SELECT *, 1 + (r - 1) % 3 AS w, sum(s) OVER () AS total, sum(1 + (r - 1) % 3) OVER () AS weights FROM s),
+o AS (SELECT *, coalesce(sum(s) OVER p, 0) AS s0, coalesce(sum(w) OVER p, 0) AS w0 FROM w
+      WINDOW p AS (ORDER BY s::DOUBLE / w, r ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+c AS (SELECT *, (total - 3 * s0)::DOUBLE / (weights - w0) * w > 3 * s AS held FROM o),
+l AS (SELECT *, (total - 3 * coalesce(sum(CASE WHEN held THEN s END) OVER (), 0))::DOUBLE / (weights - coalesce(sum(CASE WHEN held THEN w END) OVER (), 0)) AS level FROM c),
+t AS (SELECT source, s AS source_size, r, CASE WHEN held THEN (3 * s)::DOUBLE ELSE level * w END AS target FROM l),
+q AS (SELECT *, CASE WHEN source_size > 0 THEN floor(floor(target + 0.5) / source_size)::BIGINT ELSE 0 END AS passes FROM t),
+u AS (SELECT *, (floor(target + 0.5) - passes * source_size)::BIGINT AS rest FROM q),
+b AS (SELECT source, block, sum(size) AS block_size FROM k GROUP BY ALL HAVING sum(size) > 0),
+d AS (SELECT b.source, b.block, u.rest - coalesce(sum(block_size) OVER (PARTITION BY r ORDER BY md5('block|0|' || r || '|' || passes || '|' || block), block
+      ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS room FROM b JOIN u ON b.source IS NOT DISTINCT FROM u.source),
+e AS (SELECT k.*, coalesce(sum(size) OVER (PARTITION BY source, block ORDER BY h, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM k)
+SELECT e.doc_id, e.size, u.source_size, u.target,
+       (u.passes * e.size + greatest(0, least(e.size, coalesce(d.room, 0) - e.before)))::BIGINT AS taken
+FROM e JOIN u ON e.source IS NOT DISTINCT FROM u.source
+LEFT JOIN d ON e.source IS NOT DISTINCT FROM d.source AND e.block = d.block
+"""
+
+OP9_SQL = r"""
+WITH l AS (SELECT doc_id, p.p AS place, p.x AS line, translate(trim(p.x, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key
+  FROM (SELECT doc_id, unnest(list_transform(string_split(coalesce(text, ''), chr(10)), lambda x, i: {'p': i, 'x': x})) AS p FROM documents)),
+k AS (SELECT key, max(doc_id) AS last_doc FROM l WHERE length(key) >= 20 GROUP BY key HAVING count(DISTINCT doc_id) >= 3)
+SELECT doc_id, count(*)::BIGINT AS n_lines, count(*) FILTER (k.key IS NOT NULL AND doc_id <> last_doc)::BIGINT AS n_dropped,
+  sha256(coalesce(string_agg(line, chr(10) ORDER BY place) FILTER (k.key IS NULL OR doc_id = last_doc), '')) AS kept_sha256
+FROM l LEFT JOIN k ON l.key = k.key GROUP BY doc_id
+"""
+
+ORACLE_SQL: dict[str, str] = {"op4_mixing": OP4_SQL, "op9_line_dedup": OP9_SQL}
