@@ -66,6 +66,7 @@ class Words:
     start: np.ndarray
     end: np.ndarray
     per_doc: np.ndarray
+    doc_bytes: np.ndarray
 
     @property
     def doc(self) -> np.ndarray:
@@ -86,10 +87,10 @@ class Words:
         return pa.LargeStringArray.from_buffers(len(which), pa.py_buffer(offsets.tobytes()), pa.py_buffer(data.tobytes()))
 
 
-def words(data: np.ndarray, offsets: np.ndarray, lower: bool = True) -> Words:
+def words(data: np.ndarray, offsets: np.ndarray, lower: bool = True, outside: np.ndarray = SPACE) -> Words:
     if lower:
         data = LOWER[data]
-    inside = ~SPACE[data]
+    inside = ~outside[data]
     n = len(data)
     before, after = np.zeros(n, bool), np.zeros(n, bool)
     before[1:], after[:-1] = inside[:-1], inside[1:]
@@ -98,7 +99,7 @@ def words(data: np.ndarray, offsets: np.ndarray, lower: bool = True) -> Words:
     edges = offsets[offsets > 0] - 1
     after[edges] = False
     start, end = np.flatnonzero(inside & ~before), np.flatnonzero(inside & ~after) + 1
-    return Words(data, start, end, np.diff(np.searchsorted(start, offsets)))
+    return Words(data, start, end, np.diff(np.searchsorted(start, offsets)), np.diff(offsets))
 
 
 def runs(offsets: np.ndarray, most: int = 2 << 20) -> Iterator[tuple[int, int]]:
@@ -110,11 +111,11 @@ def runs(offsets: np.ndarray, most: int = 2 << 20) -> Iterator[tuple[int, int]]:
         i = j
 
 
-def word_runs(texts: pa.Array, lower: bool = True, most: int = 2 << 20) -> Iterator[tuple[int, int, Words]]:
+def word_runs(texts: pa.Array, lower: bool = True, most: int = 2 << 20, outside: np.ndarray = SPACE) -> Iterator[tuple[int, int, Words]]:
     """(first document, end, their words) over the whole array."""
     data, offsets = utf8(texts)
     for i, j in runs(offsets, most):
-        yield i, j, words(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], lower)
+        yield i, j, words(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], lower, outside)
 
 
 def shingles(w: Words, k: int) -> tuple[np.ndarray, np.ndarray]:
