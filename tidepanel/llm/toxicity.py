@@ -240,7 +240,7 @@ def _among(h: np.ndarray, known: np.ndarray) -> np.ndarray:
 
 @dataclass
 class Model:
-    """The channel, the toxic forms' hashes in order, which of them have a high lift, and the regression's weights."""
+    """The channel, the toxic forms' hashes in order, which of them hardly any other text holds, and the regression's weights."""
 
     channel: Channel | None
     words: np.ndarray
@@ -406,7 +406,7 @@ def learn(docs: DataFrame, labels: DataFrame, most_labels: int = MOST_LABELS) ->
     channel = language_model(corpus_trigrams(docs.where(~held_out(F.col("doc_id")))), lexicon["text"].tolist())
     codes = lexicon["h"].to_numpy().view(np.uint64)
     order = np.argsort(codes)
-    model = Model(channel, codes[order], (lexicon["lift"] >= HIGH_LIFT).to_numpy()[order], np.zeros(0))
+    model = Model(channel, codes[order], (lexicon["toxic"] >= 20 * lexicon["other"]).to_numpy()[order], np.zeros(0))
 
     def measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
