@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidepanel.llm import cuckoo, htmlcut, mixing, mpegts, packing, quality, toxicity
+from tidepanel.llm import cuckoo, htmlcut, lattice, mixing, mpegts, packing, quality, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -36,6 +36,10 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.scored(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op7_lattice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lattice.scored(table(spark, sf_dir, "documents"))
+
+
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     done = cuckoo.line_dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return done.select("doc_id", F.col("_n_lines").alias("n_lines"), F.col("_n_dropped").alias("n_dropped"), F.col("_sha256").alias("kept_sha256"))
@@ -51,6 +55,7 @@ QUERIES: dict[str, Query] = {
     "op4_mixing": op4_mixing,
     "op5_media": op5_media,
     "op6_toxicity": op6_toxicity,
+    "op7_lattice": op7_lattice,
     "op9_line_dedup": op9_line_dedup,
     "op10_packing": op10_packing,
 }
