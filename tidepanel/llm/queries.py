@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidepanel.llm import cuckoo, htmlcut, lattice, mixing, mpegts, packing, quality, toxicity
+from tidepanel.llm import cuckoo, htmlcut, lattice, mixing, mpegts, packing, quality, toxicity, vectors
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -24,6 +24,10 @@ def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.scored(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op2_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def op3_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return htmlcut.extracted(table(spark, sf_dir, "pages"))
 
@@ -51,6 +55,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     "op1_quality": op1_quality,
+    "op2_vectors": op2_vectors,
     "op3_html": op3_html,
     "op4_mixing": op4_mixing,
     "op5_media": op5_media,
