@@ -42,26 +42,45 @@ def connected_components(edges: DataFrame, most_rounds: int = 100) -> DataFrame:
     return now.select(F.col("src").alias("id"), F.col("dst").alias("component")).unionByName(now.select(F.col("dst").alias("id"), F.col("dst").alias("component")).distinct())
 
 
-def groups(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[pa.Table]:
-    """Whole runs of rows with equal integer keys in the first ``keys`` columns, over the batches' edges."""
+def repeated(rows: DataFrame, classes: DataFrame, key: list[str]) -> DataFrame:
+    """(src, dst): from each id that several of the ``rows`` (src, *key) have to its classes' ids dst."""
+    twice = rows.groupBy("src").agg(F.count("*").alias("n")).where("n > 1").select("src")
+    return rows.join(twice, "src", "left_semi").join(classes, key).select("src", "dst").where("src <> dst").distinct()
+
+
+def stretches(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[tuple[pa.Table, np.ndarray]]:
+    """Stretches of rows, and the places where a new run of equal integers in the first ``keys`` columns begins.
+
+    Runs are whole, over the batches' edges too; the places end with the number of rows.
+    """
     held: list[pa.RecordBatch] = []
-    last = None
+
+    def cut_up() -> tuple[pa.Table, np.ndarray]:
+        t = pa.Table.from_batches(held).combine_chunks()
+        k = np.stack([t.column(i).to_numpy() for i in range(keys)], 1)
+        return t, np.concatenate([[0], np.flatnonzero((k[1:] != k[:-1]).any(1)) + 1, [len(k)]])
+
     for b in batches:
         if not b.num_rows:
             continue
         k = np.stack([b.column(i).to_numpy() for i in range(keys)], 1)
-        edges = np.flatnonzero((k[1:] != k[:-1]).any(1)) + 1
-        if held and (k[0] != last).any():
-            yield pa.Table.from_batches(held)
-            held = []
-        at = 0
-        for e in edges.tolist():
-            yield pa.Table.from_batches([*held, b.slice(at, e - at)])
-            held, at = [], e
-        held.append(b.slice(at))
-        last = k[-1]
+        new = np.flatnonzero((k != k[-1]).any(1))
+        last = int(new[-1]) + 1 if len(new) else 0  # the last run may go on in the next batch
+        if last or held and (np.array([held[-1].column(i)[held[-1].num_rows - 1].as_py() for i in range(keys)]) != k[0]).any():
+            if last:
+                held.append(b.slice(0, last))
+            yield cut_up()
+            held.clear()
+        held.append(b.slice(last))
     if held:
-        yield pa.Table.from_batches(held)
+        yield cut_up()
+
+
+def groups(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[pa.Table]:
+    """The runs of :func:`stretches` one by one."""
+    for t, at in stretches(batches, keys):
+        for i, j in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
+            yield t.slice(i, j - i)
 
 
 def forest(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidepanel.llm import cuckoo, htmlcut, lattice, mixing, mpegts, packing, quality, toxicity, vectors
+from tidepanel.llm import chosenpath, cuckoo, htmlcut, lattice, mixing, mpegts, packing, quality, toxicity, vectors
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -44,6 +44,10 @@ def op7_lattice(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lattice.scored(table(spark, sf_dir, "documents"))
 
 
+def op8_chosen_path(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chosenpath.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     done = cuckoo.line_dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return done.select("doc_id", F.col("_n_lines").alias("n_lines"), F.col("_n_dropped").alias("n_dropped"), F.col("_sha256").alias("kept_sha256"))
@@ -61,6 +65,7 @@ QUERIES: dict[str, Query] = {
     "op5_media": op5_media,
     "op6_toxicity": op6_toxicity,
     "op7_lattice": op7_lattice,
+    "op8_chosen_path": op8_chosen_path,
     "op9_line_dedup": op9_line_dedup,
     "op10_packing": op10_packing,
 }

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidepanel.llm.components import connected_components, forest, groups
+from tidepanel.llm.components import connected_components, forest, groups, repeated
 from tidepanel.llm.store import saved
 
 
@@ -137,9 +137,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.9, tables: int = 24
     own = saved(rows.where("key is not null").groupBy("key").agg(F.min("vec_id").alias("id"), F.count("*").alias("copies"), F.first("vector").alias("vector")), "classes")
     found = saved(links(own.select("id", "copies", "vector"), threshold, tables, bits, seed, block), "links")
     counts = found.groupBy("id").agg(F.sum("n").alias("n"))
-    # Rows that repeat an id tie their classes together.
-    shared = rows.where("key is not null").select("vec_id", "key").join(own.select("key", "id"), "key").where("vec_id <> id").select(F.col("vec_id").alias("src"), F.col("id").alias("dst"))
-    twice = shared.join(own.select(F.col("id").alias("src")), "src", "left_semi")
+    twice = repeated(rows.where("key is not null").select(F.col("vec_id").alias("src"), "key"), own.select("key", F.col("id").alias("dst")), ["key"])
     parts = connected_components(found.where("other is not null").select(F.col("id").alias("src"), F.col("other").alias("dst")).unionByName(twice))
     whole = own.select("key", "id", "copies").join(counts, "id", "left").join(parts, "id", "left")
     whole = whole.select("key", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "id").alias("component_id"))
