@@ -16,8 +16,9 @@ blocks compared, so none is cut short.
 Small nodes are compared exhaustively by their tokens (:func:`candidates`), and what may reach the
 threshold is confirmed on the full sets, taken anew from the whole texts (:func:`confirmed`). Not all pairs
 of a large group of copies are confirmed: what matters is which classes hang together. First each node
-proposes a forest of its most similar pairs; then, with what has been confirmed as one component, the
-best pair of each two components in a node; last all pairs between different components. So no two
+proposes a forest of its most similar pairs (of blocks, within each and with the first); then, with what
+has been confirmed as one component, the best pair of each two components in a node; last all pairs
+between different components. Nodes and blocks that are within one component are done with. So no two
 documents whose sets reach the threshold and that met stay apart.
 
 Null texts count as empty. Null ids link with nothing. Repeated ids are rows of their own and count as one
@@ -185,7 +186,9 @@ def candidates(units: DataFrame, classes: DataFrame, least: int, how: str) -> Da
     """
     kind = dict(classes.dtypes)["id"]
     key = ["node", "low", "high"]
-    if how != "forest":  # units of one component have nothing left to find
+    if how == "forest":
+        units = units.where("low = high or low = 0")
+    else:  # units of one component have nothing left to find
         units = units.join(classes.select("id", "component"), "id")
         mixed = units.groupBy(key).agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select(key)
         units = cut(units.drop("component").join(mixed, key, "left_semi"))
@@ -235,7 +238,7 @@ def confirmed(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataF
     return one.join(texts.select(F.col("id").alias("b"), F.col("text").alias("y")), "b").select("a", "b", "x", "y").mapInArrow(run, f"a {kind}, b {kind}")
 
 
-def near_duplicates(docs: DataFrame, k: int = 3, percent: int = 85, trees: int = 10, small: int = 256, depth: int = 8) -> DataFrame:
+def near_duplicates(docs: DataFrame, k: int = 3, percent: int = 85, trees: int = 10, small: int = 256, depth: int = 4) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id and kept."""
     threshold = percent / 100
     sketch = saved(sketches(docs, k), "sketches")
@@ -244,10 +247,10 @@ def near_duplicates(docs: DataFrame, k: int = 3, percent: int = 85, trees: int =
     spread = 3.6 * (TOKENS * threshold * (1 - threshold)) ** 0.5
     least = max(1, int(TOKENS * threshold - spread))
     done, large = nodes(own, threshold, trees, small, depth)
-    units = cells(done, large, small)
+    units = saved(cells(done, large, small), "units")
     texts = docs.where("doc_id is not null").select(F.col("doc_id").alias("id"), F.col("text").cast("string").alias("text"))
     same = cut(repeated(can.select(F.col("doc_id").alias("src"), "k1", "k2"), own.select("k1", "k2", F.col("id").alias("dst")), ["k1", "k2"]))
-    now, edges, tried = own.withColumn("component", F.col("id")), same, None
+    now, ties, tried = own.withColumn("component", F.col("id")), same, None
     for how in ("forest", "best", "all"):
         pairs = cut(candidates(units, now, least, how))
         if tried is not None:
@@ -257,8 +260,8 @@ def near_duplicates(docs: DataFrame, k: int = 3, percent: int = 85, trees: int =
         needed = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
         links = cut(confirmed(pairs, texts.join(needed, "id", "left_semi"), k, percent))
         tried = pairs if tried is None else tried.unionByName(pairs)
-        edges = edges.unionByName(links.select(F.col("a").alias("src"), F.col("b").alias("dst")))
-        parts = cut(connected_components(edges))
+        parts = cut(connected_components(ties.unionByName(links.select(F.col("a").alias("src"), F.col("b").alias("dst")))))
+        ties = parts.select(F.col("id").alias("src"), F.col("component").alias("dst"))
         now = own.join(parts, "id", "left").withColumn("component", F.coalesce("component", "id"))
     members = sketch.select("doc_id", "n_shingles", "k1", "k2", (F.col("tokens").isNotNull() & F.col("doc_id").isNotNull()).alias("can"))
     whole = now.select("k1", "k2", "id", "component", F.lit(True).alias("can"))
