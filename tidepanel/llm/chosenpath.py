@@ -5,21 +5,24 @@ lower-cased); with fewer words, their whole sequence; without words it is empty
 Documents with equal sets are one class. Each class has ``TOKENS`` minwise tokens, one for each of as many
 hash functions; two sets agree in a share of them that is close to their Jaccard similarity.
 
-Join trees (:func:`nodes`): at the root, and at every node of more than ``small`` classes, a few hash
+Join trees (:func:`roots`, :func:`deeper`): at the root, and at every node that is too large, a few hash
 functions are chosen at random (by the node's path), one for sure and another with the probability that
 makes 1 / threshold of them on average, and each class goes to the child named by its token of each. Similar
 classes share a token with the probability of their similarity, so on average a pair at the threshold
 meets in as many children as it left behind; ``trees`` independent trees bring the chance to meet close to
-1. Nodes of one class end. Nodes still large after ``depth`` branchings are cut into blocks, and every two
-blocks compared, so none is cut short.
+1. Nodes of one class end.
 
-Small nodes are compared exhaustively by their tokens (:func:`candidates`), and what may reach the
-threshold is confirmed on the full sets, taken anew from the whole texts (:func:`confirmed`). Not all pairs
-of a large group of copies are confirmed: what matters is which classes hang together. First each node
-proposes a forest of its most similar pairs (of blocks, within each and with the first); then, with what
-has been confirmed as one component, the best pair of each two components in a node; last all pairs
-between different components. Nodes and blocks that are within one component are done with. So no two
-documents whose sets reach the threshold and that met stay apart.
+Nodes of at most ``small`` classes are compared exhaustively by their tokens (:func:`candidates`), and what
+may reach the threshold is confirmed on the full sets, taken anew from the whole texts (:func:`confirmed`).
+What matters is which classes hang together, so not all pairs of a large group of copies are confirmed. In
+a larger node each class is first compared with one block of it. What that ties together is one component,
+and pairs within it have nothing left to show: a node that is one component is done; one with few classes
+beside its largest component compares these with all; others branch on. What is still large after
+``depth`` branchings is cut into blocks, and every two blocks compared, so none is cut short.
+
+Small nodes and blocks first propose a forest of their most similar pairs; then, with what has been
+confirmed as one component, the best pair of each two components; last all pairs between different
+components. So no two documents whose sets reach the threshold and that met stay apart.
 
 Null texts count as empty. Null ids link with nothing. Repeated ids are rows of their own and count as one
 node. Ties are broken by the least id. An empty table gives an empty result. Columns of other names are
@@ -29,10 +32,11 @@ left alone.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidepanel.llm import textvec as T
@@ -94,44 +98,71 @@ def branch(node: np.ndarray, own: np.ndarray, threshold: float) -> tuple[np.ndar
     return np.concatenate(rows), np.concatenate(children)
 
 
-def nodes(classes: DataFrame, threshold: float, trees: int, small: int, depth: int) -> tuple[DataFrame, DataFrame]:
-    """(node, id) of the nodes to compare, of 2 to ``small`` classes each; and of those still larger at the last depth."""
+def roots(classes: DataFrame, threshold: float, trees: int) -> DataFrame:
+    """(node, id): the children of every tree's root."""
     kind = dict(classes.dtypes)["id"]
 
-    def roots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             own = np.frombuffer(b"".join(b.column(1).to_pylist()), np.uint32).reshape(-1, TOKENS)
             for tree in range(trees):
                 rows, children = branch(T.mix(np.full(len(own), tree + 1, np.uint64)), own, threshold)
                 yield pa.record_batch([pa.array(children.view(np.int64)), b.column(0).take(pa.array(rows))], ["node", "id"])
 
-    def deeper(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    return classes.select("id", "tokens").mapInArrow(run, f"node long, id {kind}")
+
+
+def deeper(rows: DataFrame, classes: DataFrame, threshold: float) -> DataFrame:
+    """(node, id): the children of the nodes of ``rows``."""
+    kind = dict(classes.dtypes)["id"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             own = np.frombuffer(b"".join(b.column(2).to_pylist()), np.uint32).reshape(-1, TOKENS)
             rows, children = branch(b.column(0).to_numpy().view(np.uint64), own, threshold)
             yield pa.record_batch([pa.array(children.view(np.int64)), b.column(1).take(pa.array(rows))], ["node", "id"])
 
-    schema = f"node long, id {kind}"
-    now = classes.select("id", "tokens").mapInArrow(roots, schema)
-    done = None
-    for level in range(depth + 1):
-        sizes = now.groupBy("node").agg(F.count("*").alias("m")).where("m > 1")
-        sized = saved(now.join(sizes, "node"), "nodes")
-        ready = sized.where(F.col("m") <= small).select("node", "id")
-        done = ready if done is None else done.unionByName(ready)
-        large = sized.where(F.col("m") > small)
-        if level == depth or large.isEmpty():
-            return done, large
-        now = large.select("node", "id").join(classes.select("id", "tokens"), "id").select("node", "id", "tokens").mapInArrow(deeper, schema)
-    raise AssertionError
+    return rows.select("node", "id").join(classes.select("id", "tokens"), "id").select("node", "id", "tokens").mapInArrow(run, f"node long, id {kind}")
+
+
+CELL = ["node", "low", "high"]
+
+
+def _block(parts: Column) -> Column:
+    return F.pmod(F.xxhash64("id"), parts).cast("int")
+
 
+def whole(rows: DataFrame) -> DataFrame:
+    """(node, low, high, part, id): a unit of comparison for each node."""
+    zero = F.lit(0)
+    return rows.select("node", zero.alias("low"), zero.alias("high"), zero.alias("part"), "id")
 
-def cells(done: DataFrame, large: DataFrame, small: int) -> DataFrame:
-    """(node, low, high, part, id): units of comparison; the blocks of large nodes two by two."""
-    whole = done.select("node", F.lit(0).alias("low"), F.lit(0).alias("high"), F.lit(0).alias("part"), "id")
-    parts = large.withColumn("parts", F.ceil(F.col("m") * 2 / small).cast("int")).withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
+
+def first_block(rows: DataFrame, small: int) -> DataFrame:
+    """Units that compare the first of a node's blocks with each of them."""
+    parts = rows.withColumn("parts", F.ceil(F.col("m") * 2 / small).cast("int")).withColumn("part", _block(F.col("parts")))
+    highs = F.when(F.col("part") == 0, F.sequence(F.lit(0), F.col("parts") - 1)).otherwise(F.array("part"))
+    return parts.select("node", F.lit(0).alias("low"), F.explode(highs).alias("high"), "part", "id")
+
+
+def all_blocks(rows: DataFrame, small: int) -> DataFrame:
+    """Units that compare a node's blocks two by two."""
+    parts = rows.withColumn("parts", F.ceil(F.col("m") * 2 / small).cast("int")).withColumn("part", _block(F.col("parts")))
     parts = parts.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    return whole.unionByName(parts.select("node", F.least("part", "with").alias("low"), F.greatest("part", "with").alias("high"), "part", "id"))
+    return parts.select("node", F.least("part", "with").alias("low"), F.greatest("part", "with").alias("high"), "part", "id")
+
+
+def settled(rows: DataFrame, parts: DataFrame, small: int) -> tuple[DataFrame, DataFrame]:
+    """Of large nodes: units that compare what few classes are beside a node's largest component with the whole; and the rows that branch on."""
+    held = rows.select("node", "id").join(parts, "id")
+    per = held.groupBy("node", "component").agg(F.count("*").alias("n")).groupBy("node").agg(F.max(F.struct("n", "component")).alias("top"), F.sum("n").alias("m"))
+    per = per.select("node", "m", F.col("top.n").alias("n"), F.col("top.component").alias("giant")).where("m > n")
+    few = held.join(per.where(F.col("m") - F.col("n") <= small), "node").withColumn("parts", F.ceil(F.col("n") / small).cast("int"))
+    part = F.when(F.col("component") == F.col("giant"), 1 + _block(F.col("parts"))).otherwise(0)
+    few = few.withColumn("part", part)
+    highs = F.when(F.col("part") == 0, F.sequence(F.lit(0), F.col("parts"))).otherwise(F.array("part"))
+    units = few.select("node", F.lit(0).alias("low"), F.explode(highs).alias("high"), "part", "id")
+    return units, rows.join(per.where(F.col("m") - F.col("n") > small).select("node"), "node", "left_semi")
 
 
 def _meeting(own: np.ndarray, at: np.ndarray, part: np.ndarray, low: np.ndarray, high: np.ndarray, parts: np.ndarray, least: int, few: int = 16) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -185,13 +216,10 @@ def candidates(units: DataFrame, classes: DataFrame, least: int, how: str) -> Da
     pair of each two components; "all" every pair.
     """
     kind = dict(classes.dtypes)["id"]
-    key = ["node", "low", "high"]
-    if how == "forest":
-        units = units.where("low = high or low = 0")
-    else:  # units of one component have nothing left to find
-        units = units.join(classes.select("id", "component"), "id")
-        mixed = units.groupBy(key).agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select(key)
-        units = cut(units.drop("component").join(mixed, key, "left_semi"))
+    if how != "forest":  # units of one component have nothing left to find
+        units = saved(units.join(classes.select("id", "component"), "id"), "held")
+        mixed = units.groupBy(CELL).agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select(CELL)
+        units = units.drop("component").join(mixed, CELL, "left_semi")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for g, at in stretches(batches, 3):
@@ -209,8 +237,8 @@ def candidates(units: DataFrame, classes: DataFrame, least: int, how: str) -> Da
                 a, b = a[keep], b[keep]
             yield pa.record_batch([pa.array(np.minimum(ids[a], ids[b])), pa.array(np.maximum(ids[a], ids[b]))], ["a", "b"])
 
-    rows = units.join(classes.select("id", "tokens", "component"), "id").select(*key, "part", "id", "tokens", "component")
-    return rows.repartition(*key).sortWithinPartitions(*key, "id").mapInArrow(run, f"a {kind}, b {kind}").distinct()
+    rows = units.join(classes.select("id", "tokens", "component"), "id").select(*CELL, "part", "id", "tokens", "component")
+    return rows.repartition(*CELL).sortWithinPartitions(*CELL, "id").mapInArrow(run, f"a {kind}, b {kind}").distinct()
 
 
 def confirmed(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
@@ -238,7 +266,7 @@ def confirmed(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataF
     return one.join(texts.select(F.col("id").alias("b"), F.col("text").alias("y")), "b").select("a", "b", "x", "y").mapInArrow(run, f"a {kind}, b {kind}")
 
 
-def near_duplicates(docs: DataFrame, k: int = 3, percent: int = 85, trees: int = 10, small: int = 256, depth: int = 4) -> DataFrame:
+def near_duplicates(docs: DataFrame, k: int = 3, percent: int = 85, trees: int = 10, small: int = 512, depth: int = 4) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id and kept."""
     threshold = percent / 100
     sketch = saved(sketches(docs, k), "sketches")
@@ -246,25 +274,47 @@ def near_duplicates(docs: DataFrame, k: int = 3, percent: int = 85, trees: int =
     own = saved(can.groupBy("k1", "k2").agg(F.min("doc_id").alias("id"), F.first("tokens").alias("tokens")), "sets")
     spread = 3.6 * (TOKENS * threshold * (1 - threshold)) ** 0.5
     least = max(1, int(TOKENS * threshold - spread))
-    done, large = nodes(own, threshold, trees, small, depth)
-    units = saved(cells(done, large, small), "units")
     texts = docs.where("doc_id is not null").select(F.col("doc_id").alias("id"), F.col("text").cast("string").alias("text"))
-    same = cut(repeated(can.select(F.col("doc_id").alias("src"), "k1", "k2"), own.select("k1", "k2", F.col("id").alias("dst")), ["k1", "k2"]))
-    now, ties, tried = own.withColumn("component", F.col("id")), same, None
-    for how in ("forest", "best", "all"):
-        pairs = cut(candidates(units, now, least, how))
-        if tried is not None:
-            pairs = pairs.join(tried, ["a", "b"], "left_anti")
+    ties = cut(repeated(can.select(F.col("doc_id").alias("src"), "k1", "k2"), own.select("k1", "k2", F.col("id").alias("dst")), ["k1", "k2"]))
+    now, tried = own.withColumn("component", F.col("id")), None
+
+    def look(units: DataFrame, how: str) -> None:
+        """Takes over what the units' candidates show."""
+        nonlocal now, ties, tried
+        pairs = candidates(units, now, least, how)
+        pairs = cut(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"))
         if pairs.isEmpty():
-            break
+            return
         needed = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-        links = cut(confirmed(pairs, texts.join(needed, "id", "left_semi"), k, percent))
+        links = confirmed(pairs, texts.join(needed, "id", "left_semi"), k, percent)
         tried = pairs if tried is None else tried.unionByName(pairs)
         parts = cut(connected_components(ties.unionByName(links.select(F.col("a").alias("src"), F.col("b").alias("dst")))))
         ties = parts.select(F.col("id").alias("src"), F.col("component").alias("dst"))
         now = own.join(parts, "id", "left").withColumn("component", F.coalesce("component", "id"))
+
+    level, units, rows = 0, [], roots(own, threshold, trees)
+    while True:
+        sized = saved(rows.join(rows.groupBy("node").agg(F.count("*").alias("m")).where("m > 1"), "node"), "nodes")
+        units.append(whole(sized.where(F.col("m") <= small)))
+        large = sized.where(F.col("m") > small)
+        if large.isEmpty():
+            break
+        look(first_block(large, small), "forest")
+        few, large = settled(large, now.select("id", "component"), small)
+        units.append(few)
+        level += 1
+        if level > depth:
+            units.append(all_blocks(large, small))
+            break
+        large = cut(large)
+        if large.isEmpty():
+            break
+        rows = deeper(large, own, threshold)
+    units = saved(reduce(DataFrame.unionByName, units), "units")
+    for how in ("forest", "best", "all"):
+        look(units, how)
     members = sketch.select("doc_id", "n_shingles", "k1", "k2", (F.col("tokens").isNotNull() & F.col("doc_id").isNotNull()).alias("can"))
-    whole = now.select("k1", "k2", "id", "component", F.lit(True).alias("can"))
-    out = members.join(whole, ["k1", "k2", "can"], "left")
+    found = now.select("k1", "k2", "component", F.lit(True).alias("can"))
+    out = members.join(found, ["k1", "k2", "can"], "left")
     component = F.coalesce("component", "doc_id")
     return out.select("doc_id", "n_shingles", component.alias("component_id"), component.eqNullSafe(F.col("doc_id")).alias("kept"))
