@@ -14,9 +14,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidepanel.functions import columns as C
-from tidepanel.operators import clean, joins, profile, reshape, rows, scale, split, windows
+from tidepanel.operators import clean, evaluation, joins, profile, reshape, rows, scale, split, windows
 from tidepanel.operators.windows import by_ticker
 from tidepanel.plans import features
+from tidepanel.streaming import daily
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -640,3 +641,63 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return f.orderBy("Ticker", "Date")
 
 
+
+
+# Evaluation
+
+
+@register("yearly_return_rank", f"WITH {VALID}, y AS (SELECT k, cast(year(d) AS int) AS y, arg_max(px, d) / nullif(arg_min(px, d), 0) - 1 AS t FROM valid GROUP BY 1, 2) SELECT k, y, round(t, 6) AS total_return, cast(row_number() OVER (PARTITION BY y ORDER BY t DESC NULLS LAST, k) AS int) AS rank FROM y")
+def _(s: SparkSession, d: str) -> DataFrame:
+    return evaluation.yearly_returns(valid(s, d)).select(F.col("Ticker").alias("k"), "y", r6("total_return").alias("total_return"), "rank")
+
+
+@register("sign_label", f"WITH {EXCESS} SELECT d, k, cast(CASE WHEN target IS NOT NULL THEN CASE WHEN target > 0 THEN 1 ELSE 0 END END AS double) AS label FROM x")
+def _(s: SparkSession, d: str) -> DataFrame:
+    return dk(evaluation.signs(excess(s, d)), label=F.col("label").cast("double"))
+
+
+CURVE = RET + """, e AS (SELECT *, exp(sum(ln(1 + coalesce(r, 0))) OVER (PARTITION BY k ORDER BY d ROWS UNBOUNDED PRECEDING)) AS equity FROM ret),
+  c AS (SELECT *, equity / max(equity) OVER (PARTITION BY k ORDER BY d ROWS UNBOUNDED PRECEDING) - 1 AS drawdown FROM e)"""
+
+
+def curve(s: SparkSession, d: str) -> DataFrame:
+    return evaluation.equity_curve(returns(s, d).withColumnRenamed("Return_raw", "r"))
+
+
+@register("equity_curve", f"WITH {CURVE} SELECT d, k, round(equity, 5) AS equity, round(drawdown, 6) AS drawdown FROM c")
+def _(s: SparkSession, d: str) -> DataFrame:
+    return dk(curve(s, d), equity=r6("equity", 5), drawdown=r6("drawdown"))
+
+
+@register("performance", f"WITH {CURVE} SELECT k, round(pow(arg_max(equity, d), 52.0 / count(*)) - 1, 6) AS cagr, round(avg(r) / nullif(stddev_samp(r), 0) * sqrt(52), 6) AS sharpe, round(min(drawdown), 6) AS max_drawdown FROM c GROUP BY k")
+def _(s: SparkSession, d: str) -> DataFrame:
+    return evaluation.performance(curve(s, d)).select(F.col("Ticker").alias("k"), *(r6(c).alias(c) for c in ("cagr", "sharpe", "max_drawdown")))
+
+
+@register("beta_hedge", f"WITH {EXCESS} SELECT k, round(covar_samp(r, br) / nullif(var_samp(CASE WHEN r IS NOT NULL THEN br END), 0), 6) AS beta FROM x GROUP BY k")
+def _(s: SparkSession, d: str) -> DataFrame:
+    return evaluation.betas(excess(s, d), "Return_raw", "Bench_Return_raw").select(F.col("Ticker").alias("k"), r6("beta").alias("beta"))
+
+
+IC = FEAT + f", pair AS (SELECT d, k, ma20, fwd FROM feat WHERE ma20 IS NOT NULL AND fwd IS NOT NULL), ranks AS (SELECT d, {rank_sql('ma20')} AS a, {rank_sql('fwd')} AS b FROM pair)"
+
+
+@register("rank_ic", f"WITH {IC.replace('round(CASE', '(CASE').replace('END, 6)', 'END)')} SELECT d, round({corr_sql('a', 'b')}, 6) AS ic FROM ranks GROUP BY d")
+def _(s: SparkSession, d: str) -> DataFrame:
+    return evaluation.information_coefficients(returns(s, d), "Return_MA20", "Ret_5d_fwd").select(F.col("Date").alias("d"), r6("ic").alias("ic"))
+
+
+@register("precision_at_5", f"WITH {IC}, o AS (SELECT *, row_number() OVER (PARTITION BY d ORDER BY ma20 DESC, k) AS n FROM pair) SELECT d, round(avg(CASE WHEN fwd > 0 THEN 1.0 ELSE 0.0 END), 6) AS precision FROM o WHERE n <= 5 GROUP BY d")
+def _(s: SparkSession, d: str) -> DataFrame:
+    return evaluation.precision_at(returns(s, d), "Return_MA20", "Ret_5d_fwd", 5).select(F.col("Date").alias("d"), r6("precision").alias("precision"))
+
+
+@register("stability_index", f"WITH {PANEL}, b AS (SELECT CASE WHEN px >= 1700 THEN 3 WHEN px >= 1500 THEN 2 WHEN px >= 1300 THEN 1 ELSE 0 END AS bin, d < DATE '1999-01-01' AS train FROM panel WHERE px IS NOT NULL), n AS (SELECT bin, count(*) FILTER (WHERE train) AS a, count(*) FILTER (WHERE NOT train) AS b FROM b GROUP BY bin), p AS (SELECT greatest(a / cast(sum(a) OVER () AS double), 1e-6) AS a, greatest(b / cast(sum(b) OVER () AS double), 1e-6) AS b FROM n) SELECT round(sum((b - a) * ln(b / a)), 6) AS psi FROM p")
+def _(s: SparkSession, d: str) -> DataFrame:
+    p, day = panel(s, d), F.lit("1999-01-01").cast("date")
+    return evaluation.stability(p.where(F.col("Date") < day), p.where(F.col("Date") >= day), "Price", [1300.0, 1500.0, 1700.0]).select(r6("psi").alias("psi"))
+
+
+@register("daily_panel", "SELECT cast(ts AS date) AS d, event_type AS k, round(avg(value), 6) AS px, count(*) AS vol FROM events GROUP BY 1, 2")
+def _(s: SparkSession, d: str) -> DataFrame:
+    return dk(daily.daily_panel(table(s, d, "events")), px=r6("Price"), vol=F.col("Volume"))
