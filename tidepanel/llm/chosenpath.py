@@ -15,14 +15,15 @@ meets in as many children as it left behind; ``trees`` independent trees bring t
 Nodes of at most ``small`` classes are compared exhaustively by their tokens (:func:`candidates`), and what
 may reach the threshold is confirmed on the full sets, taken anew from the whole texts (:func:`confirmed`).
 What matters is which classes hang together, so not all pairs of a large group of copies are confirmed. In
-a larger node each class is first compared with one block of it. What that ties together is one component,
-and pairs within it have nothing left to show: a node that is one component is done; one with few classes
-beside its largest component compares these with all; others branch on. What is still large after
+a large node below a root each class is first compared with one block of it. What that ties together is
+one component, and pairs within it have nothing left to show: a node that is one component is done; one
+with few classes beside its largest component compares these with all; others branch on. What is still large after
 ``depth`` branchings is cut into blocks, and every two blocks compared, so none is cut short.
 
-Small nodes and blocks first propose a forest of their most similar pairs; then, with what has been
-confirmed as one component, the best pair of each two components; last all pairs between different
-components. So no two documents whose sets reach the threshold and that met stay apart.
+Small nodes and blocks first propose a forest of their most similar pairs. Where classes of different
+components that may yet reach the threshold are left in one unit, the unit gets these classes' full sets,
+each once, and compares all of them (:func:`compared`). So no two documents whose sets reach the threshold
+and that met stay apart, and no list of all pairs is made.
 
 Null texts count as empty. Null ids link with nothing. Repeated ids are rows of their own and count as one
 node. Ties are broken by the least id. An empty table gives an empty result. Columns of other names are
@@ -40,7 +41,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidepanel.llm import textvec as T
-from tidepanel.llm.components import connected_components, repeated, stretches
+from tidepanel.llm.components import connected_components, groups, repeated, stretches
 from tidepanel.llm.store import cut, saved
 
 TOKENS = 64
@@ -209,36 +210,95 @@ def _ties(a: np.ndarray, b: np.ndarray, n: int) -> list[int]:
     return keep
 
 
-def candidates(units: DataFrame, classes: DataFrame, least: int, how: str) -> DataFrame:
-    """Distinct (a, b): pairs of one unit that agree in at least ``least`` tokens and are of different components.
+def _laid(units: DataFrame, *columns: str) -> DataFrame:
+    return units.repartition(*CELL).sortWithinPartitions(*CELL, "id").select(*CELL, *columns)
 
-    ``how``: "forest" gives each unit's most similar pairs that tie together what they can; "best" the best
-    pair of each two components; "all" every pair.
-    """
+
+def _ready(g: pa.Table) -> tuple[np.ndarray, ...]:
+    own = np.frombuffer(b"".join(g["tokens"].to_pylist()), np.uint32).reshape(-1, TOKENS)
+    return own, g["part"].to_numpy(), g["low"].to_numpy(), g["high"].to_numpy(), g["component"].to_numpy()
+
+
+def candidates(units: DataFrame, classes: DataFrame, least: int) -> DataFrame:
+    """Distinct (a, b): a forest of each unit's most similar pairs that agree in ``least`` tokens and are of different components."""
     kind = dict(classes.dtypes)["id"]
-    if how != "forest":  # units of one component have nothing left to find
-        units = saved(units.join(classes.select("id", "component"), "id"), "held")
-        mixed = units.groupBy(CELL).agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select(CELL)
-        units = units.drop("component").join(mixed, CELL, "left_semi")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for g, at in stretches(batches, 3):
-            ids, parts = g["id"].to_numpy(), g["component"].to_numpy()
-            own = np.frombuffer(b"".join(g["tokens"].to_pylist()), np.uint32).reshape(-1, TOKENS)
-            a, b, agree = _meeting(own, at, g["part"].to_numpy(), g["low"].to_numpy(), g["high"].to_numpy(), parts, least)
+            ids = g["id"].to_numpy()
+            own, part, low, high, parts = _ready(g)
+            a, b, agree = _meeting(own, at, part, low, high, parts, least)
             order = np.lexsort((np.maximum(ids[a], ids[b]), np.minimum(ids[a], ids[b]), -agree))
             a, b = a[order], b[order]
-            if how == "best":
-                run_of = np.searchsorted(at, a, "right")
-                _, first = np.unique(np.stack([run_of, np.minimum(parts[a], parts[b]), np.maximum(parts[a], parts[b])]), axis=1, return_index=True)
-                a, b = a[first], b[first]
-            elif how == "forest":
-                keep = _ties(a, b, len(ids))
-                a, b = a[keep], b[keep]
-            yield pa.record_batch([pa.array(np.minimum(ids[a], ids[b])), pa.array(np.maximum(ids[a], ids[b]))], ["a", "b"])
+            keep = _ties(a, b, len(ids))
+            yield pa.record_batch([pa.array(np.minimum(ids[a[keep]], ids[b[keep]])), pa.array(np.maximum(ids[a[keep]], ids[b[keep]]))], ["a", "b"])
+
+    rows = units.join(classes.select("id", "tokens", "component"), "id")
+    return _laid(rows, "part", "id", "tokens", "component").mapInArrow(run, f"a {kind}, b {kind}").distinct()
+
+
+def undecided(units: DataFrame, classes: DataFrame, least: int) -> DataFrame:
+    """(node, low, high, part, id, component): what may still be linked to another component in its unit."""
+    kind = dict(classes.dtypes)["id"]
+    held = saved(units.join(classes.select("id", "component"), "id"), "held")
+    mixed = held.groupBy(CELL).agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select(CELL)
+    names = [*CELL, "part", "id", "component"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for g, at in stretches(batches, 3):
+            own, part, low, high, parts = _ready(g)
+            a, b, _ = _meeting(own, at, part, low, high, parts, least)
+            rows = g.select(names).take(pa.array(np.unique(np.concatenate([a, b])), pa.int64())).combine_chunks()
+            yield from rows.to_batches()
+
+    rows = held.join(mixed, CELL, "left_semi").join(classes.select("id", "tokens"), "id")
+    return _laid(rows, "part", "id", "tokens", "component").mapInArrow(run, f"node long, low int, high int, part int, id {kind}, component {kind}")
 
-    rows = units.join(classes.select("id", "tokens", "component"), "id").select(*CELL, "part", "id", "tokens", "component")
-    return rows.repartition(*CELL).sortWithinPartitions(*CELL, "id").mapInArrow(run, f"a {kind}, b {kind}").distinct()
+
+def compared(rows: DataFrame, classes: DataFrame, texts: DataFrame, least: int, k: int, percent: int) -> DataFrame:
+    """(a, b): a forest of the links between different components in each unit, by the full sets of its rows.
+
+    Units with the same rows are compared once.
+    """
+    kind = dict(classes.dtypes)["id"]
+    members = rows.groupBy(CELL).agg(F.sum(F.xxhash64("id", "part").cast("decimal(38,0)")).alias("x"), F.count("*").alias("n"))
+    first = members.groupBy("x", "n").agg(F.min(F.struct(*CELL)).alias("u")).select("u.*")
+    full = rows.join(first, CELL, "left_semi").join(classes.select("id", "tokens"), "id").join(texts, "id")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for g in groups(batches, 3):
+            ids = g["id"].to_numpy()
+            own, part, low, high, parts = _ready(g)
+            a, b, agree = _meeting(own, np.array([0, len(ids)]), part, low, high, parts, least)
+            sets: list[np.ndarray] = []
+            for _, _, w in T.word_runs(g["text"].combine_chunks()):
+                codes, n = T.shingles(w, k)
+                sets += np.split(codes, np.cumsum(n)[:-1])
+            of = {c: i for i, c in enumerate(dict.fromkeys(parts.tolist()))}
+            at = np.array([of[c] for c in parts.tolist()])
+            root, found = list(range(len(of))), []
+
+            def top(i: int, root: list[int] = root) -> int:
+                while root[i] != i:
+                    root[i] = root[root[i]]
+                    i = root[i]
+                return i
+
+            for i in np.argsort(-agree, kind="stable").tolist():
+                p, q = top(at[a[i]]), top(at[b[i]])
+                if p == q:
+                    continue
+                x, y = sets[a[i]], sets[b[i]]
+                if 100 * min(len(x), len(y)) < percent * max(len(x), len(y)):
+                    continue
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                if 100 * both >= percent * (len(x) + len(y) - both):
+                    root[max(p, q)] = min(p, q)
+                    found.append((a[i], b[i]))
+            pairs = np.array(found, np.int64).reshape(-1, 2)
+            yield pa.record_batch([pa.array(ids[pairs[:, 0]]), pa.array(ids[pairs[:, 1]])], ["a", "b"])
+
+    return _laid(full, "part", "id", "tokens", "component", "text").mapInArrow(run, f"a {kind}, b {kind}").distinct()
 
 
 def confirmed(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
@@ -276,34 +336,32 @@ def near_duplicates(docs: DataFrame, k: int = 3, percent: int = 85, trees: int =
     least = max(1, int(TOKENS * threshold - spread))
     texts = docs.where("doc_id is not null").select(F.col("doc_id").alias("id"), F.col("text").cast("string").alias("text"))
     ties = cut(repeated(can.select(F.col("doc_id").alias("src"), "k1", "k2"), own.select("k1", "k2", F.col("id").alias("dst")), ["k1", "k2"]))
-    now, tried = own.withColumn("component", F.col("id")), None
-
-    def look(units: DataFrame, how: str) -> None:
-        """Takes over what the units' candidates show."""
-        nonlocal now, ties, tried
-        pairs = candidates(units, now, least, how)
-        pairs = cut(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"))
-        if pairs.isEmpty():
-            return
-        needed = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-        links = confirmed(pairs, texts.join(needed, "id", "left_semi"), k, percent)
-        tried = pairs if tried is None else tried.unionByName(pairs)
+    now = own.withColumn("component", F.col("id"))
+
+    def take(links: DataFrame) -> None:
+        """Takes over new links."""
+        nonlocal now, ties
         parts = cut(connected_components(ties.unionByName(links.select(F.col("a").alias("src"), F.col("b").alias("dst")))))
         ties = parts.select(F.col("id").alias("src"), F.col("component").alias("dst"))
         now = own.join(parts, "id", "left").withColumn("component", F.coalesce("component", "id"))
 
-    level, units, rows = 0, [], roots(own, threshold, trees)
-    while True:
+    def propose(units: DataFrame) -> None:
+        pairs = cut(candidates(units, now, least))
+        needed = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+        take(confirmed(pairs, texts.join(needed, "id", "left_semi"), k, percent))
+
+    units, rows = [], roots(own, threshold, trees)
+    for level in range(depth + 1):
         sized = saved(rows.join(rows.groupBy("node").agg(F.count("*").alias("m")).where("m > 1"), "node"), "nodes")
         units.append(whole(sized.where(F.col("m") <= small)))
         large = sized.where(F.col("m") > small)
         if large.isEmpty():
             break
-        look(first_block(large, small), "forest")
+        if not level:
+            propose(first_block(large, small))
         few, large = settled(large, now.select("id", "component"), small)
         units.append(few)
-        level += 1
-        if level > depth:
+        if level == depth:
             units.append(all_blocks(large, small))
             break
         large = cut(large)
@@ -311,8 +369,11 @@ def near_duplicates(docs: DataFrame, k: int = 3, percent: int = 85, trees: int =
             break
         rows = deeper(large, own, threshold)
     units = saved(reduce(DataFrame.unionByName, units), "units")
-    for how in ("forest", "best", "all"):
-        look(units, how)
+    propose(units)
+    left = cut(undecided(units, now, least))
+    if not left.isEmpty():
+        needed = left.select("id").distinct()
+        take(compared(left, now, texts.join(needed, "id", "left_semi"), least, k, percent))
     members = sketch.select("doc_id", "n_shingles", "k1", "k2", (F.col("tokens").isNotNull() & F.col("doc_id").isNotNull()).alias("can"))
     found = now.select("k1", "k2", "component", F.lit(True).alias("can"))
     out = members.join(found, ["k1", "k2", "can"], "left")

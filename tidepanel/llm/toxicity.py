@@ -352,7 +352,7 @@ def learn(docs: DataFrame, labels: DataFrame, most_labels: int = MOST_LABELS) ->
         own = {(y, k, m) for k, m in enumerate(marks)}
         fresh.append(not own & taken)
         taken |= own
-    seen = seen[fresh]
+    seen = seen[np.array(fresh, bool)]
     ones, zeros = int(seen["y"].sum()), int((seen["y"] == 0).sum())
     if not ones or not zeros:
         rate = (ones + 1) / (ones + zeros + 2)
