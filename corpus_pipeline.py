@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from tidepanel.llm import chosenpath, cuckoo, mixing, packing
 from tidepanel.llm import quality as classifier
-from tidepanel.llm.store import saved
+from tidepanel.llm.store import drop, saved
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 THRESHOLD = 0.3
@@ -59,7 +59,9 @@ ORACLE_SQL: str | None = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs, done = spark.read.parquet(f"{sf_dir}/documents.parquet"), []
     for name, stage in STAGES[:-1]:
         docs = saved(stage(spark, docs, sf_dir), name)
+        drop(*done)
+        done = [docs]
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -473,18 +473,20 @@ def test_cuckoo_filter() -> None:
 
 def best_fit(lengths: list[int], capacities: tuple[int, ...], overhead: int) -> tuple[list[int], list[int]]:
     """Bins and final sizes, bin by bin."""
-    rooms, used, bins = [], [], []
+    rooms, used, bins, since = [], [], [], []  # of bins with equal room, the one that came to it last
     left = sum(lengths)
-    for n in lengths:
+    for now, n in enumerate(lengths):
         left -= n
         fits = [(r, b) for b, r in enumerate(rooms) if r >= n]
         if fits:
             least = min(r for r, _ in fits)
-            b = max(b for r, b in fits if r == least)
+            b = max((since[b], b) for r, b in fits if r == least)[1]
         else:
             b = len(rooms)
             rooms.append(min((c for c in sorted(capacities) if c >= n), key=lambda c: ((c + overhead) / (n + min(c - n, left)), c)))
             used.append(0)
+            since.append(0)
+        since[b] = now
         rooms[b] -= n
         used[b] += n
         bins.append(b)

@@ -42,7 +42,7 @@ from pyspark.sql import functions as F
 
 from tidepanel.llm import textvec as T
 from tidepanel.llm.components import connected_components, groups, repeated, stretches
-from tidepanel.llm.store import cut, saved
+from tidepanel.llm.store import cut, drop, saved
 
 TOKENS = 64
 _keys = T.mix(np.arange(1, TOKENS + 1).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
@@ -237,10 +237,9 @@ def candidates(units: DataFrame, classes: DataFrame, least: int) -> DataFrame:
     return _laid(rows, "part", "id", "tokens", "component").mapInArrow(run, f"a {kind}, b {kind}").distinct()
 
 
-def undecided(units: DataFrame, classes: DataFrame, least: int) -> DataFrame:
-    """(node, low, high, part, id, component): what may still be linked to another component in its unit."""
+def undecided(held: DataFrame, classes: DataFrame, least: int) -> DataFrame:
+    """(node, low, high, part, id, component) of units that may still be linked to another component in their unit."""
     kind = dict(classes.dtypes)["id"]
-    held = saved(units.join(classes.select("id", "component"), "id"), "held")
     mixed = held.groupBy(CELL).agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select(CELL)
     names = [*CELL, "part", "id", "component"]
 
@@ -350,9 +349,10 @@ def near_duplicates(docs: DataFrame, k: int = 3, percent: int = 85, trees: int =
         needed = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
         take(confirmed(pairs, texts.join(needed, "id", "left_semi"), k, percent))
 
-    units, rows = [], roots(own, threshold, trees)
+    units, levels, rows = [], [], roots(own, threshold, trees)
     for level in range(depth + 1):
         sized = saved(rows.join(rows.groupBy("node").agg(F.count("*").alias("m")).where("m > 1"), "node"), "nodes")
+        levels.append(sized)
         units.append(whole(sized.where(F.col("m") <= small)))
         large = sized.where(F.col("m") > small)
         if large.isEmpty():
@@ -369,13 +369,17 @@ def near_duplicates(docs: DataFrame, k: int = 3, percent: int = 85, trees: int =
             break
         rows = deeper(large, own, threshold)
     units = saved(reduce(DataFrame.unionByName, units), "units")
+    drop(*levels)
     propose(units)
-    left = cut(undecided(units, now, least))
+    held = saved(units.join(now.select("id", "component"), "id"), "held")
+    left = cut(undecided(held, now, least))
+    drop(units, held)
     if not left.isEmpty():
         needed = left.select("id").distinct()
         take(compared(left, now, texts.join(needed, "id", "left_semi"), least, k, percent))
-    members = sketch.select("doc_id", "n_shingles", "k1", "k2", (F.col("tokens").isNotNull() & F.col("doc_id").isNotNull()).alias("can"))
-    found = now.select("k1", "k2", "component", F.lit(True).alias("can"))
+    members = cut(sketch.select("doc_id", "n_shingles", "k1", "k2", (F.col("tokens").isNotNull() & F.col("doc_id").isNotNull()).alias("can")))
+    found = cut(now.select("k1", "k2", "component", F.lit(True).alias("can")))
+    drop(sketch, own)
     out = members.join(found, ["k1", "k2", "can"], "left")
     component = F.coalesce("component", "doc_id")
     return out.select("doc_id", "n_shingles", component.alias("component_id"), component.eqNullSafe(F.col("doc_id")).alias("kept"))

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidepanel.llm.store import saved
+from tidepanel.llm.store import cut, drop, saved
 from tidepanel.llm.textvec import mix
 
 BLANK = b" \t\n\x0b\x0c\r"
@@ -269,4 +269,7 @@ class LineIndex:
 
 def line_dedup(docs: DataFrame, min_docs: int = 3, min_chars: int = 20) -> DataFrame:
     """``docs`` deduplicated against themselves: its columns, and _n_lines, _n_dropped and _sha256."""
-    return LineIndex(docs.sparkSession, dict(docs.dtypes)["doc_id"], min_docs, min_chars).insert(docs).apply(docs)
+    index = LineIndex(docs.sparkSession, dict(docs.dtypes)["doc_id"], min_docs, min_chars).insert(docs)
+    lost = cut(index.lost())
+    drop(index.refs, index.common, index.filters)
+    return rebuilt(docs, lost, min_chars)

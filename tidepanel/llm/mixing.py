@@ -14,7 +14,7 @@ shuffled locally by a hash.
 
 Every random choice is an MD5 of the seed and of what it is about, so reruns agree. A null text has size
 0; null and empty sources are sources of their own, null last. Documents without words are never drawn.
-Rows that are equal in doc_id and size are ranked in either order, which gives the same rows. An empty
+Rows that are equal in doc_id and size are drawn each, in either order. An empty
 table gives an empty result. Columns of other names are left alone, whatever they are called.
 """
 
@@ -85,58 +85,89 @@ def _md5(*parts: Column | str) -> Column:
     return F.md5(F.concat_ws("|", *(F.coalesce(p.cast("string"), F.lit("null")) if isinstance(p, Column) else F.lit(p) for p in parts)))
 
 
-def draw(docs: DataFrame, limit: int = 3, blocks: int = 1024, depth: int = 4, seed: int = 0) -> DataFrame:
-    """One row per document: doc_id, source, size, source_size, target, taken and ``drawn``.
+def _keyed(docs: DataFrame, blocks: int, seed: int) -> DataFrame:
+    """``docs`` with _size, _h (what ranks a document) and _block."""
+    df = docs.withColumn("_size", size(F.col("text")))
+    df = df.withColumn("_h", _md5(f"doc|{seed}", F.col("doc_id"), F.col("_size")))
+    return df.withColumn("_block", (F.conv(F.substring("_h", 1, 8), 16, 10).cast("long") % blocks).cast("int"))
 
-    ``drawn`` lists (pass, shard, words, place): how many of the document's words that pass takes, from
-    its beginning, into which output shard, and the place to sort that shard by.
+
+def _quotas(items: DataFrame, limit: int, depth: int, seed: int) -> tuple[DataFrame, DataFrame]:
+    """Of (source, _size, _block): (source, source_size, target, passes, rest), and (source, _block, units, partial).
+
+    ``units`` lists (pass, shard, room): the words that a pass has for the block, and the shard that draws
+    it; partial: one of them is less than the block's size.
     """
-    items = docs.select("doc_id", "source", size(F.col("text")).alias("size"))
-    h = _md5(f"doc|{seed}", F.col("doc_id"), F.col("size"))
-    items = cut(items.withColumns({"h": h, "block": (F.conv(F.substring(h, 1, 8), 16, 10).cast("long") % blocks).cast("int")}))
-    sources = cut(targets(items.groupBy("source").agg(F.sum("size").alias("source_size")), limit))
+    sources = targets(items.groupBy("source").agg(F.sum("_size").alias("source_size")), limit)
     quota = F.floor(F.col("target") + 0.5)
     sources = sources.withColumn("passes", F.when(F.col("source_size") > 0, F.floor(quota / F.col("source_size"))).otherwise(0).cast("long"))
-    sources = sources.withColumn("rest", (quota - F.col("passes") * F.col("source_size")).cast("long"))
+    sources = cut(sources.withColumn("rest", (quota - F.col("passes") * F.col("source_size")).cast("long")))
 
-    sizes = items.groupBy("source", "block").agg(F.sum("size").alias("block_size")).where("block_size > 0")
-    held = sizes.alias("b").join(F.broadcast(sources.alias("s")) if sources.count() <= 100_000 else sources.alias("s"), F.col("b.source").eqNullSafe(F.col("s.source"))).drop(F.col("s.source"))
-    units = held.withColumn("pass", F.explode(F.expr("sequence(0L, passes)")))
-    order = _md5(f"block|{seed}", F.col("rank"), F.col("pass"), F.col("block"))
-    in_pass = Window.partitionBy("rank", "pass").orderBy(order, "block").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = items.groupBy("source", "_block").agg(F.sum("_size").alias("block_size")).where("block_size > 0")
+    units = _beside(sizes, sources).withColumn("pass", F.explode(F.expr("sequence(0L, passes)")))
+    order = _md5(f"block|{seed}", F.col("rank"), F.col("pass"), F.col("_block"))
+    in_pass = Window.partitionBy("rank", "pass").orderBy(order, "_block").rowsBetween(Window.unboundedPreceding, -1)
     units = units.withColumn("before", F.coalesce(F.sum("block_size").over(in_pass), F.lit(0)))
     units = units.withColumn("room", F.when(F.col("pass") < F.col("passes"), F.col("block_size")).otherwise(F.least(F.col("block_size"), F.col("rest") - F.col("before")))).where("room > 0")
-    units = cut(units.withColumn("unit", F.row_number().over(Window.partitionBy("rank").orderBy("pass", order, "block")).cast("long")).select("source", "block", "rank", "pass", "unit", "room", "source_size", "target"))
+    numbered = F.row_number().over(Window.partitionBy("rank").orderBy("pass", order, "_block")).cast("long")
+    units = cut(units.withColumn("unit", numbered).select("source", "_block", "rank", "pass", "unit", "room", "block_size"))
 
     shards = split_quotas(units.groupBy("rank").agg(F.count("*").alias("units")), depth, seed)
     ends = F.sum("units").over(Window.partitionBy("rank").orderBy("shard"))
     runs = shards.withColumn("last", ends).where("units > 0").select("rank", "shard", F.explode(F.expr("sequence(last - units + 1, last)")).alias("unit"))
-    dealt = units.join(runs, ["rank", "unit"]).groupBy("source", "block").agg(F.array_sort(F.collect_list(F.struct("pass", "shard", "room"))).alias("units"))
+    dealt = units.join(runs, ["rank", "unit"]).groupBy("source", "_block")
+    return sources, cut(dealt.agg(F.array_sort(F.collect_list(F.struct("pass", "shard", "room"))).alias("units"), F.max(F.col("room") < F.col("block_size")).alias("partial")))
+
+
+def _beside(df: DataFrame, small: DataFrame, *more: str, most: int = 200_000) -> DataFrame:
+    """``df`` with the columns of ``small`` for its source (and ``more``); sent whole if it has at most ``most`` rows."""
+    small = small.withColumnsRenamed({c: f"_r_{c}" for c in ("source", *more)})
+    small = F.broadcast(small) if small.limit(most + 1).count() <= most else small
+    same = F.col("source").eqNullSafe(F.col("_r_source"))
+    for c in more:
+        same &= F.col(c) == F.col(f"_r_{c}")
+    return df.join(small, same, "left").drop("_r_source", *(f"_r_{c}" for c in more))
+
+
+def _drawn(df: DataFrame, before: Column, seed: int) -> DataFrame:
+    """With ``_drawn``: (pass, shard, words, place) of each time that a document is drawn."""
+    return df.withColumn("_before", before).withColumn("_drawn", F.expr(f"""filter(transform(coalesce(units, array()), u -> named_struct('pass', u.pass, 'shard', u.shard,
+        'words', greatest(0L, least(_size, u.room - _before)), 'place', md5(concat_ws('|', 'place', '{seed}', u.pass, _h)))), x -> x.words > 0)""")).drop("_before")
 
-    inside = Window.partitionBy("source", "block").orderBy("h", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
-    placed = items.withColumn("before", F.coalesce(F.sum("size").over(inside), F.lit(0))).alias("i")
-    placed = placed.join(dealt.alias("d"), F.col("i.source").eqNullSafe(F.col("d.source")) & (F.col("i.block") == F.col("d.block")), "left").select("i.*", "d.units")
-    narrow = sources.select("source", "source_size", "target")
-    placed = placed.alias("i").join(F.broadcast(narrow.alias("s")) if narrow.count() <= 100_000 else narrow.alias("s"), F.col("i.source").eqNullSafe(F.col("s.source"))).drop(F.col("s.source"))
-    drawn = F.expr(f"""filter(transform(coalesce(units, array()), u -> named_struct('pass', u.pass, 'shard', u.shard,
-        'words', greatest(0L, least(size, u.room - before)), 'place', md5(concat_ws('|', 'place', '{seed}', u.pass, h)))), x -> x.words > 0)""")
-    out = placed.withColumn("drawn", drawn)
-    return out.select("doc_id", "source", "size", "source_size", "target", F.expr("aggregate(drawn, 0L, (s, x) -> s + x.words)").alias("taken"), "drawn")
+
+def _in_block() -> Column:
+    """Words of the documents before this one in its block."""
+    w = Window.partitionBy("source", "_block").orderBy("_h", "doc_id", "_size").rowsBetween(Window.unboundedPreceding, -1)
+    return F.coalesce(F.sum("_size").over(w), F.lit(0))
+
+
+def draw(docs: DataFrame, limit: int = 3, blocks: int = 1024, depth: int = 4, seed: int = 0) -> DataFrame:
+    """One row per document: doc_id, source, size, source_size, target, taken and ``drawn``.
+
+    ``drawn`` lists (pass, shard, words, place): how many of the document's words that pass takes, from
+    its beginning, into which output shard, and the place to sort that shard by.
+    """
+    items = cut(_keyed(docs.select("doc_id", "source", "text"), blocks, seed).drop("text"))
+    sources, dealt = _quotas(items, limit, depth, seed)
+    out = _drawn(_beside(_beside(items, dealt, "_block"), sources.select("source", "source_size", "target")), _in_block(), seed)
+    taken = F.expr("aggregate(_drawn, 0L, (s, x) -> s + x.words)")
+    return out.select("doc_id", "source", F.col("_size").alias("size"), "source_size", "target", taken.alias("taken"), F.col("_drawn").alias("drawn"))
 
 
-def mix(docs: DataFrame, **how: int) -> DataFrame:
+def mix(docs: DataFrame, limit: int = 3, blocks: int = 1024, depth: int = 4, seed: int = 0) -> DataFrame:
     """The mixed documents: the columns of ``docs``, a row for each time that a document is drawn.
 
-    A document whose words are drawn in part keeps its text up to the last of them. ``n_chars`` follows.
-    Documents are matched by doc_id and size; rows that share both also share what is drawn.
+    A document whose words are drawn in part keeps its text up to the last of them; ``n_chars`` follows.
+    Texts stay where they are, but for those of the blocks that are drawn in part, one for each source.
     """
     names = docs.columns
-    plan = draw(docs, **how).where("taken > 0").groupBy("doc_id", "size").agg(F.first("drawn").alias("_drawn"))
-    plan = plan.select(F.col("doc_id").alias("_id"), F.col("size").alias("_size"), "_drawn")
-    kept = docs.withColumn("_words", size(F.col("text"))).join(plan, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_words") == F.col("_size")))
-    kept = kept.withColumn("_one", F.explode("_drawn"))
+    sources, dealt = _quotas(cut(_keyed(docs.select("doc_id", "source", "text"), blocks, seed).drop("text")), limit, depth, seed)
+    placed = _beside(_keyed(docs.withColumnsRenamed({c: f"_c_{c}" for c in names if c not in ("doc_id", "source", "text")}), blocks, seed), dealt, "_block")
+    whole = _drawn(placed.where("units is not null and not partial"), F.lit(0).cast("long"), seed)
+    whole = whole.withColumn("_drawn", F.expr("transform(_drawn, x -> named_struct('pass', x.pass, 'shard', x.shard, 'words', _size, 'place', x.place))"))
+    kept = whole.unionByName(_drawn(placed.where("units is not null and partial"), _in_block(), seed)).withColumn("_one", F.explode("_drawn"))
     part = F.array_join(F.slice(F.regexp_extract_all("text", F.lit(r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+"), F.lit(0)), F.lit(1), F.col("_one.words").cast("int")), "")
     kept = kept.withColumn("text", F.when(F.col("_one.words") < F.col("_size"), part).otherwise(F.col("text")))
     if "n_chars" in names:
-        kept = kept.withColumn("n_chars", F.length("text").cast(dict(docs.dtypes)["n_chars"]))
-    return kept.select(*names)
+        kept = kept.withColumn("_c_n_chars", F.length("text").cast(dict(docs.dtypes)["n_chars"]))
+    return kept.select(*(F.col(c if c in ("doc_id", "source", "text") else f"`_c_{c}`").alias(c) for c in names))

@@ -27,4 +27,13 @@ def saved(df: DataFrame, name: str) -> DataFrame:
     """As :func:`cut`, but as compressed Parquet, for wide tables that are read column by column."""
     path = f"{shared_dir(df.sparkSession).rstrip('/')}/tidepanel/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    table = df.sparkSession.read.schema(df.schema).parquet(path)
+    table.path = path
+    return table
+
+
+def drop(*tables: DataFrame) -> None:
+    """Deletes what :func:`saved` wrote, once nothing that is still to be computed reads it."""
+    for t in tables:
+        path = t.sparkSession._jvm.org.apache.hadoop.fs.Path(t.path)
+        path.getFileSystem(t.sparkSession._jsc.hadoopConfiguration()).delete(path, True)

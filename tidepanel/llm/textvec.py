@@ -28,7 +28,7 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """BASE**i and BASE**-i for i < n, kept for later calls."""
     global _powers
     if len(_powers[0]) < n:
-        size = max(n, 1 << 20)
+        size = max(n, (1 << 20) + (1 << 17))
         both = []
         for b in (BASE, BASE_INVERSE):
             steps = np.full(size, b, U64)
@@ -51,9 +51,13 @@ def utf8(texts: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     """Bytes and offsets of the texts; a null counts as empty."""
     if isinstance(texts, pa.ChunkedArray):
         texts = texts.combine_chunks() if texts.num_chunks != 1 else texts.chunk(0)
-    texts = texts.fill_null("").cast(pa.large_string())
+    if texts.null_count:
+        texts = texts.fill_null("")
+    if not pa.types.is_string(texts.type) and not pa.types.is_large_string(texts.type):
+        texts = texts.cast(pa.large_string())
     _, offsets, data = texts.buffers()
-    at = np.frombuffer(offsets, np.int64)[texts.offset : texts.offset + len(texts) + 1] if offsets else np.zeros(1, np.int64)
+    kind = np.int64 if pa.types.is_large_string(texts.type) else np.int32
+    at = np.frombuffer(offsets, kind)[texts.offset : texts.offset + len(texts) + 1].astype(np.int64) if offsets and len(texts) else np.zeros(1, np.int64)
     raw = np.frombuffer(data, np.uint8) if data is not None and data.size else np.zeros(0, np.uint8)
     return raw[at[0] : at[-1]], at - at[0]
 
@@ -102,7 +106,7 @@ def words(data: np.ndarray, offsets: np.ndarray, lower: bool = True, outside: np
     return Words(data, start, end, np.diff(np.searchsorted(start, offsets)), np.diff(offsets))
 
 
-def runs(offsets: np.ndarray, most: int = 2 << 20) -> Iterator[tuple[int, int]]:
+def runs(offsets: np.ndarray, most: int = 1 << 20) -> Iterator[tuple[int, int]]:
     """Ranges of whole documents of about ``most`` bytes, a longer document alone."""
     i, n = 0, len(offsets) - 1
     while i < n:
@@ -111,7 +115,7 @@ def runs(offsets: np.ndarray, most: int = 2 << 20) -> Iterator[tuple[int, int]]:
         i = j
 
 
-def word_runs(texts: pa.Array, lower: bool = True, most: int = 2 << 20, outside: np.ndarray = SPACE) -> Iterator[tuple[int, int, Words]]:
+def word_runs(texts: pa.Array, lower: bool = True, most: int = 1 << 20, outside: np.ndarray = SPACE) -> Iterator[tuple[int, int, Words]]:
     """(first document, end, their words) over the whole array."""
     data, offsets = utf8(texts)
     for i, j in runs(offsets, most):
@@ -126,7 +130,7 @@ def shingles(w: Words, k: int) -> tuple[np.ndarray, np.ndarray]:
     h, n = w.hashes(), len(w.start)
     docs = w.doc
     joined = np.zeros(n, U64)
-    for i in range(k):
+    for i in range(min(k, n)):
         joined[: n - i] += h[i:] * U64(pow(0xA0761D6478BD642F, i + 1, 2**64) | 1)
     last = np.cumsum(w.per_doc)[docs] if n else np.zeros(0, np.int64)  # the end of each word's document
     at = np.arange(n)

@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 
 from tidepanel.llm import textvec as T
 from tidepanel.llm.labels import held_out, labelled
-from tidepanel.llm.store import saved
+from tidepanel.llm.store import drop, saved
 
 MOST_LABELS, MOST_CANDIDATES, MOST_WORDS, LEAST_Z, LEAST_LIFT, HIGH_LIFT = 20_000, 50_000, 256, 3.3, 1.5, 3.5
 STEMS = range(4, 11)  # bytes of a beginning
@@ -417,6 +417,7 @@ def learn(docs: DataFrame, labels: DataFrame, most_labels: int = MOST_LABELS) ->
     x = np.array(seen["x"].tolist(), np.int64).reshape(len(seen), -1)
     order = np.lexsort((*x.T, seen["y"].to_numpy(), seen["doc_id"].to_numpy()))
     model.weights = regression(inputs(x[order], model.strong), seen["y"].to_numpy().astype(float)[order])
+    drop(rows)
     return model
 
 

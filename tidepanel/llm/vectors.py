@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidepanel.llm.components import connected_components, forest, groups, repeated
-from tidepanel.llm.store import saved
+from tidepanel.llm.store import cut, drop, saved
 
 
 def planes(tables: int, bits: int, size: int, seed: int) -> np.ndarray:
@@ -140,7 +140,9 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.9, tables: int = 24
     twice = repeated(rows.where("key is not null").select(F.col("vec_id").alias("src"), "key"), own.select("key", F.col("id").alias("dst")), ["key"])
     parts = connected_components(found.where("other is not null").select(F.col("id").alias("src"), F.col("other").alias("dst")).unionByName(twice))
     whole = own.select("key", "id", "copies").join(counts, "id", "left").join(parts, "id", "left")
-    whole = whole.select("key", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "id").alias("component_id"))
-    out = rows.select("vec_id", "key").join(whole, "key", "left")
+    whole = cut(whole.select("key", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "id").alias("component_id")))
+    ids = cut(rows.select("vec_id", "key"))
+    drop(rows, own, found)
+    out = ids.join(whole, "key", "left")
     component = F.coalesce("component_id", "vec_id")
     return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), component.eqNullSafe(F.col("vec_id")).alias("kept"))
