@@ -113,4 +113,4 @@ def half_even(c: Column, digits: int) -> Column:
 
 def text_number(c: Column, digits: int) -> Column:
     """Fixed digits; empty for NULL."""
-    return F.coalesce(F.format_string(f"%.{digits}f", c), F.lit(""))
+    return F.when(c.isNull(), "").otherwise(F.format_string(f"%.{digits}f", c))

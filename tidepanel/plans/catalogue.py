@@ -119,14 +119,14 @@ def _(s: SparkSession, d: str) -> DataFrame:
     return rows.with_fields(table(s, d, "orders"), ("1-URGENT", "3-MEDIUM"), "o_orderpriority").select("o_orderkey", "o_orderpriority", "o_totalprice")
 
 
-@register("valid_price_filter", f"WITH {GAPS} SELECT d, k, round(px, 6) AS px FROM gaps WHERE px > 0")
+@register("valid_price_filter", f"WITH {GAPS} SELECT d, k, px FROM gaps WHERE px > 0")
 def _(s: SparkSession, d: str) -> DataFrame:
-    return dk(rows.priced(valid_week(s, d)), px=r6("Price"))
+    return dk(rows.priced(valid_week(s, d)), px=F.col("Price"))
 
 
-@register("date_range_filter", f"WITH {PANEL} SELECT d, k, round(px, 6) AS px FROM panel WHERE d >= DATE '1997-01-01' AND d < DATE '1998-01-01'")
+@register("date_range_filter", f"WITH {PANEL} SELECT d, k, px FROM panel WHERE d >= DATE '1997-01-01' AND d < DATE '1998-01-01'")
 def _(s: SparkSession, d: str) -> DataFrame:
-    return dk(rows.between(panel(s, d), dt.date(1997, 1, 1), dt.date(1998, 1, 1)), px=r6("Price"))
+    return dk(rows.between(panel(s, d), dt.date(1997, 1, 1), dt.date(1998, 1, 1)), px=F.col("Price"))
 
 
 RAW = """CASE o_orderkey % 7 WHEN 0 THEN '  1,' || cast(o_orderkey AS varchar(20)) || '.5 ' WHEN 1 THEN '#N/A N/A' WHEN 2 THEN '' WHEN 3 THEN '1 ' || cast(o_orderkey AS varchar(20)) WHEN 4 THEN 'abc' WHEN 5 THEN '-' || cast(o_orderkey AS varchar(20)) || ',5' ELSE '#n/a' END"""
@@ -177,10 +177,10 @@ def _(s: SparkSession, d: str) -> DataFrame:
     return table(s, d, "part").select("p_partkey", C.ticker_part(F.concat("p_brand", F.lit(" SE Equity | "), "p_type")).alias("ticker"))
 
 
-@register("guarded_math", f"WITH {PANEL} SELECT d, k, round(CASE WHEN px - 1500 > 0 THEN ln(px - 1500) END, 6) AS ln, round(expm1_, 6) AS expm1, round(px / nullif(vol % 3, 0), 6) AS ratio, round_even(vol / 8, 2) AS even, least(greatest(px, 1400.0), 1600.0) AS held FROM (SELECT *, exp(vol / 10000) - 1 AS expm1_ FROM panel)")
+@register("guarded_math", f"WITH {PANEL} SELECT d, k, round(CASE WHEN px - 1500 > 0 THEN ln(px - 1500) END, 6) AS ln, round(expm1_, 6) AS expm1, px / nullif(vol % 3, 0) AS ratio, round_even(vol / 8, 2) AS even, least(greatest(px, 1400.0), 1600.0) AS held FROM (SELECT *, exp(vol / 10000) - 1 AS expm1_ FROM panel)")
 def _(s: SparkSession, d: str) -> DataFrame:
     px, vol = F.col("Price"), F.col("Volume")
-    return dk(panel(s, d), ln=r6(C.ln(px - 1500)), expm1=r6(F.expm1(vol / 10000)), ratio=r6(C.ratio(px, vol % 3)), even=C.half_even(vol / 8, 2), held=C.clip(px, F.lit(1400.0), F.lit(1600.0)))
+    return dk(panel(s, d), ln=r6(C.ln(px - 1500)), expm1=r6(F.expm1(vol / 10000)), ratio=C.ratio(px, vol % 3), even=C.half_even(vol / 8, 2), held=C.clip(px, F.lit(1400.0), F.lit(1600.0)))
 
 
 @register("calendar_parts", "SELECT o_orderkey, cast(year(o_orderdate) AS int) AS y, cast(o_orderdate AS date) - 5 AS embargo, cast(cast(o_orderdate AS date) - INTERVAL 3 YEAR AS date) AS three_years, cast(cast(o_orderdate AS date) + INTERVAL 1 MONTH AS date) AS next_month, cast(date_trunc('month', o_orderdate) AS date) AS month FROM orders")
@@ -278,10 +278,10 @@ def _(s: SparkSession, d: str) -> DataFrame:
     return dk(features.equity_features(panel(s, d)), lag1=r6("Return_lag1"), lag5=r6("Return_lag5"))
 
 
-@register("level_lags", f"WITH {PANEL} SELECT d, k, round(lag(px) {W}, 6) AS yield_lag1, round(lag(vol) {W}, 6) AS cap_lag1 FROM panel")
+@register("level_lags", f"WITH {PANEL} SELECT d, k, lag(px) {W} AS yield_lag1, lag(vol) {W} AS cap_lag1 FROM panel")
 def _(s: SparkSession, d: str) -> DataFrame:
     f = features.equity_features(panel(s, d).withColumns({"DivYld12m": F.col("Price"), "MktCap": F.col("Volume")}))
-    return dk(f, yield_lag1=r6("DivYld12m_lag1"), cap_lag1=r6("MktCap_lag1"))
+    return dk(f, yield_lag1=F.col("DivYld12m_lag1"), cap_lag1=F.col("MktCap_lag1"))
 
 
 @register("rolling_mean_5_10_20", f"WITH {RET} SELECT d, k, round({roll('avg', 'r', 5, 3)}, 6) AS ma5, round({roll('avg', 'r', 10, 5)}, 6) AS ma10, round({roll('avg', 'r', 20, 10)}, 6) AS ma20 FROM ret")
@@ -396,9 +396,9 @@ def _(s: SparkSession, d: str) -> DataFrame:
 FILL = "last_value(px IGNORE NULLS) OVER (PARTITION BY k ORDER BY d ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"
 
 
-@register("ffill_group", f"WITH {GAPS} SELECT d, k, round({FILL}, 6) AS px FROM gaps")
+@register("ffill_group", f"WITH {GAPS} SELECT d, k, {FILL} AS px FROM gaps")
 def _(s: SparkSession, d: str) -> DataFrame:
-    return dk(valid_week(s, d), px=r6(windows.filled(F.col("Price"), by_ticker("Ticker"))))
+    return dk(valid_week(s, d), px=windows.filled(F.col("Price"), by_ticker("Ticker")))
 
 
 @register("impute_ffill_roll5", f"WITH {GAPS}, f AS (SELECT d, k, {FILL} AS p FROM gaps) SELECT d, k, round(avg(p) OVER (PARTITION BY k ORDER BY d ROWS BETWEEN 4 PRECEDING AND CURRENT ROW), 6) AS px FROM f")
@@ -553,9 +553,9 @@ def _(s: SparkSession, d: str) -> DataFrame:
     return profile.coverage(valid(s, d)).select(F.col("Ticker").alias("k"), "first_day").orderBy("first_day", "k")
 
 
-@register("topn_rows", f"WITH {VALID} SELECT d, k, round(px, 6) AS px FROM valid WHERE k = 'Brand#12' ORDER BY d LIMIT 10")
+@register("topn_rows", f"WITH {VALID} SELECT d, k, px FROM valid WHERE k = 'Brand#12' ORDER BY d LIMIT 10")
 def _(s: SparkSession, d: str) -> DataFrame:
-    return rows.top(dk(valid(s, d).where("Ticker = 'Brand#12'"), px=r6("Price")), 10, "d")
+    return rows.top(dk(valid(s, d).where("Ticker = 'Brand#12'"), px=F.col("Price")), 10, "d")
 
 
 @register("distinct_tickers", "SELECT count(DISTINCT p_brand) AS n FROM part")
