@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from tidepanel.llm import chosenpath, cuckoo, mixing, packing
 from tidepanel.llm import quality as classifier
-from tidepanel.llm.store import drop, saved
+from tidepanel.llm.store import drop, saved, small_batches
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 THRESHOLD = 0.3
@@ -21,12 +21,14 @@ THRESHOLD = 0.3
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that score at least THRESHOLD; the classifier learns from the labels of these documents."""
+    small_batches(spark)
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     return classifier.with_scores(docs, classifier.learn(docs, labels)).where(F.col("_quality") >= THRESHOLD).drop("_quality")
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the lines that three of them share, but in the last; none goes, even if it becomes empty."""
+    small_batches(spark)
     names = docs.columns
     return cuckoo.line_dedup(docs).withColumn("n_chars", F.length("text").cast(dict(docs.dtypes)["n_chars"])).select(*names)
 
@@ -36,6 +38,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Documents without an id stay. Rows that repeat an id are one document.
     """
+    small_batches(spark)
     names = docs.columns
     kept = chosenpath.near_duplicates(docs, k=5, percent=80).where("kept and doc_id is not null").select("doc_id").distinct()
     again = Window.partitionBy("doc_id").orderBy(F.xxhash64("text"), F.length("text").asc_nulls_last())
@@ -45,11 +48,13 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mixture of sources draws them."""
+    small_batches(spark)
     return mixing.mix(docs)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document's pieces and their bins."""
+    small_batches(spark)
     return packing.packed(docs)
 
 

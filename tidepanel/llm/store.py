@@ -17,6 +17,11 @@ def shared_dir(spark: SparkSession) -> str:
     return named or sc.getCheckpointDir()
 
 
+def small_batches(spark: SparkSession, size: str = "8m") -> None:
+    """Texts go to Python workers by batches of about ``size``, so that a few long ones don't fill a worker's memory."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """``df`` computed once and written to the shared folder: later reads survive lost executors."""
     shared_dir(df.sparkSession)

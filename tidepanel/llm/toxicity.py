@@ -151,7 +151,7 @@ class Channel:
             choices, following = self._choices(c), {}
             times = times + 1 if c == before else 1
             if times > 1 and c not in SEPARATORS:  # a pair is often meant, three seldom
-                choices = [*choices, ("", 1.5 if times == 2 else 0.3)]
+                choices = [*choices, ("", 3.0 if times == 2 else 0.3)]
             for key, (cost, path, _) in state.items():
                 for x, price in choices:
                     if not x:
