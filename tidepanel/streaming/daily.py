@@ -1,7 +1,4 @@
-"""A daily panel from a stream of events.
-
-The reference scope has no streams; this keeps a panel current where observations arrive as events.
-"""
+"""A daily panel from a stream of events, for observations that arrive one by one."""
 
 from __future__ import annotations
 
