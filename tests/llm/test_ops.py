@@ -397,6 +397,14 @@ def test_near_documents_match_brute_force(spark: SparkSession, small: int, depth
     assert all(r.kept == (r.doc_id == r.component_id) for r in got)
 
 
+def test_shared_sizes() -> None:
+    rng = random.Random(14)
+    sets = [np.array(sorted(rng.sample(range(60), rng.randint(0, 40))), np.uint64) for _ in range(30)]
+    got = chosenpath.shared(sets, width=7)
+    for i, j in itertools.combinations(range(30), 2):
+        assert got[i, j] == len(np.intersect1d(sets[i], sets[j]))
+
+
 def test_near_odd(odd: DataFrame, none: DataFrame) -> None:
     out = chosenpath.near_duplicates(odd, k=5, percent=80).collect()
     assert len(out) == len(ODD) and {(r.doc_id, r.component_id) for r in out} == {(1, 1), (2, 2), (3, 3), (4, 4), (None, None), (5, 5), (6, 1), (7, 7)}

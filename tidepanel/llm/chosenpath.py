@@ -15,10 +15,11 @@ meets in as many children as it left behind; ``trees`` independent trees bring t
 Nodes of at most ``small`` classes are compared exhaustively by their tokens (:func:`candidates`), and what
 may reach the threshold is confirmed on the full sets, taken anew from the whole texts (:func:`confirmed`).
 What matters is which classes hang together, so not all pairs of a large group of copies are confirmed. In
-a large node below a root each class is first compared with one block of it. What that ties together is
-one component, and pairs within it have nothing left to show: a node that is one component is done; one
-with few classes beside its largest component compares these with all; others branch on. What is still large after
-``depth`` branchings is cut into blocks, and every two blocks compared, so none is cut short.
+the largest node below the roots that has it, if it is large, each class is first compared with one block
+of it, by full sets. What that ties together is one component, and pairs within it have nothing left to
+show: a node that is one component is done; one with few classes beside its largest component compares
+these with all; others branch on. What is still large after ``depth`` branchings is cut into blocks, and
+every two blocks compared, so none is cut short.
 
 Small nodes and blocks first propose a forest of their most similar pairs. Where classes of different
 components that may yet reach the threshold are left in one unit, the unit gets these classes' full sets,
@@ -254,6 +255,25 @@ def undecided(held: DataFrame, classes: DataFrame, least: int) -> DataFrame:
     return _laid(rows, "part", "id", "tokens", "component").mapInArrow(run, f"node long, low int, high int, part int, id {kind}, component {kind}")
 
 
+def shared(sets: list[np.ndarray], width: int = 4096) -> np.ndarray:
+    """Sizes of all intersections, by products of 0-1 matrices over the elements that more than one set has."""
+    flat = np.concatenate(sets)
+    owner = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+    _, code, n = np.unique(flat, return_inverse=True, return_counts=True)
+    rank = np.cumsum(n > 1) - 1
+    keep = n[code] > 1
+    column, owner = rank[code[keep]], owner[keep]
+    order = np.argsort(column, kind="stable")
+    column, owner = column[order], owner[order]
+    out = np.zeros((len(sets), len(sets)))
+    for begin in range(0, int(rank[-1]) + 1 if len(rank) else 0, width):
+        i, j = np.searchsorted(column, [begin, begin + width])
+        m = np.zeros((len(sets), width), np.float32)
+        m[owner[i:j], column[i:j] - begin] = 1
+        out += m @ m.T
+    return out.astype(np.int64)
+
+
 def compared(rows: DataFrame, classes: DataFrame, texts: DataFrame, least: int, k: int, percent: int) -> DataFrame:
     """(a, b): a forest of the links between different components in each unit, by the full sets of its rows.
 
@@ -283,15 +303,19 @@ def compared(rows: DataFrame, classes: DataFrame, texts: DataFrame, least: int,
                     i = root[i]
                 return i
 
+            size = np.array([len(x) for x in sets])
+            keep = 100 * np.minimum(size[a], size[b]) >= percent * np.maximum(size[a], size[b])
+            a, b, agree = a[keep], b[keep], agree[keep]
+            if len(a) > 4 * len(sets):
+                both = shared(sets)[a, b]
+                keep = 100 * both >= percent * (size[a] + size[b] - both)
+                a, b, agree = a[keep], b[keep], agree[keep]
             for i in np.argsort(-agree, kind="stable").tolist():
                 p, q = top(at[a[i]]), top(at[b[i]])
                 if p == q:
                     continue
-                x, y = sets[a[i]], sets[b[i]]
-                if 100 * min(len(x), len(y)) < percent * max(len(x), len(y)):
-                    continue
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                if 100 * both >= percent * (len(x) + len(y) - both):
+                both = len(np.intersect1d(sets[a[i]], sets[b[i]], assume_unique=True))
+                if 100 * both >= percent * (size[a[i]] + size[b[i]] - both):
                     root[max(p, q)] = min(p, q)
                     found.append((a[i], b[i]))
             pairs = np.array(found, np.int64).reshape(-1, 2)
@@ -349,6 +373,11 @@ def near_duplicates(docs: DataFrame, k: int = 3, percent: int = 85, trees: int =
         needed = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
         take(confirmed(pairs, texts.join(needed, "id", "left_semi"), k, percent))
 
+    def settle(units: DataFrame) -> None:
+        """Decides by full sets what may be linked in the units."""
+        needed = units.select("id").distinct()
+        take(compared(units, now, texts.join(needed, "id", "left_semi"), least, k, percent))
+
     units, levels, rows = [], [], roots(own, threshold, trees)
     for level in range(depth + 1):
         sized = saved(rows.join(rows.groupBy("node").agg(F.count("*").alias("m")).where("m > 1"), "node"), "nodes")
@@ -357,8 +386,10 @@ def near_duplicates(docs: DataFrame, k: int = 3, percent: int = 85, trees: int =
         large = sized.where(F.col("m") > small)
         if large.isEmpty():
             break
-        if not level:
-            propose(first_block(large, small))
+        if not level:  # each class in the largest of its nodes
+            one = large.groupBy("id").agg(F.max(F.struct("m", "node")).alias("x")).select("id", "x.node")
+            one = one.join(one.groupBy("node").agg(F.count("*").alias("m")), "node")
+            settle(cut(first_block(one, small).join(now.select("id", "component"), "id")))
         few, large = settled(large, now.select("id", "component"), small)
         units.append(few)
         if level == depth:
@@ -375,8 +406,7 @@ def near_duplicates(docs: DataFrame, k: int = 3, percent: int = 85, trees: int =
     left = cut(undecided(held, now, least))
     drop(units, held)
     if not left.isEmpty():
-        needed = left.select("id").distinct()
-        take(compared(left, now, texts.join(needed, "id", "left_semi"), least, k, percent))
+        settle(left)
     members = cut(sketch.select("doc_id", "n_shingles", "k1", "k2", (F.col("tokens").isNotNull() & F.col("doc_id").isNotNull()).alias("can")))
     found = cut(now.select("k1", "k2", "component", F.lit(True).alias("can")))
     drop(sketch, own)
