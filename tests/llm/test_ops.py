@@ -308,6 +308,35 @@ def test_toxicity_learns_words_and_sees_through_disguise(spark: SparkSession) ->
     assert model.score(pa.array(clean)).max() < 0.5
 
 
+def test_every_disguise_reaches_the_channel(spark: SparkSession) -> None:
+    rng = random.Random(9)
+    plain = ["ranet", "solim", "terano", "lidor", "menta", "korus", "vandel", "pirow", "siton", "galem"]
+    text = lambda: " ".join(rng.choice(plain) + rng.choice(plain) for _ in range(rng.randint(20, 60)))
+    rows, labels = [], []
+    for i in range(600):
+        t, bad = text(), i % 6 == 0
+        rows.append((i, t + (" you are a " + rng.choice(["blorgus", "snafted", "wexling"]) if bad else ""), "s"))
+        labels.append((i, 1, int(bad)))
+    model = toxicity.learn(docs(spark, rows), spark.createDataFrame(labels, LABELS))
+    disguises = ["blorrgus", "snaffTed", "bblloorrgguuss", "wwweeexxxlllliiinnnggg", "blo-rgus", "sna.fted", "blo.rg.us", "wex:ling", "you blorgu$", "b|orgus", "bl*rgus", "snäfted", "ѕnаftеd", "“snafted”", "blor\u200bgus", "日blorgus", "(w e x l i n g)", "w. e. x. l. i. n. g.", "w - e - x - l - i - n - g", "ｓｎａｆｔｅｄ"]
+    scores = model.score(pa.array([f"ranet solim {x}, terano" for x in disguises]))
+    assert [x for x, p in zip(disguises, scores, strict=True) if p <= 0.5] == []
+    same = model.hits(pa.array(["snafted", "it-is (snafted)!", "snafted-snafted"]))  # as written: nothing to restore
+    assert (same[0] == same[1]).all() and (same[2] == 2 * same[0]).all()
+
+
+def test_spans_are_what_the_channel_may_change() -> None:
+    def stretches(*texts: str) -> list[list[str]]:
+        data, offsets = toxicity.T.utf8(pa.array(texts))
+        found = zip(*toxicity.spans(toxicity.T.words(data, offsets, lower=False)), strict=True)
+        out: list[list[str]] = [[] for _ in texts]
+        for i, start, end in found:
+            out[i].append(bytes(data[start:end]).decode())
+        return out
+
+    assert stretches("plain words, [of] 日本語 an i", "i", "", "stuppid, id.iot! u p s - x") == [[], [], [], ["stuppid", "id.iot!", "u p s - x"]]
+
+
 def test_toxicity_of_odd_rows(spark: SparkSession, odd: DataFrame, none: DataFrame) -> None:
     labels = spark.createDataFrame([(1, 1, 0), (3, 0, None), (None, 1, 1), (4, None, 1), (7, 1, 1)], LABELS)
     out = toxicity.scored(odd, labels).collect()

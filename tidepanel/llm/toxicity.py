@@ -2,7 +2,9 @@
 
 A writer who hides a word sends its letters through a channel: look-alike digits and symbols for letters,
 letters repeated, blanks or marks between them, accents and look-alike letters of other scripts.
-:func:`spans` finds the stretches of a text that may have passed it, :func:`restore` builds the lattice of
+:func:`spans` finds the stretches of a text that may have passed it: every word with anything but single
+letters a-z, be it a doubled letter, a mark, a separator or a letter beyond ASCII, and runs of single
+characters between blanks (a blank is seen through there only). :func:`_restore` builds the lattice of
 letters that each may stand for and takes the best path by Viterbi's algorithm, scored by the channel's
 costs and a character language model of third order. The model mixes the trigrams of all training texts
 with those of the words that the labels show to be toxic.
@@ -21,6 +23,7 @@ proportion to their length. Repeated rows are scored each; an empty table gives
 from __future__ import annotations
 
 import unicodedata
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
@@ -37,6 +40,7 @@ from tidepanel.llm.store import drop, saved
 
 MOST_LABELS, MOST_CANDIDATES, MOST_WORDS, LEAST_Z, LEAST_LIFT, HIGH_LIFT = 20_000, 50_000, 256, 3.3, 1.5, 3.5
 STEMS = range(4, 11)  # bytes of a beginning
+LEAST_LETTERS = 3  # of a form
 WHOLE = np.uint64(0x5851F42D4C957F2D)
 # What letters a mark may stand for.
 LOOKS_LIKE = {"0": "ou", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "gb", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "(": "c", "€": "e", "£": "l", "¡": "i", "*": "aeiou", "#": "h"}
@@ -49,10 +53,6 @@ IS_LETTER[[*range(65, 91), *range(97, 123), *range(128, 256)]] = True
 NOT_LETTER = ~IS_LETTER
 MARKS = np.zeros(256, bool)
 MARKS[list(b"0123456789@$!|+(*#")] = True
-DIGIT = np.zeros(256, bool)
-DIGIT[48:58] = True
-BETWEEN = np.zeros(256, bool)
-BETWEEN[list(b".-_~*'`,/\\")] = True
 CODE = np.zeros(256, np.int64)
 CODE[65:91] = CODE[97:123] = np.arange(1, 27)
 CODE[128:] = 27
@@ -74,50 +74,64 @@ def trigrams(w: T.Words) -> np.ndarray:
     return np.bincount((first * LETTERS + second) * LETTERS + third, minlength=LETTERS**3)
 
 
-def spans(w: T.Words) -> list[tuple[int, int, int]]:
-    """(document, start, end) of stretches that may be disguised words; ``w`` are words between blanks."""
-    d, n = w.data, len(w.data)
-    if not len(w.start) or n < 2:
-        return []
-    letter, mark = IS_LETTER[d], MARKS[d]
-    at = lambda x, k: np.concatenate([x[k:], np.zeros(min(k, n), x.dtype)])
-    hits = [np.flatnonzero(mark & at(letter, 1)) + 1, np.flatnonzero(letter & at(mark, 1) & at(mark, 2) & at(letter, 3))]
-    if n > 2:
-        same = (d[:-2] == d[1:-1]) & (d[1:-1] == d[2:]) & letter[:-2] & (d[:-2] < 128)
-        hits.append(np.flatnonzero(same))
-    between = BETWEEN[d]
-    hits.append(np.flatnonzero(letter & at(between, 1) & at(letter, 2) & at(between, 3) & at(letter, 4)))
-    doubles = np.concatenate([[0], np.cumsum((d[:-1] == d[1:]) & letter[:-1] & (d[:-1] < 128)), [0]])
-    doubles[-1] = doubles[-2]
-    letters = np.concatenate([[0], np.cumsum(letter & (d < 128))])
-    foreign = np.concatenate([[0], np.cumsum((d >= 0xCE) & (d <= 0xD4))])
-    count = lambda sums: sums[w.end] - sums[w.start]
-    chosen = np.zeros(len(w.start), bool)
-    for h in hits:
-        h = h[h < n]
-        k = np.searchsorted(w.start, h, "right") - 1
-        ok = (k >= 0) & (h < w.end[k])
-        chosen[k[ok]] = True
-    last = w.end - 1
-    chosen |= DIGIT[d[last]] & (w.end - w.start > 2) & letter[np.maximum(last - 1, 0)]
-    chosen |= (doubles[np.maximum(w.end - 1, 0)] - doubles[w.start] >= 3) & (w.end - w.start <= 24)
-    chosen |= (count(foreign) > 0) & (count(letters) > 0)
-    chosen &= count(letters) > 0
-    doc = w.doc
-    out = [(int(doc[k]), int(w.start[k]), int(w.end[k])) for k in np.flatnonzero(chosen)]
-    high = np.concatenate([[0], np.cumsum(((d & 0xC0) != 0x80).astype(np.int64))])
-    single = (count(high) == 1) & (letter[w.start] | mark[w.start])
-    if single.any():
-        k = np.flatnonzero(single)
-        new = np.ones(len(k), bool)
-        new[1:] = (np.diff(k) != 1) | (np.diff(doc[k]) != 0)
-        begin = np.flatnonzero(new)
-        for b, e in zip(begin, [*begin[1:], len(k)], strict=True):
-            if e - b >= 4:
-                out.append((int(doc[k[b]]), int(w.start[k[b]]), int(w.end[k[e - 1]])))
+@lru_cache(1 << 16)
+def _letter_like(code: int) -> bool:
+    """Whether the channel may read the character beyond ASCII as one of a-z."""
+    return any("a" <= x <= "z" for c in chr(code).lower() for x, _ in Channel._choices(c) if x)
+
+
+def _capable(d: np.ndarray) -> np.ndarray:
+    """Bytes that begin a character which the channel may read as one of a-z."""
+    out = (IS_LETTER[d] & (d < 128)) | MARKS[d]
+    at = np.flatnonzero(d >= 0xC0)
+    if len(at):
+        x = np.concatenate([d, np.zeros(3, np.uint8)]).astype(np.int64)
+        size = 2 + (x[at] >= 0xE0) + (x[at] >= 0xF0)
+        code = x[at] & (0x7F >> size)
+        for i in (1, 2, 3):
+            code = np.where(size > i, (code << 6) | (x[at + i] & 0x3F), code)
+        codes, which = np.unique(code, return_inverse=True)
+        out[at] = np.array([_letter_like(c) for c in codes.tolist()], bool)[which]
     return out
 
 
+def spans(w: T.Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(documents, starts, ends) of stretches that the channel may read otherwise than written; ``w`` are words between blanks.
+
+    These are all words, without the marks at their edges that it can only leave out, that hold anything
+    but single letters a-z, and all runs of single characters between blanks. Stretches that cannot give
+    LEAST_LETTERS letters a-z are left: no form is as short.
+    """
+    d, doc = T.LOWER[w.data], w.doc
+    if not len(w.start):
+        return doc, w.start, w.end
+    ends = lambda x: np.concatenate([[0], np.cumsum(x)])
+    idle = NOT_LETTER[d] & ~MARKS[d]
+    capable, busy = ends(_capable(d)), ends(~idle)
+    place = np.flatnonzero(~idle)
+    some = busy[w.end] > busy[w.start]
+    first, last = w.start.copy(), w.end.copy()
+    first[some], last[some] = place[busy[w.start[some]]], place[busy[w.end[some]] - 1] + 1
+    plain = IS_LETTER[d] & (d < 128)
+    plain[1:] &= d[1:] != d[:-1]
+    odd = ends(~plain)
+    # the first letter of a word never repeats one before it
+    chosen = some & ((odd[last] - odd[np.minimum(first + 1, last)] > 0) | ~IS_LETTER[d[first]] | (d[first] >= 128)) & (capable[last] - capable[first] >= LEAST_LETTERS)
+
+    characters, marks = ends(~idle & ((d & 0xC0) != 0x80)), ends(MARKS[d])
+    count = characters[w.end] - characters[w.start]
+    short = np.flatnonzero((count <= 1) | ((count == 2) & (marks[w.end] - marks[w.start] == 1)))  # a letter may have a mark, as in brackets
+    new = np.ones(len(short), bool)
+    new[1:] = (np.diff(short) != 1) | (np.diff(doc[short]) != 0)
+    run = np.cumsum(new) - 1
+    held = short[count[short] > 0]
+    runs, begin, n = np.unique(run[count[short] > 0], return_index=True, return_counts=True)
+    begin, end = held[begin], held[begin + n - 1]
+    whole = (n > 1) & (capable[w.end[end]] - capable[w.start[begin]] >= LEAST_LETTERS)
+    begin, end = begin[whole], end[whole]
+    return np.concatenate([doc[chosen], doc[begin]]), np.concatenate([first[chosen], first[begin]]), np.concatenate([last[chosen], last[end]])
+
+
 @dataclass
 class Channel:
     """The language model, log probabilities [before last, last, next]."""
@@ -129,7 +143,7 @@ class Channel:
         self.restore = lru_cache(200_000)(self._restore)
 
     def __reduce__(self) -> tuple:
-        return Channel, (self.table,)
+        return _channel, (self.table.tobytes(),)
 
     @staticmethod
     def _choices(c: str) -> list[tuple[str, float]]:
@@ -175,6 +189,12 @@ class Channel:
         return "".join(reversed(out))
 
 
+@lru_cache(2)
+def _channel(table: bytes) -> Channel:
+    """One channel for all tasks of a worker, so that they share what it has restored."""
+    return Channel(np.frombuffer(table).reshape(LETTERS, LETTERS, LETTERS))
+
+
 def language_model(corpus: np.ndarray, lexicon: list[str], share: float = 0.5) -> Channel:
     """``share`` is the weight of the lexicon's own trigrams, where it has any."""
 
@@ -223,15 +243,34 @@ def found(texts: pa.Array, known: np.ndarray, channel: Channel | None) -> Iterat
             keep = _among(h, known)
             hits.append((doc[keep], h[keep]))
         if channel is not None:
-            stretches = spans(T.words(own, edges, lower=False))
-            restored = pa.array([channel.restore(own[s:e].tobytes().decode("utf-8", "replace")) for _, s, e in stretches], pa.string())
-            of = np.array([d for d, _, _ in stretches], np.int64)
-            for doc, h, _ in forms(T.words(*T.utf8(restored), outside=NOT_LETTER)) if stretches else ():
-                keep = _among(h, known)
-                hits.append((of[doc[keep]], h[keep]))
+            hits.append(disguised(own, edges, known, channel))
         yield i, j, plain.per_doc, np.concatenate([x[0] for x in hits]).astype(np.int64), np.concatenate([x[1] for x in hits])
 
 
+def disguised(own: np.ndarray, edges: np.ndarray, known: np.ndarray, channel: Channel) -> tuple[np.ndarray, np.ndarray]:
+    """(texts, hashes) of the sorted hashes ``known`` that restored stretches hold beyond what they hold as written.
+
+    Each distinct stretch is restored once.
+    """
+    doc, start, end = spans(T.words(own, edges, lower=False))
+    stretches = T.Words(T.LOWER[own], start, end, np.zeros(0, np.int64), np.zeros(0, np.int64))
+    _, first, which, times = np.unique(stretches.hashes(), return_index=True, return_inverse=True, return_counts=True)
+    written = stretches.strings(first)
+
+    def held(texts: pa.Array) -> Counter[tuple[int, int]]:
+        out: Counter[tuple[int, int]] = Counter()
+        for i, h, _ in forms(T.words(*T.utf8(texts), outside=NOT_LETTER)):
+            keep = _among(h, known)
+            out.update(zip(i[keep].tolist(), h[keep].tolist(), strict=True))
+        return out
+
+    more = held(pa.array([channel.restore(x) for x in written.to_pylist()], pa.string())) - held(written)
+    order, begin = np.argsort(which, kind="stable"), np.cumsum(times) - times
+    at = [order[begin[i] : begin[i] + times[i]] for (i, _), n in more.items() for _ in range(n)]
+    codes = [np.full(times[i], h, np.uint64) for (i, h), n in more.items() for _ in range(n)]
+    return (doc[np.concatenate(at)], np.concatenate(codes)) if at else (np.zeros(0, np.int64), np.zeros(0, np.uint64))
+
+
 def _among(h: np.ndarray, known: np.ndarray) -> np.ndarray:
     if not len(known):
         return np.zeros(len(h), bool)
@@ -372,7 +411,7 @@ def learn(docs: DataFrame, labels: DataFrame, most_labels: int = MOST_LABELS) ->
                     text = part.strings(np.arange(len(codes))).cast(pa.string())
                     yield pa.record_batch([pa.array(codes.view(np.int64)), text, pa.array(np.full(len(codes), k == 0)), pa.array(n.astype(np.int64))], ["h", "text", "whole", "n"])
 
-    held = rows.where("y = 1").mapInArrow(counted, "h long, text string, whole boolean, n long").groupBy("h", "text", "whole").agg(F.sum("n").alias("a")).where("a >= 3 and length(text) >= 3")
+    held = rows.where("y = 1").mapInArrow(counted, "h long, text string, whole boolean, n long").groupBy("h", "text", "whole").agg(F.sum("n").alias("a")).where(f"a >= 3 and length(text) >= {LEAST_LETTERS}")
     candidates = held.orderBy(F.desc("a"), F.desc(F.length("text")), "text", "whole").limit(MOST_CANDIDATES).toPandas()
     known = np.sort(candidates["h"].to_numpy().view(np.uint64)) if len(candidates) else np.zeros(0, np.uint64)
 
