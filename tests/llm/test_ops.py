@@ -337,6 +337,15 @@ def test_spans_are_what_the_channel_may_change() -> None:
     assert stretches("plain words, [of] 日本語 an i", "i", "", "stuppid, id.iot! u p s - x") == [[], [], [], ["stuppid", "id.iot!", "u p s - x"]]
 
 
+def test_only_near_copies_teach_once() -> None:
+    rng = np.random.default_rng(2)
+    sketch = lambda agree, k: np.concatenate([first[:agree], rng.integers(0, 2**31, k - agree)])
+    first = rng.integers(0, 2**31, 64)
+    marks = np.array([first, *(sketch(40, 64) for _ in range(5)), sketch(51, 64), sketch(52, 64), first, first], np.int32)
+    assert toxicity.unlike([0] * 9 + [1], marks).tolist() == [True] * 7 + [False, False, True]
+    assert toxicity.unlike([], marks[:0]).tolist() == []
+
+
 def test_toxicity_of_odd_rows(spark: SparkSession, odd: DataFrame, none: DataFrame) -> None:
     labels = spark.createDataFrame([(1, 1, 0), (3, 0, None), (None, 1, 1), (4, None, 1), (7, 1, 1)], LABELS)
     out = toxicity.scored(odd, labels).collect()

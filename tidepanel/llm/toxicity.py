@@ -12,7 +12,9 @@ with those of the words that the labels show to be toxic.
 The score is a logistic regression on how often a text holds each form of a lexicon, as written or
 restored. A form is a whole word or the beginning of words, as stems are inflected. The lexicon has the
 forms of high lift that a fiftieth of the toxic texts hold, and those that tell most of the texts not yet
-covered from the other texts, by their number times the form's log lift. Near copies of a text teach once. Training labels are at most ``most_labels`` rows, candidates at most
+covered from the other texts, by their number times the form's log lift. Near copies of a text teach once:
+a row of which 52 of 64 minhashes over shingles of three words are those of a row before it with the same
+label is left out. Training labels are at most ``most_labels`` rows, candidates at most
 ``MOST_CANDIDATES`` of those that most toxic texts hold; trigrams are of all training texts.
 
 Null texts count as empty and get the score of a text without such words. Without labels of both kinds
@@ -41,6 +43,7 @@ from tidepanel.llm.store import drop, saved
 MOST_LABELS, MOST_CANDIDATES, MOST_WORDS, LEAST_Z, LEAST_LIFT, HIGH_LIFT = 20_000, 50_000, 256, 3.3, 1.5, 3.5
 STEMS = range(4, 11)  # bytes of a beginning
 LEAST_LETTERS = 3  # of a form
+MARKS_KEPT, SAME_MARKS = 64, 52  # minhashes of a text, and how many of them near copies share: 80 %
 WHOLE = np.uint64(0x5851F42D4C957F2D)
 # What letters a mark may stand for.
 LOOKS_LIKE = {"0": "ou", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "gb", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "(": "c", "€": "e", "£": "l", "¡": "i", "*": "aeiou", "#": "h"}
@@ -371,6 +374,21 @@ def cover(candidates: pd.DataFrame, toxic: list[np.ndarray], zeros: int) -> list
     return chosen
 
 
+def unlike(kinds: list[int], marks: np.ndarray) -> np.ndarray:
+    """Which rows agree in at least SAME_MARKS of their minhashes with no earlier row of their kind that is kept itself."""
+    bands = np.array_split(np.arange(marks.shape[1]), marks.shape[1] - SAME_MARKS + 1)  # such rows agree in the whole of one at least
+    met: dict[tuple[int, int, bytes], list[int]] = {}
+    out = np.ones(len(kinds), bool)
+    for i, kind in enumerate(kinds):
+        keys = [(kind, k, marks[i, band].tobytes()) for k, band in enumerate(bands)]
+        near = sorted({x for key in keys for x in met.get(key, ())})
+        out[i] = not ((marks[near] == marks[i]).sum(1) >= SAME_MARKS).any()
+        if out[i]:
+            for key in keys:
+                met.setdefault(key, []).append(i)
+    return out
+
+
 def learn(docs: DataFrame, labels: DataFrame, most_labels: int = MOST_LABELS) -> Model:
     kind = dict(docs.dtypes)["doc_id"]
     rows = labelled(docs, labels, "toxic", most_labels).select("doc_id", "text", (F.col("y") > 0).cast("int").alias("y"))
@@ -381,17 +399,12 @@ def learn(docs: DataFrame, labels: DataFrame, most_labels: int = MOST_LABELS) ->
             for _, _, w in T.word_runs(b.column(1)):
                 codes, n = T.shingles(w, 3)
                 for part in np.split(codes, np.cumsum(n)[:-1]):
-                    marks.append([int(T.mix(part ^ np.uint64(k)).min() >> np.uint64(1)) for k in range(1, 5)] if len(part) else [0])
-            yield pa.record_batch([b.column(0), b.column(2), pa.array(marks, pa.list_(pa.int64()))], ["doc_id", "y", "marks"])
-
-    seen = rows.mapInArrow(mark, f"doc_id {kind}, y int, marks array<long>").toPandas().sort_values(["doc_id", "y"], kind="stable")
-    taken: set[tuple[int, int, int]] = set()
-    fresh = []
-    for y, marks in zip(seen["y"].tolist(), seen["marks"].tolist(), strict=True):
-        own = {(y, k, m) for k, m in enumerate(marks)}
-        fresh.append(not own & taken)
-        taken |= own
-    seen = seen[np.array(fresh, bool)]
+                    marks.append([int(T.mix(part ^ np.uint64(k)).min() >> np.uint64(33)) for k in range(1, MARKS_KEPT + 1)] if len(part) else [0] * MARKS_KEPT)
+            yield pa.record_batch([b.column(0), b.column(2), pa.array(marks, pa.list_(pa.int32()))], ["doc_id", "y", "marks"])
+
+    seen = rows.mapInArrow(mark, f"doc_id {kind}, y int, marks array<int>").toPandas().sort_values(["doc_id", "y"], kind="stable")
+    fresh = unlike(seen["y"].tolist(), np.array(seen["marks"].tolist(), np.int32).reshape(len(seen), MARKS_KEPT))
+    seen = seen[fresh]
     ones, zeros = int(seen["y"].sum()), int((seen["y"] == 0).sum())
     if not ones or not zeros:
         rate = (ones + 1) / (ones + zeros + 2)
