@@ -346,6 +346,15 @@ def test_only_near_copies_teach_once() -> None:
     assert toxicity.unlike([], marks[:0]).tolist() == []
 
 
+def test_rare_toxic_forms_are_weighed_beside_many_common_ones(spark: SparkSession) -> None:
+    held = spark.range(60_000).selectExpr("id as h", "50L as toxic", "500L as other").unionAll(spark.sql("select -1L, 9L, 0L"))
+    assert [r.h for r in toxicity.telling(held, 100, 1000).collect()] == [-1]
+    r = toxicity.telling(held, 100, 1000).first()
+    assert r.z == pytest.approx(float(toxicity.strength(np.array([9]), np.array([0]), 100, 1000)[0]))
+    many = toxicity.pd.DataFrame({"h": range(300), "text": [f"w{i}" for i in range(300)], "toxic": 10, "other": 0})
+    assert len(toxicity.cover(many, [np.array([i % 300]) for i in range(3000)], 50_000)) == 300
+
+
 def test_toxicity_of_odd_rows(spark: SparkSession, odd: DataFrame, none: DataFrame) -> None:
     labels = spark.createDataFrame([(1, 1, 0), (3, 0, None), (None, 1, 1), (4, None, 1), (7, 1, 1)], LABELS)
     out = toxicity.scored(odd, labels).collect()

@@ -14,8 +14,8 @@ restored. A form is a whole word or the beginning of words, as stems are inflect
 forms of high lift that a fiftieth of the toxic texts hold, and those that tell most of the texts not yet
 covered from the other texts, by their number times the form's log lift. Near copies of a text teach once:
 a row of which 52 of 64 minhashes over shingles of three words are those of a row before it with the same
-label is left out. Training labels are at most ``most_labels`` rows, candidates at most
-``MOST_CANDIDATES`` of those that most toxic texts hold; trigrams are of all training texts.
+label is left out. Training labels are at most ``most_labels`` rows; every form of
+theirs is weighed, and trigrams are of all training texts.
 
 Null texts count as empty and get the score of a text without such words. Without labels of both kinds
 every text has the labels' smoothed mean. Long texts and long stretches are decoded whole, in time in
@@ -40,7 +40,7 @@ from tidepanel.llm import textvec as T
 from tidepanel.llm.labels import held_out, labelled
 from tidepanel.llm.store import drop, saved
 
-MOST_LABELS, MOST_CANDIDATES, MOST_WORDS, LEAST_Z, LEAST_LIFT, HIGH_LIFT = 20_000, 50_000, 256, 3.3, 1.5, 3.5
+MOST_LABELS, LEAST_Z, LEAST_LIFT, HIGH_LIFT = 20_000, 3.3, 1.5, 3.5
 STEMS = range(4, 11)  # bytes of a beginning
 LEAST_LETTERS = 3  # of a form
 MARKS_KEPT, SAME_MARKS = 64, 52  # minhashes of a text, and how many of them near copies share: 80 %
@@ -341,6 +341,14 @@ def strength(a: np.ndarray, b: np.ndarray, ones: int, zeros: int) -> np.ndarray:
     return odds / np.sqrt(1 / (a + 0.5) + 1 / (b + 0.5))
 
 
+def telling(held: DataFrame, ones: int, zeros: int) -> DataFrame:
+    """The rows of ``held`` (toxic, other) that tell toxic texts from others, with their :func:`strength` z and their log lift."""
+    odds = lambda c, n: F.log((F.col(c) + 0.5) / (n - F.col(c) + 0.5))
+    z = (odds("toxic", ones) - odds("other", zeros)) / F.sqrt(1 / (F.col("toxic") + 0.5) + 1 / (F.col("other") + 0.5))
+    lift = F.log((F.col("toxic") + 0.5) / (ones + 1)) - F.log((F.col("other") + 0.5) / (zeros + 1))
+    return held.withColumns({"z": z, "lift": lift}).where((F.col("z") >= LEAST_Z) & (F.col("lift") >= LEAST_LIFT))
+
+
 def cover(candidates: pd.DataFrame, toxic: list[np.ndarray], zeros: int) -> list[int]:
     """Rows of ``candidates`` for the lexicon; ``toxic`` has the candidates of each toxic text."""
     place = {h: k for k, h in enumerate(candidates["h"].tolist())}
@@ -360,11 +368,11 @@ def cover(candidates: pd.DataFrame, toxic: list[np.ndarray], zeros: int) -> list
     value, lift = worth() if place else (np.zeros(0), np.zeros(0))
     for k in sorted(range(len(value)), key=lambda i: (-round(value[i], 9), -size[i], i)):
         common = len(held[k]) >= max(3, len(toxic) / 50)
-        if value[k] > 0 and common and lift[k] >= HIGH_LIFT and len(chosen) < MOST_WORDS and all(len(np.intersect1d(held[k], held[c])) < 0.8 * len(np.union1d(held[k], held[c])) for c in chosen):
+        if value[k] > 0 and common and lift[k] >= HIGH_LIFT and all(len(np.intersect1d(held[k], held[c])) < 0.8 * len(np.union1d(held[k], held[c])) for c in chosen):
             chosen.append(k)
     for k in chosen:
         left[held[k]] = False
-    while left.any() and len(chosen) < MOST_WORDS:
+    while left.any():
         value, _ = worth() if place else (np.zeros(0), None)
         k = max(range(len(value)), key=lambda i: (round(value[i], 9), size[i], -i), default=-1)
         if k < 0 or value[k] <= 0:
@@ -415,35 +423,21 @@ def learn(docs: DataFrame, labels: DataFrame, most_labels: int = MOST_LABELS) ->
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for _, _, w in T.word_runs(b.column(1), outside=NOT_LETTER):
+            y = b.column(2).to_numpy()
+            for i, j, w in T.word_runs(b.column(1), outside=NOT_LETTER):
                 for k, (doc, h, end) in enumerate(forms(w)):
                     one = once(doc, h)
-                    codes, where, n = np.unique(h[one], return_index=True, return_counts=True)
+                    codes, where, which = np.unique(h[one], return_index=True, return_inverse=True)
+                    toxic = np.bincount(which[y[i:j][doc[one]] == 1], minlength=len(codes))
+                    other = np.bincount(which, minlength=len(codes)) - toxic
                     start = w.start[np.searchsorted(w.start, end[one[where]] - 1, "right") - 1]
                     part = T.Words(w.data, start, end[one[where]], w.per_doc, w.doc_bytes)
                     text = part.strings(np.arange(len(codes))).cast(pa.string())
-                    yield pa.record_batch([pa.array(codes.view(np.int64)), text, pa.array(np.full(len(codes), k == 0)), pa.array(n.astype(np.int64))], ["h", "text", "whole", "n"])
-
-    held = rows.where("y = 1").mapInArrow(counted, "h long, text string, whole boolean, n long").groupBy("h", "text", "whole").agg(F.sum("n").alias("a")).where(f"a >= 3 and length(text) >= {LEAST_LETTERS}")
-    candidates = held.orderBy(F.desc("a"), F.desc(F.length("text")), "text", "whole").limit(MOST_CANDIDATES).toPandas()
-    known = np.sort(candidates["h"].to_numpy().view(np.uint64)) if len(candidates) else np.zeros(0, np.uint64)
+                    yield pa.record_batch([pa.array(codes.view(np.int64)), text, pa.array(np.full(len(codes), k == 0)), pa.array(toxic), pa.array(other)], ["h", "text", "whole", "toxic", "other"])
 
-    def against(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((2, len(known)), np.int64)
-        for b in batches:
-            y = b.column(2).to_numpy()
-            for i, j, _, doc, h in found(b.column(1), known, None):
-                one = once(doc, h)
-                for side in (0, 1):
-                    total[side] += np.bincount(np.searchsorted(known, h[one][y[i:j][doc[one]] == side]), minlength=len(known))
-        at = np.flatnonzero(total.any(0))
-        yield pa.record_batch([pa.array(known[at].view(np.int64)), pa.array(total[1][at]), pa.array(total[0][at])], ["h", "a", "b"])
-
-    sums = rows.mapInArrow(against, "h long, a long, b long").groupBy("h").agg(F.sum("a").alias("toxic"), F.sum("b").alias("other")).toPandas()  # at most MOST_CANDIDATES
-    candidates = candidates.merge(sums, on="h")
-    candidates["z"] = strength(candidates["toxic"].to_numpy(), candidates["other"].to_numpy(), ones, zeros)
-    candidates["lift"] = np.log((candidates["toxic"] + 0.5) / (ones + 1)) - np.log((candidates["other"] + 0.5) / (zeros + 1))
-    candidates = candidates[(candidates["z"] >= LEAST_Z) & (candidates["lift"] >= LEAST_LIFT)].sort_values(["toxic", "text", "whole"], ascending=[False, True, True]).reset_index(drop=True)
+    held = rows.mapInArrow(counted, "h long, text string, whole boolean, toxic long, other long").groupBy("h", "text", "whole").agg(F.sum("toxic").alias("toxic"), F.sum("other").alias("other"))
+    candidates = telling(held.where(f"toxic >= 3 and length(text) >= {LEAST_LETTERS}"), ones, zeros).toPandas()  # forms of toxic texts, which are bounded
+    candidates = candidates.sort_values(["toxic", "text", "whole"], ascending=[False, True, True]).reset_index(drop=True)
     best = np.sort(candidates["h"].to_numpy().view(np.uint64))
 
     def incident(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -463,10 +457,13 @@ def learn(docs: DataFrame, labels: DataFrame, most_labels: int = MOST_LABELS) ->
     def measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             hits = model.hits(b.column(1)).astype(np.int64)
-            yield pa.record_batch([b.column(0), b.column(2), pa.array(list(hits), pa.list_(pa.int64()))], ["doc_id", "y", "x"])
+            at = [np.flatnonzero(x) for x in hits]
+            yield pa.record_batch([b.column(0), b.column(2), pa.array(at, pa.list_(pa.int64())), pa.array([x[k] for x, k in zip(hits, at, strict=True)], pa.list_(pa.int64()))], ["doc_id", "y", "at", "x"])
 
-    seen = rows.mapInArrow(measured, f"doc_id {kind}, y int, x array<long>").toPandas()
-    x = np.array(seen["x"].tolist(), np.int64).reshape(len(seen), -1)
+    seen = rows.mapInArrow(measured, f"doc_id {kind}, y int, at array<long>, x array<long>").toPandas()
+    x = np.zeros((len(seen), len(codes)), np.int64)
+    for row, at, n in zip(x, seen["at"], seen["x"], strict=True):
+        row[np.asarray(at, np.int64)] = n
     order = np.lexsort((*x.T, seen["y"].to_numpy(), seen["doc_id"].to_numpy()))
     model.weights = regression(inputs(x[order], model.strong), seen["y"].to_numpy().astype(float)[order])
     drop(rows)
