@@ -9,8 +9,8 @@ units, the source's exact block quota.
 
 Those quotas go to ``2**depth`` output shards by a splitting tree (:func:`split_quotas`): each node deals
 half of its units to its left child by a multivariate hypergeometric draw and the rest to its right one.
-A source's permuted units are then cut into disjoint runs of the shards' sizes, and each shard is
-shuffled locally by a hash.
+A source's permuted units are then cut into disjoint runs of the shards' sizes. :func:`draw` gives each
+drawn document its shard and a hash to sort the shard by; :func:`mix` does neither partition nor sort by them.
 
 Every random choice is an MD5 of the seed and of what it is about, so reruns agree. A null text has size
 0; null and empty sources are sources of their own, null last. Documents without words are never drawn.
