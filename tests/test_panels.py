@@ -227,6 +227,12 @@ def test_workflow_and_command_line(spark: SparkSession, calendar: DataFrame, tmp
     assert "| T00 |" in workflow.bias_report(calendar, ["Price"])
 
 
+def test_report_tables_are_whole(spark: SparkSession) -> None:
+    panel = spark.range(1003).selectExpr("concat('T', lpad(id, 4, '0')) as Ticker", "date'2024-01-01' as Date", "double(id) as Price", "double(id) as Zeta")
+    report = workflow.bias_report(panel, ["Price", "Zeta"]).splitlines()
+    assert sum("| T" in line for line in report) >= 4 * 1003 and any(line.startswith("| Zeta | T1002 |") for line in report)
+
+
 def test_evaluation(spark: SparkSession) -> None:
     r = [0.1, -0.5, 0.2, None]
     df = spark.createDataFrame([(i, "A", x) for i, x in enumerate(r)], "Date int, Ticker string, r double")

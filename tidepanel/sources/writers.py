@@ -36,10 +36,10 @@ def write_scaled(scaled: DataFrame, stats: DataFrame, meta: DataFrame, path: str
     meta.coalesce(1).write.mode("overwrite").option("ignoreNullFields", False).json(f"{path}/meta")
 
 
-def markdown_table(df: DataFrame, columns: Sequence[str], digits: int = 6, most: int = 1000) -> str:
-    """A small table's first rows as Markdown; NULL is empty."""
+def markdown_table(df: DataFrame, columns: Sequence[str], digits: int = 6) -> str:
+    """All rows of a report's table as Markdown; NULL is empty."""
     show = lambda v: "" if v is None else f"{v:.{digits}f}" if isinstance(v, float) else str(v)
-    rows = df.select(*columns).limit(most).collect()  # a report shows this many
+    rows = df.select(*columns).collect()  # a row per column or ticker, or for each pair of feature and ticker
     return "\n".join(["| " + " | ".join(columns) + " |", "|" + "---|" * len(columns), *("| " + " | ".join(show(v) for v in r) + " |" for r in rows)])
 
 
