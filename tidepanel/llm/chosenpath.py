@@ -3,7 +3,8 @@
 A document's set is its distinct ``k``-word shingles (words are runs outside ``[\\x20\\x09-\\x0D]``, A-Z
 lower-cased); with fewer words, their whole sequence; without words it is empty and links with nothing.
 Documents with equal sets are one class. Each class has ``TOKENS`` minwise tokens, one for each of as many
-hash functions; two sets agree in a share of them that is close to their Jaccard similarity.
+hash functions; two sets agree in a share of them that is close to their Jaccard similarity. Eight bits of
+each token, its marks, travel with the class.
 
 Join trees (:func:`roots`, :func:`deeper`): at the root, and at every node that is too large, a few hash
 functions are chosen at random (by the node's path), one for sure and another with the probability that
@@ -12,19 +13,21 @@ classes share a token with the probability of their similarity, so on average a
 meets in as many children as it left behind; ``trees`` independent trees bring the chance to meet close to
 1. Nodes of one class end.
 
-Nodes of at most ``small`` classes are compared exhaustively by their tokens (:func:`candidates`), and what
-may reach the threshold is confirmed on the full sets, taken anew from the whole texts (:func:`confirmed`).
-What matters is which classes hang together, so not all pairs of a large group of copies are confirmed. In
-the largest node below the roots that has it, if it is large, each class is first compared with one block
-of it, by full sets. What that ties together is one component, and pairs within it have nothing left to
-show: a node that is one component is done; one with few classes beside its largest component compares
-these with all; others branch on. What is still large after ``depth`` branchings is cut into blocks, and
-every two blocks compared, so none is cut short.
-
-Small nodes and blocks first propose a forest of their most similar pairs. Where classes of different
-components that may yet reach the threshold are left in one unit, the unit gets these classes' full sets,
-each once, and compares all of them (:func:`compared`). So no two documents whose sets reach the threshold
-and that met stay apart, and no list of all pairs is made.
+Nodes of at most ``small`` classes (and ``MOST_SHINGLES`` shingles) are units, compared exhaustively by their
+marks. What matters is which classes hang together, so not all pairs of a group of copies are confirmed
+(:func:`decide`): a unit proposes the forest of its most similar pairs that agree in enough marks to reach the
+threshold (:func:`forests`); these are confirmed on the full sets, taken anew from the whole texts
+(:func:`confirmed`). A tree of a forest that a refuted pair leaves in several components is looked at once
+more: those of its classes that may reach one of another component get their full sets, each once, and all
+their pairs are compared (:func:`compared`). So no two documents whose sets reach the threshold and that met
+in a unit stay apart, and no list of all pairs is made: every table has a few rows for a class in a unit.
+
+Nodes that are larger can hold any share of all rows. In the largest of its large nodes each class is first
+compared with a few hundred of the node's classes, in units of blocks beside these (:func:`beside`). What
+that ties together is one component, and pairs within it have nothing left to show: a node that is one
+component is done; one with few classes beside its largest component compares these with all, block by
+block; others branch on (:func:`settled`). Every ``depth`` branchings, the comparison with a few hundred is
+done anew. This goes on until no large node is left, so none is cut short.
 
 Null texts count as empty. Null ids link with nothing. Repeated ids are rows of their own and count as one
 node. Ties are broken by the least id. An empty table gives an empty result. Columns of other names are
@@ -42,10 +45,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidepanel.llm import textvec as T
-from tidepanel.llm.components import connected_components, groups, repeated, stretches
-from tidepanel.llm.store import cut, drop, saved
+from tidepanel.llm.components import connected_components, groups, merged, repeated, stretches
+from tidepanel.llm.store import drop, saved
 
 TOKENS = 64
+FEW = 256
+MOST_SHINGLES = 1 << 23
 _keys = T.mix(np.arange(1, TOKENS + 1).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 
 
@@ -100,159 +105,191 @@ def branch(node: np.ndarray, own: np.ndarray, threshold: float) -> tuple[np.ndar
     return np.concatenate(rows), np.concatenate(children)
 
 
+def _matrix(column: pa.Array | pa.ChunkedArray, kind: type = np.uint8) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), kind).reshape(-1, TOKENS)
+
+
+def _binary(rows: np.ndarray) -> pa.Array:
+    """A binary column of the rows of a matrix of bytes."""
+    offsets = np.arange(len(rows) + 1, dtype=np.int32) * np.int32(rows.shape[1])
+    return pa.BinaryArray.from_buffers(pa.binary(), len(rows), [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(np.ascontiguousarray(rows).tobytes())])
+
+
 def roots(classes: DataFrame, threshold: float, trees: int) -> DataFrame:
-    """(node, id): the children of every tree's root."""
+    """(node, id, size, component, marks): the children of every tree's root; ``classes`` has id, size, component and tokens."""
     kind = dict(classes.dtypes)["id"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            own = np.frombuffer(b"".join(b.column(1).to_pylist()), np.uint32).reshape(-1, TOKENS)
+            own = _matrix(b.column(3), np.uint32)
             for tree in range(trees):
                 rows, children = branch(T.mix(np.full(len(own), tree + 1, np.uint64)), own, threshold)
-                yield pa.record_batch([pa.array(children.view(np.int64)), b.column(0).take(pa.array(rows))], ["node", "id"])
+                at = pa.array(rows)
+                yield pa.record_batch([pa.array(children.view(np.int64)), *(b.column(c).take(at) for c in range(3)), _binary(own[rows].astype(np.uint8))], ["node", "id", "size", "component", "marks"])
 
-    return classes.select("id", "tokens").mapInArrow(run, f"node long, id {kind}")
+    return classes.select("id", "size", "component", "tokens").mapInArrow(run, f"node long, id {kind}, size long, component {kind}, marks binary")
 
 
-def deeper(rows: DataFrame, classes: DataFrame, threshold: float) -> DataFrame:
-    """(node, id): the children of the nodes of ``rows``."""
-    kind = dict(classes.dtypes)["id"]
+def deeper(rows: DataFrame, threshold: float) -> DataFrame:
+    """(node, id, size, component, marks): the children of the nodes of ``rows``, by their marks."""
+    kind = dict(rows.dtypes)["id"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            own = np.frombuffer(b"".join(b.column(2).to_pylist()), np.uint32).reshape(-1, TOKENS)
-            rows, children = branch(b.column(0).to_numpy().view(np.uint64), own, threshold)
-            yield pa.record_batch([pa.array(children.view(np.int64)), b.column(1).take(pa.array(rows))], ["node", "id"])
+            own = _matrix(b.column(4))
+            at, children = branch(b.column(0).to_numpy().view(np.uint64), own, threshold)
+            yield pa.record_batch([pa.array(children.view(np.int64)), *(b.column(c).take(pa.array(at)) for c in range(1, 5))], ["node", "id", "size", "component", "marks"])
+
+    return rows.select("node", "id", "size", "component", "marks").mapInArrow(run, f"node long, id {kind}, size long, component {kind}, marks binary")
+
+
+UNIT = ["node", "part"]
+TREE = [*UNIT, "tree"]
 
-    return rows.select("node", "id").join(classes.select("id", "tokens"), "id").select("node", "id", "tokens").mapInArrow(run, f"node long, id {kind}")
 
+def units_of(rows: DataFrame, part: Column | int = 0) -> DataFrame:
+    """(node, part, id, component, marks)."""
+    return rows.select("node", (F.lit(part) if isinstance(part, int) else part).cast("int").alias("part"), "id", "component", "marks")
 
-CELL = ["node", "low", "high"]
+
+def _parts(m: str, weight: str, small: int) -> Column:
+    """How many blocks make units of at most about ``small`` classes and MOST_SHINGLES shingles."""
+    return F.ceil(F.greatest(F.col(m) / small, F.col(weight) / MOST_SHINGLES)).cast("int")
 
 
 def _block(parts: Column) -> Column:
-    return F.pmod(F.xxhash64("id"), parts).cast("int")
+    return F.pmod(F.xxhash64("id", "node"), parts).cast("int")
+
+
+def large_nodes(rows: DataFrame, small: int) -> DataFrame:
+    """(node, m, weight) of the nodes that are no units, written."""
+    per = rows.groupBy("node").agg(F.count("*").alias("m"), F.sum("size").alias("weight"))
+    return saved(per.where((F.col("m") > 1) & ((F.col("m") > small) | (F.col("weight") > MOST_SHINGLES))), "large")
+
 
+def beside(rows: DataFrame, small: int) -> DataFrame:
+    """Units that compare each class, in the largest of its large nodes, with a few hundred of that node."""
+    one = rows.groupBy("id").agg(F.max_by(F.struct("node", "size", "component", "marks"), F.struct("m", "node")).alias("x")).select("id", "x.*")
+    per = one.groupBy("node").agg(F.count("*").alias("m"), F.sum("size").alias("weight"))
+    one = one.join(per, "node").withColumn("parts", _parts("m", "weight", small))
+    few = F.pmod(F.xxhash64("node", "id", F.lit(1)), F.ceil(F.col("m") / min(FEW, small)).cast("long")) == 0
+    to = F.when(few, F.sequence(F.lit(0), F.col("parts") - 1)).otherwise(F.array(_block(F.col("parts"))))
+    return units_of(one.withColumn("part", F.explode(to)), F.col("part"))
 
-def whole(rows: DataFrame) -> DataFrame:
-    """(node, low, high, part, id): a unit of comparison for each node."""
-    zero = F.lit(0)
-    return rows.select("node", zero.alias("low"), zero.alias("high"), zero.alias("part"), "id")
 
+def settled(rows: DataFrame, small: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Of large nodes: units that compare what few classes are beside a node's largest component with all; the rows that branch on; a table that both read."""
+    per = rows.groupBy("node", "component").agg(F.count("*").alias("n"), F.sum("size").alias("s"))
+    per = per.groupBy("node").agg(F.max(F.struct("n", "component")).alias("top"), F.sum("n").alias("m"), F.sum("s").alias("weight"))
+    per = saved(per.select("node", "m", "weight", F.col("top.n").alias("n"), F.col("top.component").alias("giant")).where("m > n"), "settled")
+    few = F.col("m") - F.col("n") <= min(FEW, small)
+    held = rows.drop("m", "weight").join(per.where(few), "node").withColumn("parts", _parts("m", "weight", small))
+    to = F.when(F.col("component") == F.col("giant"), F.array(_block(F.col("parts")))).otherwise(F.sequence(F.lit(0), F.col("parts") - 1))
+    units = units_of(held.withColumn("part", F.explode(to)), F.col("part"))
+    return units, rows.join(per.where(~few).select("node"), "node", "left_semi"), per
 
-def first_block(rows: DataFrame, small: int) -> DataFrame:
-    """Units that compare the first of a node's blocks with each of them."""
-    parts = rows.withColumn("parts", F.ceil(F.col("m") * 2 / small).cast("int")).withColumn("part", _block(F.col("parts")))
-    highs = F.when(F.col("part") == 0, F.sequence(F.lit(0), F.col("parts") - 1)).otherwise(F.array("part"))
-    return parts.select("node", F.lit(0).alias("low"), F.explode(highs).alias("high"), "part", "id")
 
+def _laid(units: DataFrame, keys: list[str], *columns: str) -> DataFrame:
+    return units.repartition(*keys).sortWithinPartitions(*keys, "id").select(*keys, *columns)
 
-def all_blocks(rows: DataFrame, small: int) -> DataFrame:
-    """Units that compare a node's blocks two by two."""
-    parts = rows.withColumn("parts", F.ceil(F.col("m") * 2 / small).cast("int")).withColumn("part", _block(F.col("parts")))
-    parts = parts.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    return parts.select("node", F.least("part", "with").alias("low"), F.greatest("part", "with").alias("high"), "part", "id")
 
+def _agreeing(marks: np.ndarray, which: int) -> np.ndarray:
+    """In how many marks a class agrees with each; ``marks`` has a row for each token."""
+    return (marks == marks[:, which : which + 1]).sum(0, dtype=np.uint8)
 
-def settled(rows: DataFrame, parts: DataFrame, small: int) -> tuple[DataFrame, DataFrame]:
-    """Of large nodes: units that compare what few classes are beside a node's largest component with the whole; and the rows that branch on."""
-    held = rows.select("node", "id").join(parts, "id")
-    per = held.groupBy("node", "component").agg(F.count("*").alias("n")).groupBy("node").agg(F.max(F.struct("n", "component")).alias("top"), F.sum("n").alias("m"))
-    per = per.select("node", "m", F.col("top.n").alias("n"), F.col("top.component").alias("giant")).where("m > n")
-    few = held.join(per.where(F.col("m") - F.col("n") <= small), "node").withColumn("parts", F.ceil(F.col("n") / small).cast("int"))
-    part = F.when(F.col("component") == F.col("giant"), 1 + _block(F.col("parts"))).otherwise(0)
-    few = few.withColumn("part", part)
-    highs = F.when(F.col("part") == 0, F.sequence(F.lit(0), F.col("parts"))).otherwise(F.array("part"))
-    units = few.select("node", F.lit(0).alias("low"), F.explode(highs).alias("high"), "part", "id")
-    return units, rows.join(per.where(F.col("m") - F.col("n") > small).select("node"), "node", "left_semi")
 
+def spanning(marks: np.ndarray, component: np.ndarray, least: int) -> np.ndarray:
+    """(a, b, tree) rows: a forest of the most similar pairs that agree in ``least`` marks or are of one component.
 
-def _meeting(own: np.ndarray, at: np.ndarray, part: np.ndarray, low: np.ndarray, high: np.ndarray, parts: np.ndarray, least: int, few: int = 16) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Rows a and b, and how many tokens they agree in, of the pairs to consider in runs of rows that begin at ``at``."""
+    Prim's way: a tree takes in the row that is most similar to any of its rows, until none is near enough.
+    """
+    n = marks.shape[1]
+    best, by, free = np.zeros(n, np.uint8), np.zeros(n, np.int64), np.ones(n, bool)
+    left, tree = [], 0
+    for _ in range(n):
+        now = int(best.argmax())
+        if best[now]:
+            left.append((by[now], now, tree))
+        else:
+            now = tree = int(free.argmax())
+        free[now] = False
+        best[now] = 0
+        near = _agreeing(marks, now)
+        near[near < least] = 0
+        near[component == component[now]] = TOKENS + 1
+        more = (near > best) & free
+        best[more], by[more] = near[more], now
+    return np.array(left, np.int64).reshape(-1, 3)
+
+
+def _small_runs(own: np.ndarray, at: np.ndarray, component: np.ndarray, least: int, few: int) -> np.ndarray:
+    """As :func:`spanning`, for all runs of at most ``few`` rows at once; trees are named by their least row."""
     size = np.diff(at)
     run = np.repeat(np.arange(len(size)), size)
     out = []
-    for d in range(1, min(few, int(size.max(initial=0)))):  # small runs all at once
+    for d in range(1, min(few, int(size.max(initial=0)))):
         a = np.flatnonzero((run[:-d] == run[d:]) & (size[run[:-d]] <= few))
-        a = a[parts[a] != parts[a + d]]
-        a = a[(low[a] == high[a]) | (part[a] != part[a + d])]
         agree = (own[a] == own[a + d]).sum(1)
+        agree[component[a] == component[a + d]] = TOKENS + 1
         keep = agree >= least
-        out.append((a[keep], a[keep] + d, agree[keep]))
-    for k in np.flatnonzero(size > few).tolist():
-        rows = np.arange(at[k], at[k + 1])
-        if (parts[rows] == parts[rows[0]]).all():
-            continue
-        one, two = rows[part[rows] == low[rows[0]]], rows[part[rows] == high[rows[0]]]
-        agree = np.zeros((len(one), len(two)), np.uint8)
-        for t in range(TOKENS):
-            agree += own[one, t][:, None] == own[two, t][None, :]
-        near = (agree >= least) & (parts[one][:, None] != parts[two][None, :])
-        if low[rows[0]] == high[rows[0]]:
-            near = np.triu(near, 1)
-        a, b = np.nonzero(near)
-        out.append((one[a], two[b], agree[a, b].astype(np.int64)))
-    return tuple(np.concatenate(x) for x in zip(*out, strict=True)) if out else (np.zeros(0, np.int64),) * 3
-
-
-def _ties(a: np.ndarray, b: np.ndarray, n: int) -> list[int]:
-    """Which pairs, in order, tie together what was not before."""
-    root, keep = list(range(n)), []
-    for i, (p, q) in enumerate(zip(a.tolist(), b.tolist(), strict=True)):
-        while root[p] != p:
-            root[p] = root[root[p]]
-            p = root[p]
-        while root[q] != q:
-            root[q] = root[root[q]]
-            q = root[q]
+        out.append(np.stack([a[keep], a[keep] + d, agree[keep]], 1))
+    pairs = np.concatenate(out) if out else np.zeros((0, 3), np.int64)
+    pairs = pairs[np.lexsort((pairs[:, 1], pairs[:, 0], -pairs[:, 2]))]
+    root: dict[int, int] = {}
+
+    def top(i: int) -> int:
+        while (up := root.setdefault(i, i)) != i:
+            root[i] = i = root[up]
+        return i
+
+    ties = []
+    for a, b, _ in pairs.tolist():
+        p, q = top(a), top(b)
         if p != q:
             root[max(p, q)] = min(p, q)
-            keep.append(i)
-    return keep
-
-
-def _laid(units: DataFrame, *columns: str) -> DataFrame:
-    return units.repartition(*CELL).sortWithinPartitions(*CELL, "id").select(*CELL, *columns)
-
+            ties.append((a, b))
+    return np.array([(a, b, top(a)) for a, b in ties], np.int64).reshape(-1, 3)
 
-def _ready(g: pa.Table) -> tuple[np.ndarray, ...]:
-    own = np.frombuffer(b"".join(g["tokens"].to_pylist()), np.uint32).reshape(-1, TOKENS)
-    return own, g["part"].to_numpy(), g["low"].to_numpy(), g["high"].to_numpy(), g["component"].to_numpy()
 
+def forests(units: DataFrame, least: int) -> DataFrame:
+    """(node, part, tree, a, b, same): the trees of each unit's forest that tie more than one component together.
 
-def candidates(units: DataFrame, classes: DataFrame, least: int) -> DataFrame:
-    """Distinct (a, b): a forest of each unit's most similar pairs that agree in ``least`` tokens and are of different components."""
-    kind = dict(classes.dtypes)["id"]
+    ``same`` marks pairs of one component, which need no look.
+    """
+    kind = dict(units.dtypes)["id"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for g, at in stretches(batches, 3):
+        for g, at in stretches(batches, 2):
             ids = g["id"].to_numpy()
-            own, part, low, high, parts = _ready(g)
-            a, b, agree = _meeting(own, at, part, low, high, parts, least)
-            order = np.lexsort((np.maximum(ids[a], ids[b]), np.minimum(ids[a], ids[b]), -agree))
-            a, b = a[order], b[order]
-            keep = _ties(a, b, len(ids))
-            yield pa.record_batch([pa.array(np.minimum(ids[a[keep]], ids[b[keep]])), pa.array(np.maximum(ids[a[keep]], ids[b[keep]]))], ["a", "b"])
-
-    rows = units.join(classes.select("id", "tokens", "component"), "id")
-    return _laid(rows, "part", "id", "tokens", "component").mapInArrow(run, f"a {kind}, b {kind}").distinct()
-
-
-def undecided(held: DataFrame, classes: DataFrame, least: int) -> DataFrame:
-    """(node, low, high, part, id, component) of units that may still be linked to another component in their unit."""
-    kind = dict(classes.dtypes)["id"]
-    mixed = held.groupBy(CELL).agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select(CELL)
-    names = [*CELL, "part", "id", "component"]
+            _, component = np.unique(g["component"].to_numpy(), return_inverse=True)
+            own = _matrix(g["marks"])
+            found = [_small_runs(own, at, component, least, 16)]
+            for i, j in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
+                if j - i > 16:
+                    found.append(spanning(np.ascontiguousarray(own[i:j].T), component[i:j], least) + i)
+            a, b, tree = np.concatenate(found).T
+            same = component[a] == component[b]
+            keep = np.isin(tree, tree[~same])
+            a, b, tree, same = a[keep], b[keep], tree[keep], same[keep]
+            x, y = np.minimum(ids[a], ids[b]), np.maximum(ids[a], ids[b])
+            yield pa.record_batch([g["node"].take(pa.array(a)).combine_chunks(), g["part"].take(pa.array(a)).combine_chunks(), pa.array(tree), pa.array(x), pa.array(y), pa.array(same)], [*TREE, "a", "b", "same"])
+
+    return _laid(units, UNIT, "id", "component", "marks").mapInArrow(run, f"node long, part int, tree long, a {kind}, b {kind}, same boolean")
+
+
+def undecided(rows: DataFrame, least: int) -> DataFrame:
+    """(node, part, tree, id, component, marks) of the ``rows`` that may reach one of another component in their tree."""
+    names = [*TREE, "id", "component"]
+    kind = dict(rows.dtypes)["id"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for g, at in stretches(batches, 3):
-            own, part, low, high, parts = _ready(g)
-            a, b, _ = _meeting(own, at, part, low, high, parts, least)
-            rows = g.select(names).take(pa.array(np.unique(np.concatenate([a, b])), pa.int64())).combine_chunks()
-            yield from rows.to_batches()
+        for g in groups(batches, 3):
+            own = _matrix(g["tokens"], np.uint32).astype(np.uint8)
+            marks, (_, component) = np.ascontiguousarray(own.T), np.unique(g["component"].to_numpy(), return_inverse=True)
+            live = np.array([i for i in range(len(own)) if ((_agreeing(marks, i) >= least) & (component != component[i])).any()], np.int64)
+            yield from g.select(names).take(pa.array(live)).append_column("marks", _binary(own[live])).combine_chunks().to_batches()
 
-    rows = held.join(mixed, CELL, "left_semi").join(classes.select("id", "tokens"), "id")
-    return _laid(rows, "part", "id", "tokens", "component").mapInArrow(run, f"node long, low int, high int, part int, id {kind}, component {kind}")
+    return _laid(rows, TREE, "id", "component", "tokens").mapInArrow(run, f"node long, part int, tree long, id {kind}, component {kind}, marks binary")
 
 
 def shared(sets: list[np.ndarray], width: int = 4096) -> np.ndarray:
@@ -265,7 +302,7 @@ def shared(sets: list[np.ndarray], width: int = 4096) -> np.ndarray:
     column, owner = rank[code[keep]], owner[keep]
     order = np.argsort(column, kind="stable")
     column, owner = column[order], owner[order]
-    out = np.zeros((len(sets), len(sets)))
+    out = np.zeros((len(sets), len(sets)), np.float32)  # exact for whole numbers below 2**24
     for begin in range(0, int(rank[-1]) + 1 if len(rank) else 0, width):
         i, j = np.searchsorted(column, [begin, begin + width])
         m = np.zeros((len(sets), width), np.float32)
@@ -274,142 +311,146 @@ def shared(sets: list[np.ndarray], width: int = 4096) -> np.ndarray:
     return out.astype(np.int64)
 
 
-def compared(rows: DataFrame, classes: DataFrame, texts: DataFrame, least: int, k: int, percent: int) -> DataFrame:
-    """(a, b): a forest of the links between different components in each unit, by the full sets of its rows.
+def _sets(texts: pa.Array | pa.ChunkedArray, k: int) -> list[np.ndarray]:
+    """The full set of each text."""
+    out: list[np.ndarray] = []
+    for _, _, w in T.word_runs(texts.combine_chunks() if isinstance(texts, pa.ChunkedArray) else texts):
+        codes, n = T.shingles(w, k)
+        out += np.split(codes, np.cumsum(n)[:-1])
+    return out
+
 
-    Units with the same rows are compared once.
+def links(sets: list[np.ndarray], marks: np.ndarray, component: np.ndarray, least: int, percent: int) -> list[tuple[int, int]]:
+    """A forest of the links between different components; ``marks`` has a row for each token."""
+    n, size = len(sets), np.array([len(x) for x in sets])
+    near = np.zeros((n, n), bool)
+    for i in range(n):
+        near[i] = (_agreeing(marks, i) >= least) & (component != component[i])
+    near &= 100 * np.minimum(size[:, None], size) >= percent * np.maximum(size[:, None], size)
+    if near.sum() > 8 * n:
+        both = shared(sets)
+        near &= 100 * both >= percent * (size[:, None] + size - both)
+    else:
+        for i, j in zip(*np.nonzero(np.triu(near)), strict=True):
+            both = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
+            near[i, j] = near[j, i] = 100 * both >= percent * (size[i] + size[j] - both)
+    out, seen = [], np.zeros(n, bool)
+    for first in range(n):
+        waiting = [] if seen[first] else [first]
+        seen[first] = True
+        while waiting:
+            i = waiting.pop()
+            to = np.flatnonzero(near[i] & ~seen)
+            out += [(i, j) for j in to.tolist()]
+            to = np.union1d(to, np.flatnonzero((component == component[i]) & ~seen))
+            seen[to] = True
+            waiting += to.tolist()
+    return out
+
+
+def compared(rows: DataFrame, texts: DataFrame, least: int, k: int, percent: int) -> DataFrame:
+    """(a, b): a forest of the links between different components in each tree, by the full sets of its rows.
+
+    Trees with the same rows are compared once.
     """
-    kind = dict(classes.dtypes)["id"]
-    members = rows.groupBy(CELL).agg(F.sum(F.xxhash64("id", "part").cast("decimal(38,0)")).alias("x"), F.count("*").alias("n"))
-    first = members.groupBy("x", "n").agg(F.min(F.struct(*CELL)).alias("u")).select("u.*")
-    full = rows.join(first, CELL, "left_semi").join(classes.select("id", "tokens"), "id").join(texts, "id")
+    kind = dict(rows.dtypes)["id"]
+    members = rows.groupBy(TREE).agg(F.sum(F.xxhash64("id").cast("decimal(38,0)")).alias("x"), F.count("*").alias("n"))
+    first = members.groupBy("x", "n").agg(F.min(F.struct(*TREE)).alias("u")).select("u.*")
+    full = rows.join(first, TREE, "left_semi").join(texts, "id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for g in groups(batches, 3):
             ids = g["id"].to_numpy()
-            own, part, low, high, parts = _ready(g)
-            a, b, agree = _meeting(own, np.array([0, len(ids)]), part, low, high, parts, least)
-            sets: list[np.ndarray] = []
-            for _, _, w in T.word_runs(g["text"].combine_chunks()):
-                codes, n = T.shingles(w, k)
-                sets += np.split(codes, np.cumsum(n)[:-1])
-            of = {c: i for i, c in enumerate(dict.fromkeys(parts.tolist()))}
-            at = np.array([of[c] for c in parts.tolist()])
-            root, found = list(range(len(of))), []
-
-            def top(i: int, root: list[int] = root) -> int:
-                while root[i] != i:
-                    root[i] = root[root[i]]
-                    i = root[i]
-                return i
-
-            size = np.array([len(x) for x in sets])
-            keep = 100 * np.minimum(size[a], size[b]) >= percent * np.maximum(size[a], size[b])
-            a, b, agree = a[keep], b[keep], agree[keep]
-            if len(a) > 4 * len(sets):
-                both = shared(sets)[a, b]
-                keep = 100 * both >= percent * (size[a] + size[b] - both)
-                a, b, agree = a[keep], b[keep], agree[keep]
-            for i in np.argsort(-agree, kind="stable").tolist():
-                p, q = top(at[a[i]]), top(at[b[i]])
-                if p == q:
-                    continue
-                both = len(np.intersect1d(sets[a[i]], sets[b[i]], assume_unique=True))
-                if 100 * both >= percent * (size[a[i]] + size[b[i]] - both):
-                    root[max(p, q)] = min(p, q)
-                    found.append((a[i], b[i]))
+            _, component = np.unique(g["component"].to_numpy(), return_inverse=True)
+            found = links(_sets(g["text"], k), np.ascontiguousarray(_matrix(g["marks"]).T), component, least, percent)
             pairs = np.array(found, np.int64).reshape(-1, 2)
             yield pa.record_batch([pa.array(ids[pairs[:, 0]]), pa.array(ids[pairs[:, 1]])], ["a", "b"])
 
-    return _laid(full, "part", "id", "tokens", "component", "text").mapInArrow(run, f"a {kind}, b {kind}").distinct()
+    return _laid(full, TREE, "id", "component", "marks", "text").mapInArrow(run, f"a {kind}, b {kind}").distinct()
 
 
 def confirmed(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
-    """The pairs whose sets have 100 * intersection >= percent * union; ``texts`` has (id, text)."""
+    """(a, b, linked): whether the sets have 100 * intersection >= percent * union; ``texts`` has (id, text)."""
     kind = dict(pairs.dtypes)["a"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for at in range(0, b.num_rows, 256):
-                part = b.slice(at, 256)
-                sets = []
-                for c in (2, 3):
-                    own = []
-                    for _, _, w in T.word_runs(part.column(c)):
-                        codes, n = T.shingles(w, k)
-                        own += np.split(codes, np.cumsum(n)[:-1])
-                    sets.append(own)
-                keep = []
-                for x, y in zip(*sets, strict=True):
+                part, linked = b.slice(at, 256), []
+                for x, y in zip(_sets(part.column(2), k), _sets(part.column(3), k), strict=True):
                     both = len(np.intersect1d(x, y, assume_unique=True))
-                    keep.append(bool(both) and 100 * both >= percent * (len(x) + len(y) - both))
-                yield pa.record_batch([part.column(0), part.column(1)], ["a", "b"]).filter(pa.array(keep))
+                    linked.append(bool(both) and 100 * both >= percent * (len(x) + len(y) - both))
+                yield pa.record_batch([part.column(0), part.column(1), pa.array(linked, pa.bool_())], ["a", "b", "linked"])
 
     one = pairs.join(texts.select(F.col("id").alias("a"), F.col("text").alias("x")), "a")
-    return one.join(texts.select(F.col("id").alias("b"), F.col("text").alias("y")), "b").select("a", "b", "x", "y").mapInArrow(run, f"a {kind}, b {kind}")
-
-
-def near_duplicates(docs: DataFrame, k: int = 3, percent: int = 85, trees: int = 10, small: int = 512, depth: int = 4) -> DataFrame:
+    return one.join(texts.select(F.col("id").alias("b"), F.col("text").alias("y")), "b").select("a", "b", "x", "y").mapInArrow(run, f"a {kind}, b {kind}, linked boolean")
+
+
+def decide(units: DataFrame, classes: DataFrame, parts: DataFrame, texts: DataFrame, least: int, k: int, percent: int) -> DataFrame:
+    """New components: ``parts`` (id, component; others are their own) with all links between the classes of each unit."""
+    tied = saved(forests(units, least), "forests")
+    pairs = saved(tied.where("not same").select("a", "b").distinct(), "pairs")
+    needed = saved(texts.join(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "id", "left_semi"), "needed")
+    looked = saved(confirmed(pairs, needed, k, percent), "looked")
+    drop(pairs, needed)
+    now = merged(parts, looked.where("linked").select("a", "b"))
+    doubtful = tied.join(looked.where("not linked").select("a", "b"), ["a", "b"], "left_semi").select(TREE).distinct()
+    rows = tied.join(doubtful, TREE, "left_semi").select(*TREE, F.explode(F.array("a", "b")).alias("id")).distinct()
+    rows = saved(rows.join(now, "id", "left").withColumn("component", F.coalesce("component", "id")), "rows")
+    drop(tied, looked)
+    mixed = rows.groupBy(TREE).agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select(TREE)
+    rows, past = rows.join(mixed, TREE, "left_semi"), rows
+    left = saved(undecided(rows.join(classes.select("id", "tokens"), "id"), least), "left")
+    drop(past)
+    if left.isEmpty():
+        drop(left)
+        return now
+    needed = saved(texts.join(left.select("id").distinct(), "id", "left_semi"), "needed")
+    last = merged(now, compared(left, needed, least, k, percent))
+    drop(left, needed, now)
+    return last
+
+
+def near_duplicates(docs: DataFrame, k: int = 3, percent: int = 85, trees: int = 10, small: int = 2048, depth: int = 4) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id and kept."""
     threshold = percent / 100
     sketch = saved(sketches(docs, k), "sketches")
     can = sketch.where("tokens is not null and doc_id is not null")
-    own = saved(can.groupBy("k1", "k2").agg(F.min("doc_id").alias("id"), F.first("tokens").alias("tokens")), "sets")
+    own = saved(can.groupBy("k1", "k2").agg(F.min("doc_id").alias("id"), F.first("tokens").alias("tokens"), F.first("n_shingles").alias("size")), "sets")
     spread = 3.6 * (TOKENS * threshold * (1 - threshold)) ** 0.5
     least = max(1, int(TOKENS * threshold - spread))
     texts = docs.where("doc_id is not null").select(F.col("doc_id").alias("id"), F.col("text").cast("string").alias("text"))
-    ties = cut(repeated(can.select(F.col("doc_id").alias("src"), "k1", "k2"), own.select("k1", "k2", F.col("id").alias("dst")), ["k1", "k2"]))
-    now = own.withColumn("component", F.col("id"))
-
-    def take(links: DataFrame) -> None:
-        """Takes over new links."""
-        nonlocal now, ties
-        parts = cut(connected_components(ties.unionByName(links.select(F.col("a").alias("src"), F.col("b").alias("dst")))))
-        ties = parts.select(F.col("id").alias("src"), F.col("component").alias("dst"))
-        now = own.join(parts, "id", "left").withColumn("component", F.coalesce("component", "id"))
-
-    def propose(units: DataFrame) -> None:
-        pairs = cut(candidates(units, now, least))
-        needed = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-        take(confirmed(pairs, texts.join(needed, "id", "left_semi"), k, percent))
-
-    def settle(units: DataFrame) -> None:
-        """Decides by full sets what may be linked in the units."""
-        needed = units.select("id").distinct()
-        take(compared(units, now, texts.join(needed, "id", "left_semi"), least, k, percent))
-
-    units, levels, rows = [], [], roots(own, threshold, trees)
-    for level in range(depth + 1):
-        sized = saved(rows.join(rows.groupBy("node").agg(F.count("*").alias("m")).where("m > 1"), "node"), "nodes")
-        levels.append(sized)
-        units.append(whole(sized.where(F.col("m") <= small)))
-        large = sized.where(F.col("m") > small)
-        if large.isEmpty():
-            break
-        if not level:  # each class in the largest of its nodes
-            one = large.groupBy("id").agg(F.max(F.struct("m", "node")).alias("x")).select("id", "x.node")
-            one = one.join(one.groupBy("node").agg(F.count("*").alias("m")), "node")
-            settle(cut(first_block(one, small).join(now.select("id", "component"), "id")))
-        few, large = settled(large, now.select("id", "component"), small)
-        units.append(few)
-        if level == depth:
-            units.append(all_blocks(large, small))
-            break
-        large = cut(large)
-        if large.isEmpty():
-            break
-        rows = deeper(large, own, threshold)
-    units = saved(reduce(DataFrame.unionByName, units), "units")
-    drop(*levels)
-    propose(units)
-    held = saved(units.join(now.select("id", "component"), "id"), "held")
-    left = cut(undecided(held, now, least))
-    drop(units, held)
-    if not left.isEmpty():
-        settle(left)
-    members = cut(sketch.select("doc_id", "n_shingles", "k1", "k2", (F.col("tokens").isNotNull() & F.col("doc_id").isNotNull()).alias("can")))
-    found = cut(now.select("k1", "k2", "component", F.lit(True).alias("can")))
-    drop(sketch, own)
+    parts = connected_components(repeated(can.select(F.col("doc_id").alias("src"), "k1", "k2"), own.select("k1", "k2", F.col("id").alias("dst")), ["k1", "k2"]))
+
+    def labelled(rows: DataFrame) -> DataFrame:
+        """Rows with their components of now."""
+        return rows.drop("component").join(parts, "id", "left").withColumn("component", F.coalesce("component", "id"))
+
+    rows = roots(labelled(own), threshold, trees)
+    large = large_nodes(rows, small)
+    units, old, level = [], [large], 0
+    if not large.isEmpty():
+        big = saved(rows.join(large, "node"), "nodes")
+        while not big.isEmpty():
+            if level % depth == 0:
+                parts, past = decide(beside(big, small), own, parts, texts, least, k, percent), parts
+                drop(past)
+            few, more, per = settled(labelled(big), small)
+            units.append(saved(few, "units"))
+            below = saved(deeper(more, threshold), "nodes")
+            drop(big, per)
+            level += 1
+            more = large_nodes(below, small)
+            units.append(saved(units_of(below.join(more, "node", "left_anti")), "units"))
+            big = saved(below.join(more, "node"), "nodes")
+            drop(below, more)
+        rows = roots(labelled(own), threshold, trees).join(large, "node", "left_anti")
+        old += units
+        units = [labelled(x).select(*UNIT, "id", "component", "marks") for x in units]
+    parts, past = decide(reduce(DataFrame.unionByName, units, units_of(rows)), own, parts, texts, least, k, percent), parts
+    found = saved(own.join(parts, "id", "left").select("k1", "k2", F.coalesce("component", "id").alias("component"), F.lit(True).alias("can")), "found")
+    members = saved(sketch.select("doc_id", "n_shingles", "k1", "k2", (F.col("tokens").isNotNull() & F.col("doc_id").isNotNull()).alias("can")), "members")
+    drop(past, parts, own, sketch, *old)
     out = members.join(found, ["k1", "k2", "can"], "left")
     component = F.coalesce("component", "doc_id")
     return out.select("doc_id", "n_shingles", component.alias("component_id"), component.eqNullSafe(F.col("doc_id")).alias("kept"))

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidepanel.llm.store import cut
+from tidepanel.llm.store import drop, saved
 
 
 def _stars(edges: DataFrame, large: bool) -> DataFrame:
@@ -25,21 +25,40 @@ def _stars(edges: DataFrame, large: bool) -> DataFrame:
     return tied.where("dst <> low").select(F.col("dst").alias("src"), F.col("low").alias("dst")).unionByName(least.where("src <> low").select("src", F.col("low").alias("dst"))).distinct()
 
 
-def connected_components(edges: DataFrame, most_rounds: int = 100) -> DataFrame:
+def connected_components(edges: DataFrame) -> DataFrame:
     """(src, dst) to (id, component): the least id that each id's edges lead to; ids without edges are left out.
 
     Large-star and small-star rounds, each written to the shared folder, until nothing changes. Edges may
-    repeat, have either direction, or be loops; edges with a null end are none.
+    repeat, have either direction, or be loops; edges with a null end are none. The result reads the last
+    round's table, which :func:`drop` of it deletes.
     """
-    now = cut(edges.where("src <> dst").select("src", "dst").distinct())
-    seen = None
-    for _ in range(most_rounds):
-        now = cut(_stars(_stars(now, True), False))
+    now, seen = saved(edges.where("src <> dst").select("src", "dst").distinct(), "edges"), None
+    while True:
+        now, past = saved(_stars(_stars(now, True), False), "edges"), now
+        drop(past)
         mark = now.agg(F.count("*"), F.sum(F.xxhash64("src", "dst").cast("decimal(38,0)"))).first()
         if mark == seen:
             break
         seen = mark
-    return now.select(F.col("src").alias("id"), F.col("dst").alias("component")).unionByName(now.select(F.col("dst").alias("id"), F.col("dst").alias("component")).distinct())
+    out = now.select(F.col("src").alias("id"), F.col("dst").alias("component")).unionByName(now.select(F.col("dst").alias("id"), F.col("dst").alias("component")).distinct())
+    out.path = now.path
+    return out
+
+
+def merged(parts: DataFrame, links: DataFrame) -> DataFrame:
+    """``parts`` (id, component) with what the links (a, b) tie together, written; ids not in ``parts`` are their own component.
+
+    Only components are tied anew, not all that they hold.
+    """
+    ends = links
+    for c in ("a", "b"):
+        ends = ends.join(parts.select(F.col("id").alias(c), F.col("component").alias(f"of_{c}")), c, "left")
+    new = connected_components(ends.select(F.coalesce("of_a", "a").alias("src"), F.coalesce("of_b", "b").alias("dst")))
+    known = parts.join(new.select(F.col("id").alias("component"), F.col("component").alias("to")), "component", "left")
+    out = known.select("id", F.coalesce("to", "component").alias("component")).unionByName(new.join(parts, "id", "left_anti"))
+    out = saved(out, "components")
+    drop(new)
+    return out
 
 
 def repeated(rows: DataFrame, classes: DataFrame, key: list[str]) -> DataFrame:
