@@ -9,8 +9,9 @@ counts, so results are exact.
 
 :class:`LineIndex` keeps that state over batches: ``insert`` adds a batch's references and their new
 common keys to the filters, ``delete`` takes documents out again and removes from the filters the keys that
-are no longer common, and ``apply`` drops lines by the state of the moment. Inserting and deleting the
-same documents leaves the state as it was.
+are no longer common, and ``apply`` drops lines by the state of the moment. Only the keys of a batch are
+counted anew, and a filter that would be more than nine tenths full is built larger from its shard's keys.
+Inserting and deleting the same documents leaves the state as it was.
 
 A null or empty text is one empty line. Documents that share a doc_id count as one holder, and all lose
 the same lines. Null doc_ids hold nothing and lose nothing. An empty table gives an empty result. Columns of other names are left alone.
@@ -27,15 +28,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidepanel.llm.store import cut, drop, saved
+from tidepanel.llm.store import drop, free, saved
 from tidepanel.llm.textvec import mix
 
 BLANK = b" \t\n\x0b\x0c\r"
 SALTS = 64  # a shard's lines go to so many tasks
+FILTER = "shard int, filter binary, slots long, held long"
 
 
 class CuckooFilter:
-    """Buckets of four 16-bit fingerprints; a key has two buckets. Keys that find no place go to an exact stash."""
+    """Buckets of four 16-bit fingerprints; a key has two buckets. What finds no place goes to a stash."""
 
     SLOTS, KICKS = 4, 200
 
@@ -92,6 +94,14 @@ class CuckooFilter:
                         self.table[bucket, here[0]] = 0
                         break
 
+    @property
+    def held(self) -> int:
+        return int(np.count_nonzero(self.table)) + len(self.stash)
+
+    def row(self, shard: pa.ChunkedArray) -> pa.Table:
+        """A row of the table of filters."""
+        return pa.table({"shard": shard.cast(pa.int32()), "filter": pa.array([self.to_bytes()], pa.binary()), "slots": pa.array([self.table.size], pa.int64()), "held": pa.array([self.held], pa.int64())})
+
     def to_bytes(self) -> bytes:
         return np.array([self.buckets, len(self.stash), *self.stash], np.int64).tobytes() + self.table.tobytes()
 
@@ -144,15 +154,15 @@ def _shard(shards: int) -> F.Column:
 
 
 def filters(common: DataFrame, shards: int) -> DataFrame:
-    """(shard, filter): a cuckoo filter of each shard's common keys."""
+    """(shard, filter, slots, held): a cuckoo filter of each shard's common keys."""
 
     def build(t: pa.Table) -> pa.Table:
         keys = np.sort(t["k1"].to_numpy())
         f = CuckooFilter(len(keys))
         f.insert(keys)
-        return pa.table({"shard": t["shard"][:1].cast(pa.int32()), "filter": pa.array([f.to_bytes()], pa.binary())})
+        return f.row(t["shard"][:1])
 
-    return common.select("k1", _shard(shards)).groupBy("shard").applyInArrow(build, "shard int, filter binary")
+    return common.select("k1", _shard(shards)).groupBy("shard").applyInArrow(build, FILTER)
 
 
 def probe(refs: DataFrame, kept: DataFrame, shards: int) -> DataFrame:
@@ -191,11 +201,18 @@ def drops(refs: DataFrame, common: DataFrame, kept: DataFrame, shards: int) -> D
     return exact.groupBy("doc_id").agg(F.collect_set(key).alias("keys"))
 
 
-def rebuilt(docs: DataFrame, lost: DataFrame, min_chars: int = 20) -> DataFrame:
-    """``docs`` with ``text`` lacking the lines of its lost keys, and _n_lines, _n_dropped and _sha256 added."""
+FIGURES = ("_n_lines", "_n_dropped", "_sha256")
+
+
+def rebuilt(docs: DataFrame, lost: DataFrame, min_chars: int = 20, figures: bool = True) -> DataFrame:
+    """``docs`` with ``text`` lacking the lines of its lost keys, and FIGURES added.
+
+    Where ``docs`` has a column of such a name, the figure's gets one more underscore.
+    """
     names = docs.columns
-    both = docs.join(lost.select(F.col("doc_id").alias("_id"), F.col("keys").alias("_keys")), F.col("doc_id") == F.col("_id"), "left").drop("_id")
-    text = names.index("text")
+    text, added = names.index("text"), [free(x, names) for x in FIGURES] if figures else []
+    doc, keys = free("_doc", names), free("_keys", names)
+    both = docs.join(lost.select(F.col("doc_id").alias(doc), F.col("keys").alias(keys)), F.col("doc_id") == F.col(doc), "left").drop(doc)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -207,69 +224,119 @@ def rebuilt(docs: DataFrame, lost: DataFrame, min_chars: int = 20) -> DataFrame:
                     lines, keys = split(raw, min_chars)
                     left = [line for line, k in zip(lines, keys, strict=True) if k not in gone]
                     n, dropped, raw = len(lines), len(lines) - len(left), b"\n".join(left)
-                out.append((raw.decode(), n or raw.count(b"\n") + 1, dropped, hashlib.sha256(raw).hexdigest()))
+                out.append((raw.decode(), n or raw.count(b"\n") + 1, dropped, hashlib.sha256(raw).hexdigest() if added else ""))
             columns = list(zip(*out, strict=True)) or [()] * 4
             kept = [b.column(i) for i in range(len(names))]
             kept[text] = pa.array(list(columns[0]), pa.string())
-            yield pa.record_batch([*kept, pa.array(list(columns[1]), pa.int64()), pa.array(list(columns[2]), pa.int64()), pa.array(list(columns[3]), pa.string())], [*names, "_n_lines", "_n_dropped", "_sha256"])
+            more = [pa.array(list(x), t) for x, t in zip(columns[1:], (pa.int64(), pa.int64(), pa.string()), strict=True)] if added else []
+            yield pa.record_batch([*kept, *more], [*names, *added])
 
     schema = ", ".join(f"`{f.name}` {'string' if f.name == 'text' else f.dataType.simpleString()}" for f in docs.schema)
-    return both.mapInArrow(run, f"{schema}, _n_lines long, _n_dropped long, _sha256 string")
+    return both.mapInArrow(run, schema + "".join(f", `{c}` {t}" for c, t in zip(added, ("long", "long", "string"), strict=False)))
 
 
 class LineIndex:
-    """References, exact counts of common keys and their filters, each a table in the shared folder."""
+    """References, exact counts of common keys and their filters, each a table in the shared folder.
+
+    References are kept as batches, with the ids taken out of each beside it; a batch that is put in or
+    taken out reads the others but shuffles and writes no more than its own references, those of the same
+    keys, and the common keys. After ``MOST_BATCHES`` batches they are written as one.
+    """
+
+    MOST_BATCHES, FULL = 16, 0.9
 
     def __init__(self, spark: SparkSession, kind: str = "long", min_docs: int = 3, min_chars: int = 20, per_shard: int = 65_536) -> None:
         self.min_docs, self.min_chars, self.per_shard, self.shards = min_docs, min_chars, per_shard, 1
-        self.refs = spark.createDataFrame([], f"k1 long, k2 long, doc_id {kind}")
-        self.common = counts(self.refs)
-        self.filters = spark.createDataFrame([], "shard int, filter binary")
-
-    def _settle(self, refs: DataFrame) -> None:
-        """Takes over new references. Filters change by the keys that became or ceased to be common."""
-        before, self.refs = self.common, saved(refs, "refs")
-        self.common = saved(counts(self.refs).where(F.col("n_docs") >= self.min_docs), "common")
-        n, key = self.common.count(), ["k1", "k2"]
-        if n > 2 * self.per_shard * self.shards or self.shards == 1 and n > self.per_shard or self.filters.isEmpty():
+        self.batches: list[DataFrame] = []
+        self.none = spark.createDataFrame([], f"k1 long, k2 long, doc_id {kind}")
+        self.common = counts(self.none)
+        self.filters = spark.createDataFrame([], "shard int, filter binary, slots long, held long")
+
+    @property
+    def refs(self) -> DataFrame:
+        return reduce(DataFrame.unionByName, self.batches, self.none)
+
+    def _replace(self, name: str, table: DataFrame) -> DataFrame:
+        """Sets a table of this index; gives the old one."""
+        old = getattr(self, name)
+        setattr(self, name, saved(table, name))
+        return old
+
+    @staticmethod
+    def _gone(*tables: DataFrame) -> None:
+        drop(*(t for t in tables if hasattr(t, "path")))
+
+    def _settle(self, touched: DataFrame) -> None:
+        """Counts the ``touched`` keys (k1, k2) anew. Filters change by the keys that became or ceased to be common."""
+        key = ["k1", "k2"]
+        again = counts(self.refs.join(touched, key, "left_semi")).where(F.col("n_docs") >= self.min_docs)
+        before = self._replace("common", self.common.join(touched, key, "left_anti").unionByName(again))
+        n = self.common.count()
+        if n > 2 * self.per_shard * self.shards or not hasattr(self.filters, "path"):
             self.shards = max(1, -(-n // self.per_shard))
-            self.filters = saved(filters(self.common, self.shards), "filters")
+            self._gone(before, self._replace("filters", filters(self.common, self.shards)))
             return
         shard = _shard(self.shards)
         change = self.common.join(before, key, "left_anti").select(shard, "k1", F.lit(True).alias("add")).unionByName(before.join(self.common, key, "left_anti").select(shard, "k1", F.lit(False).alias("add")))
-        before_filters = self.filters
+        change = saved(change, "change")
+        adds = change.groupBy("shard").agg(F.count(F.when(F.col("add"), 1)).alias("adds"))
+        full = saved(adds.join(self.filters.select("shard", "slots", "held"), "shard", "left").where(F.coalesce(F.col("held") + F.col("adds") > self.FULL * F.col("slots"), F.lit(True))).select("shard"), "full")
 
         def update(own: pa.Table, new: pa.Table) -> pa.Table:
+            if not new.num_rows:
+                return own
             add, keys = new["add"].to_numpy(), new["k1"].to_numpy()
-            f = CuckooFilter.from_bytes(own["filter"][0].as_py()) if own.num_rows else CuckooFilter(int(add.sum()))
+            f = CuckooFilter.from_bytes(own["filter"][0].as_py())
             f.delete(keys[~add])
             f.insert(keys[add])
-            shard = own["shard"] if own.num_rows else new["shard"]
-            return pa.table({"shard": shard[:1].cast(pa.int32()), "filter": pa.array([f.to_bytes()], pa.binary())})
+            return f.row(own["shard"][:1])
 
-        self.filters = saved(before_filters.groupBy("shard").cogroup(change.groupBy("shard")).applyInArrow(update, "shard int, filter binary"), "filters")
+        kept = self.filters.join(full, "shard", "left_anti").groupBy("shard").cogroup(change.join(full, "shard", "left_anti").groupBy("shard")).applyInArrow(update, FILTER)
+        larger = filters(self.common.withColumn("shard", F.pmod("k2", F.lit(self.shards)).cast("int")).join(full, "shard", "left_semi").drop("shard"), self.shards)
+        self._gone(before, self._replace("filters", kept.unionByName(larger)), change, full)
 
     def insert(self, *batches: DataFrame) -> LineIndex:
-        new = [references(b, self.min_chars) for b in batches]
-        self._settle(reduce(DataFrame.unionByName, new, self.refs) if not self.refs.isEmpty() else reduce(DataFrame.unionByName, new))
+        """Puts documents in; one whose id is known adds its new keys to that id's."""
+        for b in batches:
+            new = saved(references(b, self.min_chars), "refs")
+            self.batches.append(new)
+            self._settle(new.select("k1", "k2").distinct())
+        self._compact()
         return self
 
     def delete(self, doc_ids: DataFrame) -> LineIndex:
         """Takes the documents of ``doc_ids`` out."""
-        self._settle(self.refs.join(doc_ids.select("doc_id").distinct(), "doc_id", "left_anti").select("k1", "k2", "doc_id"))
+        ids = saved(doc_ids.select("doc_id").where("doc_id is not null").distinct(), "ids")
+        out = saved(self.refs.join(ids, "doc_id", "left_semi").select("k1", "k2").distinct(), "touched")
+        old, self.batches = self.batches, []
+        for t in old:
+            hit = not t.join(ids, "doc_id", "left_semi").isEmpty()
+            self.batches.append(saved(t.join(ids, "doc_id", "left_anti").select("k1", "k2", "doc_id"), "refs") if hit else t)
+        self._settle(out)
+        self._gone(ids, out, *(t for t in old if all(t is not x for x in self.batches)))
         return self
 
+    def _compact(self) -> None:
+        if len(self.batches) > self.MOST_BATCHES:
+            old, self.batches = self.batches, [saved(self.refs, "refs")]
+            self._gone(*old)
+
     def lost(self, refs: DataFrame | None = None) -> DataFrame:
-        return drops(self.refs if refs is None else refs, self.common, self.filters, self.shards)
+        return drops(self.refs if refs is None else refs, self.common, self.filters.select("shard", "filter"), self.shards)
 
     def apply(self, docs: DataFrame) -> DataFrame:
         """``docs`` without the lines that are common and not in their last document, and figures of that."""
         return rebuilt(docs, self.lost(), self.min_chars)
 
+    def close(self) -> None:
+        """Deletes the index's tables."""
+        self._gone(*self.batches, self.common, self.filters)
+        self.batches = []
+
 
-def line_dedup(docs: DataFrame, min_docs: int = 3, min_chars: int = 20) -> DataFrame:
-    """``docs`` deduplicated against themselves: its columns, and _n_lines, _n_dropped and _sha256."""
+def line_dedup(docs: DataFrame, min_docs: int = 3, min_chars: int = 20, figures: bool = True) -> DataFrame:
+    """``docs`` deduplicated against themselves: its columns, and FIGURES if asked for."""
     index = LineIndex(docs.sparkSession, dict(docs.dtypes)["doc_id"], min_docs, min_chars).insert(docs)
-    lost = cut(index.lost())
-    drop(index.refs, index.common, index.filters)
-    return rebuilt(docs, lost, min_chars)
+    lost = saved(index.lost(), "lost")
+    index.close()
+    return rebuilt(docs, lost, min_chars, figures)

@@ -22,6 +22,14 @@ def shared_dir(spark: SparkSession) -> str:
     return named or sc.getCheckpointDir()
 
 
+def free(name: str, names: list[str]) -> str:
+    """``name``, with underscores before it until it is none of ``names``, whatever their case."""
+    taken = {x.lower() for x in names}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 def small_batches(spark: SparkSession, size: str = "8m") -> None:
     """Texts go to Python workers by batches of about ``size``, so that a few long ones don't fill a worker's memory."""
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)
