@@ -10,7 +10,8 @@ units, the source's exact block quota.
 Those quotas go to ``2**depth`` output shards by a splitting tree (:func:`split_quotas`): each node deals
 half of its units to its left child by a multivariate hypergeometric draw and the rest to its right one.
 A source's permuted units are then cut into disjoint runs of the shards' sizes. :func:`draw` gives each
-drawn document its shard and a hash to sort the shard by; :func:`mix` does neither partition nor sort by them.
+drawn document its shard and its place there, a hash; :func:`mixed` and :func:`mix` partition the mixed
+documents by shard and shuffle each shard locally, by sorting it by place.
 
 Every random choice is an MD5 of the seed and of what it is about, so reruns agree. A null text has size
 0; null and empty sources are sources of their own, null last. Documents without words are never drawn.
@@ -23,7 +24,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidepanel.llm.store import cut
+from tidepanel.llm.store import cut, free
 
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -154,11 +155,16 @@ def draw(docs: DataFrame, limit: int = 3, blocks: int = 1024, depth: int = 4, se
     return out.select("doc_id", "source", F.col("_size").alias("size"), "source_size", "target", taken.alias("taken"), F.col("_drawn").alias("drawn"))
 
 
-def mix(docs: DataFrame, limit: int = 3, blocks: int = 1024, depth: int = 4, seed: int = 0) -> DataFrame:
-    """The mixed documents: the columns of ``docs``, a row for each time that a document is drawn.
+PLACE = ("_shard", "_pass", "_place")
+
+
+def mixed(docs: DataFrame, limit: int = 3, blocks: int = 1024, depth: int = 4, seed: int = 0) -> DataFrame:
+    """The mixed documents: the columns of ``docs`` and PLACE, a row for each time that a document is drawn.
 
-    A document whose words are drawn in part keeps its text up to the last of them; ``n_chars`` follows.
-    Texts stay where they are, but for those of the blocks that are drawn in part, one for each source.
+    Rows are partitioned by shard and by the first digits of their place, so that a shard can be of any
+    size, and sorted by shard and place in each partition. Where ``docs`` has a column of such a name, the
+    added one's gets one more underscore. A document whose words are drawn in part keeps its text up to the
+    last of them; ``n_chars`` follows.
     """
     names = docs.columns
     sources, dealt = _quotas(cut(_keyed(docs.select("doc_id", "source", "text"), blocks, seed).drop("text")), limit, depth, seed)
@@ -170,4 +176,12 @@ def mix(docs: DataFrame, limit: int = 3, blocks: int = 1024, depth: int = 4, see
     kept = kept.withColumn("text", F.when(F.col("_one.words") < F.col("_size"), part).otherwise(F.col("text")))
     if "n_chars" in names:
         kept = kept.withColumn("_c_n_chars", F.length("text").cast(dict(docs.dtypes)["n_chars"]))
-    return kept.select(*(F.col(c if c in ("doc_id", "source", "text") else f"`_c_{c}`").alias(c) for c in names))
+    own = [F.col(c if c in ("doc_id", "source", "text") else f"`_c_{c}`").alias(c) for c in names]
+    shard, turn, place = (free(c, names) for c in PLACE)
+    out = kept.select(*own, F.col("_one.shard").alias(shard), F.col("_one.pass").alias(turn), F.col("_one.place").alias(place))
+    return out.repartition(F.col(shard), F.substring(place, 1, 2)).sortWithinPartitions(shard, place, "doc_id")
+
+
+def mix(docs: DataFrame, limit: int = 3, blocks: int = 1024, depth: int = 4, seed: int = 0) -> DataFrame:
+    """As :func:`mixed`, in the same partitions and order, with the columns of ``docs`` alone."""
+    return mixed(docs, limit, blocks, depth, seed).drop(*(free(c, docs.columns) for c in PLACE))
