@@ -20,7 +20,7 @@ import html as references
 import math
 import re
 from collections import defaultdict, deque
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import pyarrow as pa
@@ -60,6 +60,7 @@ class Node:
     part: bool = False
     article: bool = False
     hidden: bool = False
+    base: int = 0  # the nearest element that is not inline: itself, or one above
 
 
 @dataclass
@@ -77,18 +78,18 @@ def blocks(page: str) -> tuple[list[Block], list[Node]]:
     """Text blocks in page order, and the elements."""
     nodes = [Node("#root", -1, 0)]
     stack, out = [0], []
+    places: dict[str, list[int]] = defaultdict(list)  # where in the stack elements of a name are open
+    solid = [0]  # where elements that are not inline are
     parts: list[str] = []
     linked = 0
     in_link = 0
 
-    def flush(of: int | None = None) -> None:
+    def flush() -> None:
         nonlocal linked
         if parts:
             text = BLANK.sub(" ", references.unescape("".join(parts))).strip()
             if text:
-                k = stack[-1] if of is None else of
-                while nodes[k].name in INLINE and nodes[k].parent >= 0:
-                    k = nodes[k].parent
+                k = nodes[stack[-1]].base
                 out.append(Block(text, k, min(linked, len(text))))
             parts.clear()
         linked = 0
@@ -96,7 +97,15 @@ def blocks(page: str) -> tuple[list[Block], list[Node]]:
     def pop_to(k: int) -> None:
         nonlocal in_link
         while len(stack) > k:
-            in_link -= nodes[stack.pop()].name == "a"
+            name = nodes[stack.pop()].name
+            places[name].pop()
+            in_link -= name == "a"
+        while solid[-1] >= k:
+            solid.pop()
+
+    def last(names: Iterable[str]) -> int:
+        """The place of the nearest open element of one of the names; 0 if there is none."""
+        return max((places[x][-1] for x in names if places.get(x)), default=0)
 
     def opened(name: str, raw: str) -> None:
         nonlocal in_link
@@ -112,6 +121,10 @@ def blocks(page: str) -> tuple[list[Block], list[Node]]:
             n.article |= a.get("role", "").lower() in ("main", "article") or a.get("itemprop", "") == "articleBody"
             n.hidden |= "hidden" in a or a.get("aria-hidden", "").lower() == "true" or "display:none" in a.get("style", "").replace(" ", "").lower()
         n.part |= name in PARTS and not (name == "header" and up.article)
+        n.base = up.base if name in INLINE else len(nodes)
+        places[name].append(len(stack))
+        if name not in INLINE:
+            solid.append(len(stack))
         nodes.append(n)
         stack.append(len(nodes) - 1)
         in_link += name == "a"
@@ -133,7 +146,7 @@ def blocks(page: str) -> tuple[list[Block], list[Node]]:
                 parts.append(references.escape(m[0][9:].removesuffix("]]>")))
             continue
         if m[1]:
-            k = next((i for i in range(len(stack) - 1, 0, -1) if nodes[stack[i]].name == name), 0)
+            k = last((name,))
             if name not in INLINE:
                 flush()
             if k:
@@ -149,16 +162,13 @@ def blocks(page: str) -> tuple[list[Block], list[Node]]:
         if name in VOID:
             continue
         if name in ENDS_P:
-            k = next((i for i in range(len(stack) - 1, 0, -1) if nodes[stack[i]].name == "p"), 0)
-            if k and all(nodes[stack[i]].name in INLINE for i in range(k + 1, len(stack))):
+            k = last(("p",))
+            if k and solid[-1] <= k:
                 pop_to(k)
         if name in CLOSES:
-            for i in range(len(stack) - 1, 0, -1):
-                if nodes[stack[i]].name in SCOPES:
-                    break
-                if nodes[stack[i]].name in CLOSES[name]:
-                    pop_to(i)
-                    break
+            k = last(CLOSES[name])
+            if k > last(SCOPES):
+                pop_to(k)
         if name in RAW:
             end = re.compile(rf"</{name}\s*>?", re.I).search(page, at)
             at = end.end() if end else n
@@ -170,9 +180,7 @@ def blocks(page: str) -> tuple[list[Block], list[Node]]:
     return out, nodes
 
 
-def evidence(b: Block, node: Node, nodes: list[Node]) -> dict[str, float]:
-
-
+def evidence(b: Block, node: Node) -> dict[str, float]:
     n = len(b.text)
     return {
         "bias": 1.0,
@@ -265,7 +273,7 @@ def labelled(page: str) -> list[tuple[str, bool]]:
     edges: list[tuple[int, int, float]] = []
     for i, b in enumerate(found):
         node = nodes[b.node]
-        x = evidence(b, node, nodes)
+        x = evidence(b, node)
         gains.append(sum(WEIGHTS[k] * v for k, v in x.items()))
         group = node.parent if node.parent >= 0 else b.node
         if i:
