@@ -224,13 +224,31 @@ def padded(text: bytes, block: int = 576) -> bytes:
     return text + b"\xff" * (max(block, -(-len(text) // block) * block) - len(text))
 
 
+def _content(s: Stream) -> str:
+    raw = np.frombuffer(bytes(s.data), np.uint8)
+    if not len(raw):
+        return "entropy=0 mean=0 deviation=0 skew=0 low=0 high=0"
+    share = np.bincount(raw, minlength=256) / len(raw)
+    some, value = share[share > 0], np.arange(256)
+    mean = float(share @ value)
+    spread = float(share @ (value - mean) ** 2) ** 0.5
+    skew = float(share @ (value - mean) ** 3) / spread**3 if spread else 0.0
+    sums = np.concatenate([[0], np.cumsum(raw, dtype=np.int64)])
+    units = [(sums[u[2] + u[3]] - sums[u[2]]) / u[3] for u in s.units if u[3]] or [mean]
+    return f"entropy={-float(some @ np.log2(some)) + 0.0:.4f} mean={mean:.4f} deviation={spread:.4f} skew={skew:.4f} low={min(units):.4f} high={max(units):.4f}"
+
+
 def feature(t: Transport) -> str:
-    """What the stream holds, in one line."""
+    """What the stream holds, in one line.
+
+    Of each elementary stream: its shape, the entropy of its bytes, their mean, deviation and skewness, and
+    the least and largest mean of its timed units.
+    """
     out = []
     for pid, s in sorted(t.streams.items()):
         times = [x[0] for x in s.units if x[0] is not None]
         points = [i for i, x in enumerate(s.units) if x[4]]
-        out.append(f"pid={pid} type={s.kind} units={len(s.units)} points={len(points)} first={min(times, default=0)} last={max(times, default=0)} breaks={s.continuity_errors} repeats={s.repeated}")
+        out.append(f"pid={pid} type={s.kind} units={len(s.units)} points={len(points)} first={min(times, default=0)} last={max(times, default=0)} breaks={s.continuity_errors} repeats={s.repeated} {_content(s)}")
     return f"programs={len(t.programs)} packets={t.packets}; " + "; ".join(out)
 
 
