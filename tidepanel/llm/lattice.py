@@ -283,7 +283,7 @@ def refine(lattice: Lattice, words: DataFrame, rounds: int = 2, smoothing: float
     return lattice
 
 
-def scored(docs: DataFrame, vocabulary: str = VOCABULARY, rounds: int = 2, chunk_bytes: int = 32 << 20) -> DataFrame:
+def scored(docs: DataFrame, vocabulary: str = VOCABULARY, rounds: int = 2, chunk_bytes: int = 16 << 20) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of every document."""
     kind = dict(docs.dtypes)["doc_id"]
     docs = docs.select("doc_id", F.col("text").cast("string").alias("text"))
@@ -310,7 +310,8 @@ def scored(docs: DataFrame, vocabulary: str = VOCABULARY, rounds: int = 2, chunk
 
     weighed = words.select("word", "c").mapInArrow(weigh, "word string, c long, p double")
     chunks = max(1, -(-size // chunk_bytes))
-    dealt = docs.select("doc_id", "text", F.pmod(F.xxhash64("doc_id", F.length("text")), F.lit(chunks)).alias("chunk")).repartition(int(chunks), "chunk")
+    chunk = F.pmod(F.xxhash64("doc_id", F.xxhash64("text")), F.lit(chunks))
+    dealt = docs.select("doc_id", "text", chunk.alias("chunk")).repartition(int(chunks), "chunk")
 
     def own_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bags: dict[int, _Bag] = {}
