@@ -208,17 +208,17 @@ def learn(docs: DataFrame, labels: DataFrame, most_labels: int = MOST_LABELS) ->
     return fit(x[order], (seen["y"].to_numpy() > 0).astype(float)[order])
 
 
-def with_scores(docs: DataFrame, model: Additive) -> DataFrame:
-    """``docs`` with a column ``_quality``."""
+def with_scores(docs: DataFrame, model: Additive, score: str = "_quality") -> DataFrame:
+    """``docs`` with a column ``score``, whose name must be free."""
     names = docs.columns
     text = names.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield pa.record_batch([*b.columns, pa.array(model.score(features(b.column(text).cast(pa.string()))))], [*names, "_quality"])
+            yield pa.record_batch([*b.columns, pa.array(model.score(features(b.column(text).cast(pa.string()))))], [*names, score])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    return docs.mapInArrow(run, f"{schema}, _quality double")
+    return docs.mapInArrow(run, f"{schema}, `{score}` double")
 
 
 def scored(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, most_labels: int = MOST_LABELS) -> DataFrame:

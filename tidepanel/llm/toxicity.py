@@ -470,17 +470,17 @@ def learn(docs: DataFrame, labels: DataFrame, most_labels: int = MOST_LABELS) ->
     return model
 
 
-def with_scores(docs: DataFrame, model: Model) -> DataFrame:
-    """``docs`` with a column ``_toxicity``."""
+def with_scores(docs: DataFrame, model: Model, score: str = "_toxicity") -> DataFrame:
+    """``docs`` with a column ``score``, whose name must be free."""
     names = docs.columns
     text = names.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield pa.record_batch([*b.columns, pa.array(model.score(b.column(text).cast(pa.string())))], [*names, "_toxicity"])
+            yield pa.record_batch([*b.columns, pa.array(model.score(b.column(text).cast(pa.string())))], [*names, score])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    return docs.mapInArrow(run, f"{schema}, _toxicity double")
+    return docs.mapInArrow(run, f"{schema}, `{score}` double")
 
 
 def scored(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, most_labels: int = MOST_LABELS) -> DataFrame:
