@@ -45,6 +45,22 @@ def none(spark: SparkSession) -> DataFrame:
 LABELS = "doc_id long, quality int, toxic int"
 
 
+def test_names_that_clash(spark: SparkSession) -> None:
+    import corpus_pipeline
+
+    names = ["_id", "_doc", "_keys", "_N_lines", "_n_dropped", "_sha256", "_again", "_quality", "_toxicity", "_shard", "_pass", "_place", "_size", "_h", "_block", "_one", "_drawn", "_before", "row", "start", "tree", "part", "units", "partial", "_c_id", "text_"]
+    rows = [(i, f"The {'fox' if i % 2 else 'hare'} went {i} times\nThis line is long and many share it\nand came home", f"s{i % 3}") for i in range(40)]
+    plain = docs(spark, rows, False)
+    odd = plain.selectExpr("*", *(f"'{c}' as `{c}`" for c in names))
+    labels = spark.createDataFrame([(i, 1, i % 2) for i in range(40)], LABELS)
+    model = quality.Additive(0.5)
+    for done in (cuckoo.line_dedup, lambda d: corpus_pipeline.near_dedup(spark, d, ""), mixing.mixed, lambda d: quality.with_scores(d, model, "_q"), packing.packed, lambda d: toxicity.scored(d, labels), mpegts.media_columns):
+        a, b = done(plain), done(odd)
+        own = [c for c in a.columns if c in b.columns and not c.startswith("_")]
+        assert Counter(map(tuple, a.select(own).collect())) == Counter(map(tuple, b.select(own).collect()))
+        assert len(set(b.columns)) == len(b.columns) and (b.columns[: len(odd.columns)] == odd.columns or "text" not in b.columns)
+
+
 # 1 quality
 
 
@@ -169,6 +185,19 @@ def test_pages_of_the_test_table(spark: SparkSession, sf: str) -> None:
     assert htmlcut.extracted(odd.limit(0)).count() == 0
 
 
+def test_deep_pages_take_time_in_proportion() -> None:
+    import time
+
+    def took(n: int) -> float:
+        page = "<div>" * n + "".join(f"<p>Some text here {i}.</b></section>" for i in range(n)) + "<b>" * n + "x</i>" * n
+        began = time.process_time()
+        htmlcut.blocks(page)
+        return time.process_time() - began
+
+    took(500)
+    assert took(16_000) < 8 * max(took(4_000), 0.02)
+
+
 # 4 mixing
 
 
@@ -211,6 +240,27 @@ def test_mixing(spark: SparkSession) -> None:
     assert got == +taken
 
 
+def test_mixed_documents_lie_by_shard_and_place(spark: SparkSession) -> None:
+    rng = random.Random(19)
+    rows = [(i, " ".join("w" * rng.randint(1, 5) for _ in range(rng.randint(1, 30))), rng.choice("abc")) for i in range(600)]
+    parts = mixing.mixed(docs(spark, rows), blocks=64, depth=3).selectExpr("doc_id", "source", "_shard", "_pass", "_place", "spark_partition_id() as at").collect()
+    by_part = defaultdict(list)
+    for r in parts:
+        by_part[r["at"]].append((r._shard, r._place))
+    assert all(x == sorted(x) for x in by_part.values())
+    drawn = {(r.doc_id, d["pass"]): (d["shard"], d["place"]) for r in mixing.draw(docs(spark, rows), blocks=64, depth=3).collect() for d in r.drawn}
+    assert {(r.doc_id, r._pass): (r._shard, r._place) for r in parts} == drawn
+    keyed = {r.doc_id: r._block for r in mixing._keyed(docs(spark, rows), 64, 0).collect()}
+    units = defaultdict(set)
+    for r in parts:
+        units[r.source, keyed[r.doc_id], r._pass].add(r._shard)
+    assert all(len(x) == 1 for x in units.values())  # a block goes to one shard, and shards have equal numbers of blocks
+    per = Counter(next(iter(x)) for x in units.values())
+    assert len(per) == 8 and max(per.values()) - min(per.values()) <= 1
+    order = [r.doc_id for r in sorted(parts, key=lambda r: (r._shard, r._place))]
+    assert order != sorted(order)
+
+
 def test_quotas_split_exactly_and_like_a_hypergeometric_draw(spark: SparkSession) -> None:
     quota = {1: 100, 2: 7, 3: 0, 4: 513}
     q = spark.createDataFrame(list(quota.items()), "rank int, units long")
@@ -401,6 +451,26 @@ def test_scores_and_base(spark: SparkSession, odd: DataFrame, none: DataFrame) -
     assert lattice.scored(none).count() == 0
 
 
+def test_scores_are_counts_and_lattice_sums(spark: SparkSession) -> None:
+    rows = [(i, f"w{i % 7} w{i % 3} Same w{i}x", "s") for i in range(200)]
+    out = {r.doc_id: r.score for r in lattice.scored(docs(spark, rows, False), rounds=1).collect()}
+    train = [i for i, _, _ in rows if zlib.crc32(str(i).encode()) % 5 != 1]
+    c = Counter(w.lower() for i in train for w in words(rows[i][1]))
+    n, once, twice = sum(c.values()) + len(train), sum(x == 1 for x in c.values()), sum(x == 2 for x in c.values())
+    discount = once / (once + 2 * twice) if once and twice else 0.5
+    model = lattice.Lattice.load()
+    uses = model.expected(sorted(c, key=len), np.ones(len(c)))
+    uses = np.round(uses * 65536) / 65536
+    uses[:-1] += 0.1
+    model = model.with_p(np.log(np.maximum(uses, 1e-300) / uses.sum()))
+    every = sorted({w.lower() for _, t, _ in rows for w in words(t)}, key=len)
+    spelt = dict(zip(every, np.exp(model.forward(every)), strict=True))
+    p = {w: max(c[w] - discount, 0) / n + discount * (len(c) + 1) / n * spelt[w] for w in every}
+    end = (len(train) - discount) / n
+    for i, t, _ in rows:
+        assert out[i] == pytest.approx(sum(np.log10(p[w.lower()]) for w in words(t)) + np.log10(end), rel=1e-6)
+
+
 # 8 chosen path
 
 
@@ -444,6 +514,56 @@ def test_near_documents_match_brute_force(spark: SparkSession, small: int, depth
     assert all(r.kept == (r.doc_id == r.component_id) for r in got)
 
 
+def test_rows_follow_the_size_of_a_group(spark: SparkSession, monkeypatch: pytest.MonkeyPatch) -> None:
+    """Twice as many loosely similar copies make about twice the rows of every table, in large nodes too."""
+
+    def rows(n: int) -> list[tuple]:
+        rng = random.Random(15)
+        base = [f"w{i}" for i in range(60)]
+        return [(i, " ".join(w if rng.random() < 0.96 else f"x{rng.randrange(10**6)}" for w in base), "s") for i in range(n)]
+
+    def made(n: int) -> Counter:
+        out: Counter = Counter()
+
+        def counted(df: DataFrame, name: str) -> DataFrame:
+            table = saved(df, name)
+            out[name] = max(out[name], table.count())
+            return table
+
+        monkeypatch.setattr(chosenpath, "saved", counted)
+        got = chosenpath.near_duplicates(docs(spark, rows(n), False), small=64).collect()
+        want = near(rows(n), 3, 85)
+        assert all(r.component_id == want[r.doc_id] for r in got)
+        return out
+
+    saved = chosenpath.saved
+    one, two = made(150), made(300)
+    assert one["settled"] and all(two[k] <= 3 * max(one[k], 300) for k in two)
+
+
+def test_forest_takes_the_most_similar_first() -> None:
+    rng = np.random.default_rng(16)
+    marks = rng.integers(0, 2, (64, 40), np.uint8)
+    agree = (marks[:, :, None] == marks[:, None, :]).sum(0)
+    component = np.arange(40)
+    component[7] = component[3]
+    agree[3, 7] = agree[7, 3] = 65
+    got = chosenpath.spanning(marks, component, 36)
+    pairs = sorted(((int(agree[i, j]), i, j) for i, j in itertools.combinations(range(40), 2) if agree[i, j] >= 36), reverse=True)
+    root, total = list(range(40)), []
+    for n, i, j in pairs:
+        while root[i] != i:
+            i = root[i]
+        while root[j] != j:
+            j = root[j]
+        if i != j:
+            root[i] = j
+            total.append(n)
+    assert sorted(agree[a, b] for a, b, _ in got) == sorted(total)
+    runs = chosenpath._small_runs(np.ascontiguousarray(marks.T), np.array([0, 40]), component, 36, 64)
+    assert sorted(agree[a, b] for a, b, _ in runs) == sorted(total)
+
+
 def test_shared_sizes() -> None:
     rng = random.Random(14)
     sets = [np.array(sorted(rng.sample(range(60), rng.randint(0, 40))), np.uint64) for _ in range(30)]
@@ -509,6 +629,26 @@ def test_line_index_is_reversible(spark: SparkSession) -> None:
     assert all(any(f.contains(np.array([k]))[0] for f in filters) for k in keys)
 
 
+def test_line_index_grows_its_filters(spark: SparkSession) -> None:
+    line = lambda i: f"line number {i} that is long enough to count"
+    batch = lambda a, b, first: docs(spark, [(first + j, "\n".join(line(i) for i in range(a, b)), "s") for j in range(3)], False)
+    index = cuckoo.LineIndex(spark, per_shard=65_536).insert(batch(0, 10, 0))
+    steps = [batch(10, 400, 10), batch(400, 1500, 20)]
+    before = sorted(map(tuple, index.common.collect()))
+    for b in steps:
+        index.insert(b)
+        f = [cuckoo.CuckooFilter.from_bytes(r["filter"]) for r in index.filters.collect()]
+        assert sum(len(x.stash) for x in f) < 5 and all(x.held <= 0.95 * x.table.size for x in f)
+        keys = np.array([r.k1 for r in index.common.collect()])
+        assert all(any(x.contains(np.array([k]))[0] for x in f) for k in keys[::50])
+    whole = cuckoo.LineIndex(spark).insert(steps[0].unionByName(steps[1]).unionByName(batch(0, 10, 0)))
+    assert sorted(map(tuple, index.common.collect())) == sorted(map(tuple, whole.common.collect()))
+    for b in reversed(steps):
+        index.delete(b)
+    assert sorted(map(tuple, index.common.collect())) == before
+    index.close()
+
+
 def test_cuckoo_filter() -> None:
     rng = np.random.default_rng(12)
     keys, others = rng.integers(-(2**62), 2**62, 5000), rng.integers(-(2**62), 2**62, 20_000)
@@ -563,6 +703,46 @@ def test_packing_is_best_fit() -> None:
         assert all(used[b] <= sizes[b] and all(c < used[b] for c in (16, 32, 64) if c < sizes[b]) for b in used)
 
 
+def test_looking_ahead_costs_no_more() -> None:
+    rng = random.Random(17)
+    draws = [lambda: rng.randint(600, 700), lambda: rng.randint(5, 300), lambda: rng.randint(1, 4096), lambda: rng.choice([rng.randint(20, 60), rng.randint(1500, 2100)]), lambda: min(4096, max(1, int(rng.lognormvariate(5, 1.2))))]
+    for draw in draws:
+        lengths = sorted((draw() for _ in range(2000)), reverse=True)
+        one, joint = packing.pack(lengths)[2].values(), packing.pack_jointly(lengths)[2].values()
+        assert sum(joint) + 64 * len(joint) <= sum(one) + 64 * len(one) and sum(joint) <= sum(one)
+
+
+def test_packing_is_near_the_best() -> None:
+    rng = random.Random(18)
+
+    def best(lengths: list[int], sizes: tuple[int, ...], overhead: int) -> int:
+        """The least cost over all ways to deal the pieces into bins."""
+        def go(i: int, bins: list[int]) -> int:
+            if i == len(lengths):
+                return sum(next(c for c in sizes if c >= b) + overhead for b in bins)
+            out = go(i + 1, [*bins, lengths[i]])
+            for k in range(len(bins)):
+                if bins[k] + lengths[i] <= sizes[-1]:
+                    out = min(out, go(i + 1, [*bins[:k], bins[k] + lengths[i], *bins[k + 1 :]]))
+            return out
+        return go(0, [])
+
+    total = least = 0
+    for _ in range(40):
+        lengths = sorted((rng.randint(1, 32) for _ in range(7)), reverse=True)
+        sizes = packing.pack_jointly(lengths, (8, 16, 32), 2)[2].values()
+        cost, bound = sum(sizes) + 2 * len(sizes), best(lengths, (8, 16, 32), 2)
+        assert bound <= cost <= 1.4 * bound
+        total, least = total + cost, least + bound
+    assert total <= 1.06 * least
+
+
+def test_repeated_rows_are_dealt_out(spark: SparkSession) -> None:
+    same = spark.range(4000).selectExpr("cast(null as bigint) as doc_id", "'a b c' as text")
+    shards = Counter(r.bin_id >> 32 for r in packing.packed(same, per_shard=500).collect())
+    assert len(shards) == 8 and max(shards.values()) < 700
+
+
 def test_packed_pieces_cover_documents(odd: DataFrame, none: DataFrame) -> None:
     out = packing.packed(odd, capacities=(64, 256), per_shard=20).collect()
     per = defaultdict(list)
