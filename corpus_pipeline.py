@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from tidepanel.llm import chosenpath, cuckoo, mixing, packing
 from tidepanel.llm import quality as classifier
-from tidepanel.llm.store import drop, saved, small_batches
+from tidepanel.llm.store import drop, free, saved, small_batches
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 THRESHOLD = 0.3
@@ -23,14 +23,15 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that score at least THRESHOLD; the classifier learns from the labels of these documents."""
     small_batches(spark)
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    return classifier.with_scores(docs, classifier.learn(docs, labels)).where(F.col("_quality") >= THRESHOLD).drop("_quality")
+    score = free("_quality", docs.columns)
+    return classifier.with_scores(docs, classifier.learn(docs, labels), score).where(F.col(score) >= THRESHOLD).drop(score)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the lines that three of them share, but in the last; none goes, even if it becomes empty."""
     small_batches(spark)
     names = docs.columns
-    return cuckoo.line_dedup(docs).withColumn("n_chars", F.length("text").cast(dict(docs.dtypes)["n_chars"])).select(*names)
+    return cuckoo.line_dedup(docs, figures=False).withColumn("n_chars", F.length("text").cast(dict(docs.dtypes)["n_chars"])).select(*names)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -39,10 +40,10 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Documents without an id stay. Rows that repeat an id are one document.
     """
     small_batches(spark)
-    names = docs.columns
+    names, rank = docs.columns, free("_again", docs.columns)
     kept = chosenpath.near_duplicates(docs, k=5, percent=80).where("kept and doc_id is not null").select("doc_id").distinct()
     again = Window.partitionBy("doc_id").orderBy(F.xxhash64("text"), F.length("text").asc_nulls_last())
-    left = docs.where("doc_id is not null").join(kept, "doc_id", "left_semi").withColumn("_again", F.row_number().over(again)).where("_again = 1")
+    left = docs.where("doc_id is not null").join(kept, "doc_id", "left_semi").withColumn(rank, F.row_number().over(again)).where(F.col(rank) == 1)
     return left.select(*names).unionByName(docs.where("doc_id is null"))
 
 
