@@ -308,7 +308,7 @@ def shared(sets: list[np.ndarray], width: int = 4096) -> np.ndarray:
         m = np.zeros((len(sets), width), np.float32)
         m[owner[i:j], column[i:j] - begin] = 1
         out += m @ m.T
-    return out.astype(np.int64)
+    return out.astype(np.int32)
 
 
 def _sets(texts: pa.Array | pa.ChunkedArray, k: int) -> list[np.ndarray]:
@@ -325,11 +325,11 @@ def links(sets: list[np.ndarray], marks: np.ndarray, component: np.ndarray, leas
     n, size = len(sets), np.array([len(x) for x in sets])
     near = np.zeros((n, n), bool)
     for i in range(n):
-        near[i] = (_agreeing(marks, i) >= least) & (component != component[i])
-    near &= 100 * np.minimum(size[:, None], size) >= percent * np.maximum(size[:, None], size)
+        near[i] = (_agreeing(marks, i) >= least) & (component != component[i]) & (100 * np.minimum(size, size[i]) >= percent * np.maximum(size, size[i]))
     if near.sum() > 8 * n:
         both = shared(sets)
-        near &= 100 * both >= percent * (size[:, None] + size - both)
+        for i in range(n):
+            near[i] &= 100 * both[i] >= percent * (size[i] + size - both[i])
     else:
         for i, j in zip(*np.nonzero(np.triu(near)), strict=True):
             both = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
@@ -390,9 +390,10 @@ def decide(units: DataFrame, classes: DataFrame, parts: DataFrame, texts: DataFr
     """New components: ``parts`` (id, component; others are their own) with all links between the classes of each unit."""
     tied = saved(forests(units, least), "forests")
     pairs = saved(tied.where("not same").select("a", "b").distinct(), "pairs")
-    needed = saved(texts.join(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "id", "left_semi"), "needed")
+    ids = saved(tied.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "ids")
+    needed = saved(texts.join(ids, "id", "left_semi"), "needed")  # whole texts are shuffled this once
     looked = saved(confirmed(pairs, needed, k, percent), "looked")
-    drop(pairs, needed)
+    drop(pairs, ids)
     now = merged(parts, looked.where("linked").select("a", "b"))
     doubtful = tied.join(looked.where("not linked").select("a", "b"), ["a", "b"], "left_semi").select(TREE).distinct()
     rows = tied.join(doubtful, TREE, "left_semi").select(*TREE, F.explode(F.array("a", "b")).alias("id")).distinct()
@@ -403,9 +404,8 @@ def decide(units: DataFrame, classes: DataFrame, parts: DataFrame, texts: DataFr
     left = saved(undecided(rows.join(classes.select("id", "tokens"), "id"), least), "left")
     drop(past)
     if left.isEmpty():
-        drop(left)
+        drop(left, needed)
         return now
-    needed = saved(texts.join(left.select("id").distinct(), "id", "left_semi"), "needed")
     last = merged(now, compared(left, needed, least, k, percent))
     drop(left, needed, now)
     return last
@@ -437,6 +437,9 @@ def near_duplicates(docs: DataFrame, k: int = 3, percent: int = 85, trees: int =
                 drop(past)
             few, more, per = settled(labelled(big), small)
             units.append(saved(few, "units"))
+            if more.isEmpty():
+                drop(big, per)
+                break
             below = saved(deeper(more, threshold), "nodes")
             drop(big, per)
             level += 1
