@@ -266,11 +266,12 @@ class LineIndex:
     def _gone(*tables: DataFrame) -> None:
         drop(*(t for t in tables if hasattr(t, "path")))
 
-    def _settle(self, touched: DataFrame) -> None:
-        """Counts the ``touched`` keys (k1, k2) anew. Filters change by the keys that became or ceased to be common."""
+    def _settle(self, touched: DataFrame | None) -> None:
+        """Counts the ``touched`` keys (k1, k2), or all, anew. Filters change by the keys that became or ceased to be common."""
         key = ["k1", "k2"]
-        again = counts(self.refs.join(touched, key, "left_semi")).where(F.col("n_docs") >= self.min_docs)
-        before = self._replace("common", self.common.join(touched, key, "left_anti").unionByName(again))
+        own = self.refs if touched is None else self.refs.join(touched, key, "left_semi")
+        again = counts(own).where(F.col("n_docs") >= self.min_docs)
+        before = self._replace("common", again if touched is None else self.common.join(touched, key, "left_anti").unionByName(again))
         n = self.common.count()
         if n > 2 * self.per_shard * self.shards or not hasattr(self.filters, "path"):
             self.shards = max(1, -(-n // self.per_shard))
@@ -300,7 +301,7 @@ class LineIndex:
         for b in batches:
             new = saved(references(b, self.min_chars), "refs")
             self.batches.append(new)
-            self._settle(new.select("k1", "k2").distinct())
+            self._settle(new.select("k1", "k2").distinct() if len(self.batches) > 1 else None)
         self._compact()
         return self
 
