@@ -214,6 +214,38 @@ def test_feature_set_b(spark: SparkSession) -> None:
         features.feature_set_b(stocks, macro.where("Field = 'VIX'"))
 
 
+def test_moments_by_dates_are_those_of_the_exploded_rows(spark: SparkSession, calendar: DataFrame) -> None:
+    odd = calendar.withColumn("Gap", F.when(F.dayofmonth("Date") % 3 == 0, F.col("Volume"))).withColumn("Never", F.lit(None).cast("double"))
+    for mode in ("rolling", "expanding"):
+        members, made = workflow.split_panel(odd, workflow.SplitOptions(start=dt.date(2021, 6, 1), train_years=2, mode=mode))
+        names = ["Price", "Ret_5d_fwd", "Gap", "Never"]
+        one, two = (f.orderBy("split_id", "Ticker").toPandas() for f in (scale.fit(members, names), scale.fit_by_dates(odd, made, names)))
+        assert list(one.columns) == list(two.columns) and (one[["split_id", "Ticker"]] == two[["split_id", "Ticker"]]).all().all()
+        assert np.allclose(one.drop(columns="Ticker").astype(float), two.drop(columns="Ticker").astype(float), equal_nan=True)
+        assert (two["std__Ret_5d_fwd"] == 0).all()
+
+
+def test_columns_by_other_names(spark: SparkSession, calendar: DataFrame, tmp_path) -> None:  # noqa: ANN001
+    named = calendar.withColumn("Price", F.when(F.dayofmonth("Date") == 7, -1.0).otherwise(F.col("Price"))).selectExpr("Date as day", "Ticker as Symbol", "Price as px", "Volume", "Excess_5d_fwd")
+    named.write.parquet(f"{tmp_path}/panel")
+    dates = ["--date-col", "day", "--price-col", "px"]
+    cli.main(["split", "--input", f"{tmp_path}/panel", "--output", f"{tmp_path}/members", "--start", "2021-06-01", "--train-years", "2", *dates])
+    members = writers.read_membership(spark, f"{tmp_path}/members")
+    assert members.where("dayofmonth(Date) = 7").isEmpty() and members.select("split_id").distinct().count() == 10
+    cli.main(["scale", "--input", f"{tmp_path}/panel", "--membership", f"{tmp_path}/members", "--output", f"{tmp_path}/out", "--ticker-col", "Symbol", "--auto-log1p", *dates])
+    assert spark.read.parquet(f"{tmp_path}/out/scaled").count() == members.count()
+    with pytest.raises(ValueError, match="missing"):
+        workflow.split_panel(named, workflow.SplitOptions(date_col="no"))
+
+
+def test_log_columns_are_chosen_over_the_whole_panel(spark: SparkSession, calendar: DataFrame) -> None:
+    panel = calendar.withColumn("Volume", F.when(F.col("Date") < "2019-03-01", -1.0).otherwise(F.exp("Volume")))
+    members, made = workflow.split_panel(panel, workflow.SplitOptions(start=dt.date(2021, 6, 1), train_years=1))
+    o = workflow.ScaleOptions(auto_log1p=True)
+    assert workflow.scale_panel(members, o)[2].first().log1p_cols == ["Volume"]
+    assert workflow.scale_panel(members, o, panel, made)[2].first().log1p_cols == []
+
+
 def test_workflow_and_command_line(spark: SparkSession, calendar: DataFrame, tmp_path) -> None:  # noqa: ANN001
     flat = calendar.withColumn("MOVE Index__logdiff1", F.col("Price") * 2.0)
     writers.write_csv(flat.coalesce(1), f"{tmp_path}/panel")

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from tidepanel.functions import columns as C
 from tidepanel.operators import clean, evaluation, joins, profile, reshape, rows, scale, split, windows
 from tidepanel.operators.windows import by_ticker
-from tidepanel.plans import features
+from tidepanel.plans import features, workflow
 from tidepanel.streaming import daily
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -138,6 +138,7 @@ def _(s: SparkSession, d: str) -> DataFrame:
     return raw.select("o_orderkey", C.loose_double(F.col("raw")).alias("loose"), C.to_double(F.trim("raw")).alias("strict"))
 
 
+KIND = "CASE p_partkey % 4 WHEN 0 THEN ' SE Equity' WHEN 1 THEN ' Index' WHEN 2 THEN ' Curncy' ELSE '' END"
 DAYS = "CASE o_orderkey % 4 WHEN 0 THEN {dmy} WHEN 1 THEN {iso} WHEN 2 THEN 'not a day' ELSE '31.02.2020' END"
 
 
@@ -147,13 +148,23 @@ def _(s: SparkSession, d: str) -> DataFrame:
     return table(s, d, "orders").select("o_orderkey", C.day_first(raw).alias("day"))
 
 
+@register("parse_date_default", f"SELECT o_orderkey, coalesce(cast(try_strptime(raw, '%Y-%m-%d') AS date), cast(try_strptime(raw, '%d.%m.%Y') AS date)) AS day FROM (SELECT o_orderkey, {DAYS.format(dmy="strftime(o_orderdate, '%d.%m.%Y')", iso="strftime(o_orderdate, '%Y-%m-%d')")} AS raw FROM orders)")
+def _(s: SparkSession, d: str) -> DataFrame:
+    raw = F.expr(DAYS.format(dmy="date_format(o_orderdate, 'dd.MM.yyyy')", iso="date_format(o_orderdate, 'yyyy-MM-dd')"))
+    return table(s, d, "orders").select("o_orderkey", C.iso_first(raw).alias("day"))
+
+
+@register("macro_name", f"SELECT p_partkey, replace(replace(replace(t, ' Index', ''), ' Curncy', ''), ' ', '') AS name FROM (SELECT p_partkey, replace(p_brand, '#', ' ') || {KIND} AS t FROM part)")
+def _(s: SparkSession, d: str) -> DataFrame:
+    return table(s, d, "part").select("p_partkey", C.macro_name(F.expr(f"replace(p_brand, '#', ' ') || {KIND}")).alias("name"))
+
+
 @register("parse_date_strict", "SELECT o_orderkey, cast(try_strptime(CASE WHEN o_orderkey % 2 = 0 THEN strftime(o_orderdate, '%Y-%m-%d') ELSE 'x' END, '%Y-%m-%d') AS date) AS day FROM orders")
 def _(s: SparkSession, d: str) -> DataFrame:
     raw = F.when(F.col("o_orderkey") % 2 == 0, F.date_format("o_orderdate", "yyyy-MM-dd")).otherwise("x")
     return table(s, d, "orders").select("o_orderkey", C.to_day(raw, "yyyy-MM-dd").alias("day"))
 
 
-KIND = "CASE p_partkey % 4 WHEN 0 THEN ' SE Equity' WHEN 1 THEN ' Index' WHEN 2 THEN ' Curncy' ELSE '' END"
 FIELD = "CASE p_partkey % 3 WHEN 0 THEN 'BEst P/E Ratio' WHEN 1 THEN ' Last Price ' ELSE 'Dividend 12 Month Yld - Gross' END"
 
 
@@ -366,6 +377,29 @@ def _(s: SparkSession, d: str) -> DataFrame:
     return m.select(F.col("Date").alias("d"), r6(F.col("`2-HIGH_lag1`")).alias("lag1"), r6(F.col("`2-HIGH_lag5`")).alias("lag5"))
 
 
+@register("macro_own_lags", f"WITH {MACRO}, days AS (SELECT DISTINCT d FROM mac)" + "".join(f", u{i} AS (SELECT days.d, v FROM days LEFT JOIN mac ON mac.d = days.d AND p = '{p}'), l{i} AS (SELECT d, round(lag(v) OVER (ORDER BY d), 6) AS l1, round(lag(v, 5) OVER (ORDER BY d), 6) AS l5 FROM u{i})" for i, p in enumerate(PRIORITIES)) + " SELECT l0.d, " + ", ".join(f'l{i}.l1 AS "{p}_lag1", l{i}.l5 AS "{p}_lag5"' for i, p in enumerate(PRIORITIES)) + " FROM l0" + "".join(f" JOIN l{i} ON l{i}.d = l0.d" for i in range(1, len(PRIORITIES))))
+def _(s: SparkSession, d: str) -> DataFrame:
+    m = features.macro_lags(macro(s, d), PRIORITIES)
+    return m.select(F.col("Date").alias("d"), *(r6(F.col(f"`{c}`")).alias(c) for c in m.columns if c != "Date"))
+
+
+@register("benchmark_resolver", f"WITH {BENCH}, f AS (SELECT d, CASE WHEN day(d) % 5 <> 0 THEN bpx END AS c FROM bench), g AS (SELECT d, last_value(c IGNORE NULLS) OVER (ORDER BY d ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS c FROM f) SELECT d, round(c / nullif(lag(c) OVER (ORDER BY d), 0) - 1, 6) AS smi_return FROM g")
+def _(s: SparkSession, d: str) -> DataFrame:
+    close = F.when(F.dayofmonth("Date") % 5 != 0, F.col("bpx")).cast("string")
+    wide = benchmark(s, d).select(F.date_format("Date", "dd.MM.yyyy").alias("Date"), F.lit("x").alias("Name"), close.alias("Close"))
+    return features.benchmark_series(wide).select(F.col("Date").alias("d"), r6("smi_return").alias("smi_return"))
+
+
+@register("join_left_fields", f"WITH {GAPS}, days AS (SELECT DISTINCT d FROM gaps), ks AS (SELECT DISTINCT k FROM gaps) SELECT days.d, ks.k, px, vol FROM days CROSS JOIN ks LEFT JOIN gaps ON gaps.d = days.d AND gaps.k = ks.k")
+def _(s: SparkSession, d: str) -> DataFrame:
+    long = valid_week(s, d).withColumn("_seq", F.lit(0))
+    names = sorted(r[0] for r in long.select("Ticker").distinct().collect())  # the wide table's columns
+    wide = long.groupBy("Date").pivot("Ticker", names).agg(F.first("Price").alias("Last Price"), F.first("Volume").alias("Volume"))
+    fields = {f: [f"{k}_{f}" for k in names] for f in ("Last Price", "Volume")}
+    out = reshape.panel_of_fields(wide, "Date", fields, F.split_part(F.col("instrument"), F.lit("_"), F.lit(1)))
+    return dk(out, px=F.col("Last Price"), vol=F.col("Volume"))
+
+
 @register("macro_logdiff", f"WITH {SERIES} SELECT d, round(lag(g) OVER (ORDER BY d), 6) AS g FROM g")
 def _(s: SparkSession, d: str) -> DataFrame:
     return features.macro_features(macro(s, d), ["2-HIGH"]).select(F.col("Date").alias("d"), r6(F.col("`2-HIGH__logdiff1`")).alias("g"))
@@ -579,9 +613,13 @@ def splits(df: DataFrame, mode: str = "rolling") -> list[split.Split]:
     return split.with_tests(df, split.make_splits(*split.bounds(df), SPLIT_START, mode=mode))
 
 
+def features_panel(s: SparkSession, d: str) -> DataFrame:
+    """(Date, Ticker, *FEATURES)."""
+    return returns(s, d).select("Date", "Ticker", F.col("Price").alias("px"), F.col("Volume").alias("vol"), F.col("Return_raw").alias("r"), F.col("Return_MA20").alias("ma20"), F.col("Return_STD20").alias("sd20"))
+
+
 def assigned(s: SparkSession, d: str, mode: str = "rolling") -> DataFrame:
-    p = returns(s, d).select("Date", "Ticker", F.col("Price").alias("px"), F.col("Volume").alias("vol"), F.col("Return_raw").alias("r"), F.col("Return_MA20").alias("ma20"), F.col("Return_STD20").alias("sd20"))
-    return split.assign(p, splits(panel(s, d), mode))
+    return split.assign(features_panel(s, d), splits(panel(s, d), mode))
 
 
 @register("make_splits_rolling", f"WITH {splits_sql('rolling')} SELECT * FROM s")
@@ -623,13 +661,44 @@ def _(s: SparkSession, d: str) -> DataFrame:
     return scale.long_stats(scale.fit(assigned(s, d), FEATURES), FEATURES).select("split_id", F.col("Ticker").alias("k"), "feature", r6("mean").alias("mean"), r6("std").alias("std"))
 
 
-@register("zscore_scaled", f"WITH {splits_sql('rolling')}{FIT} SELECT a.split_id, part, d, a.k, " + ", ".join(f"round(CASE WHEN s_{c} = 0 AND {c} IS NOT NULL THEN 0 ELSE ({c} - m_{c}) / nullif(s_{c}, 0) END, 5) AS {c}" for c in FEATURES) + " FROM a LEFT JOIN fit ON a.split_id = fit.split_id AND a.k = fit.k WHERE part = 'test'")
+@register("zscore_scaled", f"WITH {splits_sql('rolling')}{FIT} SELECT a.split_id, part, d, a.k, " + ", ".join(f"round(CASE WHEN s_{c} = 0 AND {c} IS NOT NULL THEN 0 ELSE ({c} - m_{c}) / nullif(s_{c}, 0) END, 5) AS {c}" for c in FEATURES) + " FROM a LEFT JOIN fit ON a.split_id = fit.split_id AND a.k = fit.k")
 def _(s: SparkSession, d: str) -> DataFrame:
     a = assigned(s, d)
-    z = scale.transform(a, scale.fit(a, FEATURES), FEATURES).where("part = 'test'")
+    z = scale.transform(a, scale.fit(a, FEATURES), FEATURES)
     return z.select("split_id", "part", F.col("Date").alias("d"), F.col("Ticker").alias("k"), *(r6(c, 5).alias(c) for c in FEATURES))
 
 
+@register("scaler_stats_by_dates", ORACLE_SQL["scaler_stats"])
+def _(s: SparkSession, d: str) -> DataFrame:
+    f = scale.fit_by_dates(features_panel(s, d), splits(panel(s, d)), FEATURES)
+    return scale.long_stats(f, FEATURES).select("split_id", F.col("Ticker").alias("k"), "feature", r6("mean").alias("mean"), r6("std").alias("std"))
+
+
+SKEWED = "vol * vol * vol"
+LOGGED = f", t AS (SELECT *, {SKEWED} / 1e6 AS cube FROM feat), lg AS (SELECT " + ", ".join(f"min({c}) >= 0 AND skewness({c}) > 1 AS l_{c}, min({c}) >= -1e-12 AS o_{c}" for c in ("px", "cube", "r")) + " FROM t), grown AS (SELECT t.d, t.k, " + ", ".join(f"CASE WHEN l_{c} AND o_{c} THEN ln(1 + greatest({c}, 0)) ELSE {c} END AS {c}" for c in ("px", "cube", "r")) + " FROM t, lg)"
+SCALED = splits_sql("rolling") + LOGGED + """, ga AS (SELECT split_id, 'train' AS part, grown.* FROM grown JOIN s ON grown.d >= train_start AND grown.d < train_end UNION ALL SELECT split_id, 'test', grown.* FROM grown JOIN s ON grown.d >= test_start AND grown.d < test_end),
+  gf AS (SELECT split_id, k, """ + ", ".join(f"avg({c}) AS m_{c}, stddev_pop({c}) AS s_{c}" for c in ("px", "cube", "r")) + " FROM ga WHERE part = 'train' GROUP BY 1, 2)"
+
+
+@register("scale_all_splits", f"WITH {SCALED} SELECT ga.split_id, part, d, ga.k, " + ", ".join(f"round(coalesce(CASE WHEN s_{c} = 0 AND {c} IS NOT NULL THEN 0 ELSE ({c} - m_{c}) / nullif(s_{c}, 0) END, 0), 5) AS {c}" for c in ("px", "cube", "r")) + " FROM ga LEFT JOIN gf ON ga.split_id = gf.split_id AND ga.k = gf.k")
+def _(s: SparkSession, d: str) -> DataFrame:
+    whole = features_panel(s, d).select("Date", "Ticker", "px", F.expr(f"{SKEWED} / 1e6").alias("cube"), "r")
+    made = splits(panel(s, d))
+    o = workflow.ScaleOptions(include_cols=("px", "cube", "r"), price_col="", auto_log1p=True, impute_na=0.0)
+    z, _, _ = workflow.scale_panel(split.assign(whole, made), o, whole, made)
+    return z.select("split_id", "part", F.col("Date").alias("d"), F.col("Ticker").alias("k"), *(r6(c, 5).alias(c) for c in ("px", "cube", "r")))
+
+
+BRANDS = [f"Brand#{i}{j}" for i in range(1, 6) for j in range(1, 6)]
+SHARES = ", sh AS (SELECT split_id, part, k, count(*) / cast(sum(count(*)) OVER (PARTITION BY split_id, part) AS double) AS share FROM a GROUP BY 1, 2, 3), fg AS (SELECT split_id, " + ", ".join(f"count(CASE WHEN part = '{p}' THEN 1 END) AS {p}_rows, count(DISTINCT CASE WHEN part = '{p}' THEN d END) AS {p}_days, min(CASE WHEN part = '{p}' THEN d END) AS {p}_date_min, max(CASE WHEN part = '{p}' THEN d END) AS {p}_date_max" for p in ("train", "test")) + " FROM a GROUP BY 1), wd AS (SELECT split_id, " + ", ".join(f"""round(max(CASE WHEN part = '{p}' AND k = '{b}' THEN share END), 6) AS "{p}_share__{b}\"""" for p in ("train", "test") for b in BRANDS) + " FROM sh GROUP BY 1)"
+
+
+@register("split_log", f"WITH {splits_sql('rolling')}{SHARES} SELECT s.*, fg.* EXCLUDE (split_id), wd.* EXCLUDE (split_id) FROM s JOIN fg ON s.split_id = fg.split_id LEFT JOIN wd ON s.split_id = wd.split_id")
+def _(s: SparkSession, d: str) -> DataFrame:
+    out = split.log(assigned(s, d), splits(panel(s, d)), BRANDS)
+    return out.select(*(r6(F.col(f"`{c}`")).alias(c) if "_share__" in c else F.col(c) for c in out.columns))
+
+
 @register("split_meta", f"WITH {splits_sql('rolling')} SELECT split_id, count(CASE WHEN part = 'train' THEN 1 END) AS n_train, count(CASE WHEN part = 'test' THEN 1 END) AS n_test, 5 AS n_features FROM a GROUP BY 1")
 def _(s: SparkSession, d: str) -> DataFrame:
     return scale.meta(assigned(s, d), FEATURES, []).select("split_id", "n_train", "n_test", "n_features")

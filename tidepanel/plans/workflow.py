@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import datetime as dt
 from collections.abc import Sequence
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -30,6 +30,9 @@ class SplitOptions:
     test_months: int = 1
     embargo_days: int = 5
     mode: str = "rolling"
+    date_col: str = "Date"
+    ticker_col: str | None = None
+    price_col: str = "Price"
     min_train_days_per_ticker: int = 250
     strict_coldstart: bool = False
 
@@ -37,6 +40,8 @@ class SplitOptions:
 @dataclass
 class ScaleOptions:
     target: str = "Excess_5d_fwd"
+    date_col: str = "Date"
+    ticker_col: str | None = None
     price_col: str = "Price"
     include_cols: Sequence[str] = field(default_factory=tuple)
     exclude_cols: Sequence[str] = field(default_factory=tuple)
@@ -52,6 +57,22 @@ def typed(df: DataFrame, date: str = "Date", texts: Sequence[str] = ("Ticker",))
     return df.select(*(day(c) if c == date else F.col(f"`{c}`") if c in texts else C.to_double(F.col(f"`{c}`")).alias(c) for c in df.columns))
 
 
+def keyed(df: DataFrame, date: str = "Date", ticker: str | None = None) -> DataFrame:
+    """``df`` with its date column named Date and its ticker column, named or found, Ticker; rows without a date go."""
+    ticker = ticker or readers.ticker_column(df)
+    readers.require(df, date, ticker)
+    new = {date: "Date", ticker: "Ticker"}
+    names = [new.get(c, c) for c in df.columns]
+    if len(set(names)) < len(names):
+        raise ValueError("Date and Ticker are other columns' names")
+    return df.toDF(*names).where("Date is not null")
+
+
+def priced(df: DataFrame, price: str) -> DataFrame:
+    """Rows with a price above 0, where there is such a column."""
+    return rows.priced(df, f"`{price}`") if price in df.columns else df
+
+
 def clean_panel(df: DataFrame, cutoff: float = 0.95, window: int = 5) -> Cleaned:
     """Macro columns imputed and winsorised, then columns that others explain dropped."""
     readers.require(df, "Date", "Ticker")
@@ -66,8 +87,7 @@ def clean_panel(df: DataFrame, cutoff: float = 0.95, window: int = 5) -> Cleaned
 def split_panel(df: DataFrame, options: SplitOptions | None = None) -> tuple[DataFrame, list[split.Split]]:
     """The priced rows of each split, cold starts taken out of the tests, and the splits."""
     o = options or SplitOptions()
-    df = df.where("Date is not null")
-    df = rows.priced(df) if "Price" in df.columns else df
+    df = priced(keyed(df, o.date_col, o.ticker_col), o.price_col)
     made = split.make_splits(*split.bounds(df), o.start, o.train_years, o.test_months, o.embargo_days, o.mode)
     made = split.with_tests(df, made)
     if not made:
@@ -81,17 +101,24 @@ def split_panel(df: DataFrame, options: SplitOptions | None = None) -> tuple[Dat
     return members, made
 
 
-def scale_panel(members: DataFrame, options: ScaleOptions | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Scaled rows, statistics and figures of all splits in one plan."""
+def scale_panel(members: DataFrame, options: ScaleOptions | None = None, panel: DataFrame | None = None, splits: Sequence[split.Split] = ()) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Scaled rows, statistics and figures of all splits in one plan.
+
+    Log columns are chosen over the whole ``panel``, in a split or not; without it, over the rows of
+    ``members``. With ``panel`` and ``splits``, moments are taken from the panel by date, each row once.
+    """
     o = options or ScaleOptions()
+    members = priced(keyed(members, o.date_col, o.ticker_col), o.price_col)
+    panel = None if panel is None else priced(keyed(panel, o.date_col, o.ticker_col), o.price_col)
     keys = ("Date", "Ticker", "split_id", "part", o.target)
     features = [c for c in o.include_cols if c in members.columns and c not in keys] if o.include_cols else scale.scaled_features(members, o.target, o.leak_safe)
     features = rows.not_matching(features, o.exclude_cols)
     if not features:
         raise ValueError("no feature columns")
-    logs = scale.log_columns(members.dropDuplicates(["Ticker", "Date"]), features, o.auto_log1p, o.log1p_cols)
-    members = scale.apply_log(members, logs)
-    fitted = scale.fit(members, features)
+    whole = members.dropDuplicates(["Ticker", "Date"]) if panel is None else panel
+    logs = scale.log_columns(whole, features, o.auto_log1p, o.log1p_cols)
+    members = scale.apply_log(members, logs, whole)
+    fitted = scale.fit_by_dates(scale.apply_log(panel, logs), splits, features) if panel is not None and splits else scale.fit(members, features)
     return scale.transform(members, fitted, features, o.impute_na), scale.long_stats(fitted, features), scale.meta(members, features, logs, o.impute_na)
 
 
@@ -131,7 +158,11 @@ def cleaning_report(before: DataFrame, done: Cleaned) -> str:
 
 def run(spark: SparkSession, path: str, out: str, splits: SplitOptions | None = None, scaling: ScaleOptions | None = None) -> None:
     """From a panel's CSV to cleaned tables, membership, log, scaled splits and reports under ``out``."""
-    panel = typed(readers.read_auto(spark, path))
+    raw = readers.read_auto(spark, path)
+    o = splits or SplitOptions()
+    ticker = o.ticker_col or readers.ticker_column(raw)
+    panel = keyed(typed(raw, o.date_col, (ticker,)), o.date_col, ticker)
+    splits, scaling = replace(o, date_col="Date", ticker_col="Ticker"), replace(scaling or ScaleOptions(), date_col="Date", ticker_col="Ticker")
     done = clean_panel(panel)
     done.clean.write.mode("overwrite").parquet(f"{out}/clean")
     done.reduced.write.mode("overwrite").parquet(f"{out}/reduced")
@@ -141,4 +172,4 @@ def run(spark: SparkSession, path: str, out: str, splits: SplitOptions | None =
     members, made = split_panel(reduced, splits)
     writers.write_membership(members, f"{out}/membership")
     writers.write_csv(split.log(members, made).coalesce(1), f"{out}/splits_log")
-    writers.write_scaled(*scale_panel(members, scaling), out)
+    writers.write_scaled(*scale_panel(members, scaling, reduced, made), out)
