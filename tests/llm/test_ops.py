@@ -413,6 +413,14 @@ def test_toxicity_of_odd_rows(spark: SparkSession, odd: DataFrame, none: DataFra
     assert toxicity.scored(odd, spark.createDataFrame([], LABELS)).count() == len(ODD)
 
 
+def test_toxicity_held_out(spark: SparkSession) -> None:
+    sf = "/root/testdata/sf0.1"
+    labels = spark.read.parquet(f"{sf}/labels.parquet")
+    out = toxicity.scored(spark.read.parquet(f"{sf}/documents.parquet"), labels).where("held_out").join(labels, "doc_id").toPandas()
+    bad, found = out.toxic == 1, out.predicted == 1
+    assert (bad & found).sum() / bad.sum() >= 0.8 and (bad & found).sum() / found.sum() >= 0.9 and (found & ~bad).sum() / (~bad).sum() <= 0.01
+
+
 # 7 lattice
 
 
