@@ -214,6 +214,15 @@ def test_feature_set_b(spark: SparkSession) -> None:
         features.feature_set_b(stocks, macro.where("Field = 'VIX'"))
 
 
+def test_first_value_is_that_of_the_first_file(spark: SparkSession, tmp_path) -> None:  # noqa: ANN001
+    """Spark reads large files first; rows count in the files' order all the same."""
+    (tmp_path / "long").mkdir()
+    (tmp_path / "long" / "1.csv").write_text("Ticker;Field;Date;Value\nA;Last Price;02.01.2020;1\n")
+    (tmp_path / "long" / "2.csv").write_text("Ticker;Field;Date;Value\n" + "A;Last Price;02.01.2020;2\n" * 2000)
+    long = readers.read_long(spark, str(tmp_path / "long"))
+    assert reshape.pivot_first(long, ["Date"], "Field", "Value", "_seq").first()["Last Price"] == "1"
+
+
 def test_moments_by_dates_are_those_of_the_exploded_rows(spark: SparkSession, calendar: DataFrame) -> None:
     odd = calendar.withColumn("Gap", F.when(F.dayofmonth("Date") % 3 == 0, F.col("Volume"))).withColumn("Never", F.lit(None).cast("double"))
     for mode in ("rolling", "expanding"):

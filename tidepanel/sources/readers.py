@@ -22,10 +22,17 @@ def first_line(spark: SparkSession, path: str) -> str:
 
 
 
-def _csv(spark: SparkSession, path: str, sep: str) -> DataFrame:
-    """All columns as text, in the header's order; a byte order mark is no part of a name."""
+def _csv(spark: SparkSession, path: str, sep: str, place: str | None = None) -> DataFrame:
+    """All columns as text, in the header's order; a byte order mark is no part of a name.
+
+    ``place`` adds a column that orders rows by file, the part of the file, and the row in it.
+    """
     df = spark.read.option("header", True).option("sep", sep).option("inferSchema", False).option("enforceSchema", True).csv(path)
-    return df.toDF(*(c.lstrip("﻿") for c in df.columns))
+    names = [c.lstrip("﻿") for c in df.columns]
+    if place is None:
+        return df.toDF(*names)
+    at = F.struct(F.col("_metadata.file_path"), F.col("_metadata.file_block_start"), F.monotonically_increasing_id().alias("row"))
+    return df.select(*(F.col(f"`{c}`") for c in df.columns), at.alias(place)).toDF(*names, place)
 
 
 def read_auto(spark: SparkSession, path: str, strip: bool = True) -> DataFrame:
@@ -44,16 +51,17 @@ def read_long(spark: SparkSession, path: str) -> DataFrame:
     Lines that are quoted as a whole are taken apart. Headers may have any case, blanks around them, and
     Wert for Value; without the names, the first four columns count.
     """
-    df = _csv(spark, path, ";")
-    if len(df.columns) == 1:
-        parts = F.split(F.col(f"`{df.columns[0]}`"), ";")
-        names = [x.strip().strip('"') for x in df.columns[0].split(";")]
-        df = df.select(*(F.get(parts, F.lit(i)).alias(f"c{i}") for i in range(len(names)))).toDF(*names)
-    titles = [LONG_ALIASES.get(c.strip().title(), c.strip().title()) for c in df.columns]
+    df = _csv(spark, path, ";", "_seq")
+    names = df.columns[:-1]
+    if len(names) == 1:
+        parts = F.split(F.col(f"`{names[0]}`"), ";")
+        names = [x.strip().strip('"') for x in names[0].split(";")]
+        df = df.select(*(F.get(parts, F.lit(i)).alias(f"c{i}") for i in range(len(names))), "_seq").toDF(*names, "_seq")
+    titles = [LONG_ALIASES.get(c.strip().title(), c.strip().title()) for c in names]
     if not set(LONG_COLUMNS) <= set(titles):
-        df, titles = df.select(*(F.col(f"`{c}`") for c in df.columns[:4])), list(LONG_COLUMNS[: len(df.columns)])
-    df = df.toDF(*titles)
-    return df.select(*(F.trim(F.col(c)).alias(c) for c in LONG_COLUMNS if c in titles)).withColumn("_seq", F.monotonically_increasing_id())
+        df, titles = df.select(*(F.col(f"`{c}`") for c in names[:4]), "_seq"), list(LONG_COLUMNS[: len(names)])
+    df = df.toDF(*titles, "_seq")
+    return df.select(*(F.trim(F.col(c)).alias(c) for c in LONG_COLUMNS if c in titles), "_seq")
 
 
 def require(df: DataFrame, *columns: str) -> DataFrame:
