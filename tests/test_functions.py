@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from tidepanel.functions import columns as C
 from tidepanel.functions import stats
 from tidepanel.operators import profile
+from tidepanel.sources import writers
 
 
 def column(spark: SparkSession, values: list, f, kind: str = "string") -> list:  # noqa: ANN001
@@ -62,6 +63,25 @@ def test_statistics_against_pandas(spark: SparkSession) -> None:
     assert got["a", "c"] is None and got["a", "e"] is None and len(got) == 10
 
 
+@pytest.mark.parametrize("n", [1, 2, 3, 4, 999, 60_000])
+def test_medians_are_exact(spark: SparkSession, n: int) -> None:
+    rng = np.random.default_rng(n)
+    df = pd.DataFrame({"k": "hot", "v": rng.standard_normal(n).round(3 if n > 999 else 9)})
+    df = pd.concat([df, pd.DataFrame({"k": ["flat"] * 5 + ["cold"] * 4, "v": [2.0] * 5 + [1.0, -3.0, 8.0, 8.0]})])
+    made = spark.createDataFrame(df, "k string, v double").unionByName(spark.createDataFrame([("cold", None), (None, 7.0)], "k string, v double"))
+    got = {r["k"]: r["median"] for r in profile.medians(made, ["k"], "v").collect()}
+    assert got == pytest.approx(df.groupby("k")["v"].median().to_dict(), abs=1e-12)
+
+
+def test_heatmap(spark: SparkSession) -> None:
+    df = spark.createDataFrame([(1.0, -1.0, 5.0), (2.0, -2.0, 5.0), (3.0, -3.0, 5.0)], "a double, `b<` double, c double")
+    cells = profile.matrix(df, df.columns)
+    got = {(r["row"], r["column"]): r["corr"] for r in cells.collect()}
+    assert len(got) == 9 and got["a", "b<"] == got["b<", "a"] == pytest.approx(-1.0) and got["a", "a"] == 1.0 and got["c", "c"] is None
+    picture = writers.heatmap(cells, df.columns)
+    assert picture.count("<rect") == 9 and picture.count("rgb(255,0,0)") == 2 and picture.count("rgb(0,0,255)") == 2 and picture.count("#ccc") == 5 and "b&lt;" in picture
+
+
 def test_profiles(spark: SparkSession) -> None:
     df = spark.createDataFrame([("2020-01-01", "A", 1.0), ("2020-01-01", "A", 2.0), (None, "A", None), (None, "A", 3.0), ("2020-01-02", None, 4.0)], "Date string, Ticker string, x double")
     assert tuple(profile.duplicates(df).first()) == (5, 2)

@@ -10,7 +10,7 @@ from __future__ import annotations
 import datetime as dt
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidepanel.functions import columns as C
@@ -475,6 +475,11 @@ def _(s: SparkSession, d: str) -> DataFrame:
     return profile.strong(profile.correlations(numbers(s, d), COLUMNS)).select("a", "b", r6("corr").alias("corr"))
 
 
+@register("corr_matrix", f"WITH {PAIRS} SELECT a AS row, b AS \"column\", round(corr, 6) AS corr FROM pairs UNION ALL SELECT b, a, round(corr, 6) FROM pairs" + "".join(f" UNION ALL SELECT '{a}', '{a}', CASE WHEN var_pop({a}) > 0 THEN 1.0 END FROM num" for a in COLUMNS))
+def _(s: SparkSession, d: str) -> DataFrame:
+    return profile.matrix(numbers(s, d), COLUMNS).withColumn("corr", r6("corr"))
+
+
 @register("leak_check_topk", f"WITH {NUMBERS}, c AS (" + " UNION ALL ".join(f"SELECT '{a}' AS \"column\", {corr_sql(a, 'fwd')} AS corr FROM num" for a in COLUMNS) + ") SELECT \"column\", round(corr, 6) AS corr FROM c ORDER BY abs(corr) DESC NULLS LAST, \"column\" LIMIT 5")
 def _(s: SparkSession, d: str) -> DataFrame:
     c = profile.target_correlations(numbers(s, d), COLUMNS, "fwd")
@@ -582,6 +587,37 @@ def _(s: SparkSession, d: str) -> DataFrame:
     return valid(s, d).groupBy(F.col("Ticker").alias("k"), F.year("Date").alias("y")).agg(F.count("Price").alias("n"))
 
 
+# P24, P25, F-10, R9 and the panel's orders
+
+
+@register("fixed_digits", f"WITH {FEAT} SELECT d, k, CASE WHEN r IS NULL THEN '' ELSE printf('%.3f', vol / 4) END AS quarter FROM feat")
+def _(s: SparkSession, d: str) -> DataFrame:
+    return numbers(s, d).select("d", "k", C.text_number(F.when(F.col("r").isNotNull(), F.col("vol") / 4), 3).alias("quarter"))
+
+
+@register("column_kinds", "SELECT * FROM (VALUES ('l_quantity', true, true, true), ('l_tax', true, true, false), ('l_orderkey', false, true, true), ('l_comment', false, false, true)) AS t(\"column\", feature, number, kept)")
+def _(s: SparkSession, d: str) -> DataFrame:
+    items = table(s, d, "lineitem").withColumn("l_comment", F.lit("")).select("l_quantity", "l_tax", "l_orderkey", "l_comment")
+    found, whole, kept = clean.feature_columns(items, ids=("l_orderkey",)), clean.numeric_columns(items), rows.not_matching(items.columns, ["tax$", ""])
+    return s.createDataFrame([(c, c in found, c in whole, c in kept) for c in items.columns], "column string, feature boolean, number boolean, kept boolean")
+
+
+def placed(df: DataFrame) -> DataFrame:
+    """Each row of a sorted panel with its place in it; a window over the whole table, for a check of order only."""
+    names = [F.col("Ticker").alias("k"), F.col("Date").alias("d")]
+    return df.select(*names, F.monotonically_increasing_id().alias("at")).select("k", "d", F.row_number().over(Window.orderBy("at")).cast("long").alias("place"))
+
+
+@register("sort_ticker_date", f"WITH {PANEL} SELECT k, d, row_number() OVER (ORDER BY k, d) AS place FROM panel")
+def _(s: SparkSession, d: str) -> DataFrame:
+    return placed(rows.sorted_panel(panel(s, d)))
+
+
+@register("sort_date_ticker", f"WITH {PANEL} SELECT k, d, row_number() OVER (ORDER BY d, k) AS place FROM panel")
+def _(s: SparkSession, d: str) -> DataFrame:
+    return placed(rows.sorted_panel(panel(s, d), "Date", "Ticker"))
+
+
 @register("first_dates_sorted", f"WITH {VALID} SELECT k, first_day FROM span ORDER BY first_day, k")
 def _(s: SparkSession, d: str) -> DataFrame:
     return profile.coverage(valid(s, d)).select(F.col("Ticker").alias("k"), "first_day").orderBy("first_day", "k")

@@ -169,6 +169,8 @@ def run(spark: SparkSession, path: str, out: str, splits: SplitOptions | None =
     reduced = spark.read.parquet(f"{out}/reduced")
     writers.write_text(spark, cleaning_report(panel, done), f"{out}/cleaning_report")
     writers.write_text(spark, sanity_report(reduced, "reduced"), f"{out}/sanity_report")
+    shown = clean.numeric_columns(reduced)[:60]  # as many as a picture can show
+    writers.write_text(spark, writers.heatmap(profile.matrix(reduced, shown), shown), f"{out}/correlation_heatmap")
     members, made = split_panel(reduced, splits)
     writers.write_membership(members, f"{out}/membership")
     writers.write_csv(split.log(members, made).coalesce(1), f"{out}/splits_log")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from xml.sax.saxutils import escape
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -43,6 +44,24 @@ def markdown_table(df: DataFrame, columns: Sequence[str], digits: int = 6) -> st
     return "\n".join(["| " + " | ".join(columns) + " |", "|" + "---|" * len(columns), *("| " + " | ".join(show(v) for v in r) + " |" for r in rows)])
 
 
+def heatmap(cells: DataFrame, columns: Sequence[str], side: int = 14) -> str:
+    """A correlation matrix (row, column, corr) of the named columns as an SVG picture: blue below 0, red above, grey for NULL."""
+    corr = {(r["row"], r["column"]): r["corr"] for r in cells.select("row", "column", "corr").collect()}  # a row per pair of columns
+    margin = 8 * max(map(len, columns), default=0) + 8
+    size = margin + side * len(columns)
+    out = [f'<svg xmlns="http://www.w3.org/2000/svg" width="{size}" height="{size}" font-family="monospace" font-size="{side - 4}">']
+    for y, a in enumerate(columns):
+        name = escape(a)
+        at = margin + side * y + side - 3
+        out += [f'<text x="{margin - 4}" y="{at}" text-anchor="end">{name}</text>', f'<text transform="translate({at},{margin - 4}) rotate(-90)">{name}</text>']
+        for x, b in enumerate(columns):
+            v = corr.get((a, b))
+            pale = 255 if v is None else round(255 * (1 - min(1.0, abs(v))))
+            fill = "#ccc" if v is None else f"rgb(255,{pale},{pale})" if v >= 0 else f"rgb({pale},{pale},255)"
+            out.append(f'<rect x="{margin + side * x}" y="{margin + side * y}" width="{side}" height="{side}" fill="{fill}"/>')
+    return "\n".join([*out, "</svg>"])
+
+
 def write_text(spark: SparkSession, text: str, path: str) -> None:
     """One text file in a folder, in any store that Spark writes."""
     spark.createDataFrame([(text,)], "value string").coalesce(1).write.mode("overwrite").text(path)
