@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import hashlib
+import html
 import itertools
 import random
 import re
@@ -15,6 +16,8 @@ from pyspark.sql import DataFrame, SparkSession
 from tidepanel.llm import chosenpath, cuckoo, htmlcut, lattice, mixing, mpegts, packing, quality, toxicity, vectors
 from tidepanel.llm.components import connected_components
 
+from tests.llm import labelled_pages
+
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 
 
@@ -164,6 +167,16 @@ def test_main_text() -> None:
         htmlcut.main_text(PAGE[:cut_off])
 
 
+def test_precision_and_recall_on_pages_labelled_by_hand() -> None:
+    shared = found = there = 0
+    for page in labelled_pages.PAGES.values():
+        plain = lambda b: html.unescape(re.sub(r"<[^>]*>", "", b))
+        want = Counter(w for b in re.findall(r"\[\[(.*?)\]\]", page, re.S) for w in plain(b).split())
+        got = Counter(htmlcut.main_text(page.replace("[[", "").replace("]]", "")).split())
+        shared, found, there = shared + (want & got).total(), found + got.total(), there + want.total()
+    assert shared / found >= 0.9 and shared / there >= 0.95, (shared / found, shared / there)
+
+
 def test_min_cut_is_the_least_cost() -> None:
     rng = random.Random(4)
     for _ in range(60):
