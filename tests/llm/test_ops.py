@@ -133,6 +133,21 @@ def test_vectors_match_brute_force(spark: SparkSession) -> None:
     assert len(got) == len(rows)
 
 
+def test_pairs_at_the_threshold_are_found(spark: SparkSession) -> None:
+    rng = np.random.default_rng(5)
+    n, size = 2000, 64
+    a = rng.normal(size=(n, size))
+    a /= np.linalg.norm(a, axis=1)[:, None]
+    b = rng.normal(size=(n, size))
+    b -= (a * b).sum(1)[:, None] * a
+    b /= np.linalg.norm(b, axis=1)[:, None]
+    c = rng.uniform(0.9 + 1e-9, 0.92, n)[:, None]
+    rows = [(i, v.tolist()) for i, v in enumerate(np.concatenate([a, c * a + np.sqrt(1 - c * c) * b]))]
+    out = vectors.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).where("n_links > 0").collect()
+    assert all(r.n_links == 1 and r.component_id == r.vec_id % n for r in out)
+    assert len(out) / (2 * n) >= 0.99, len(out) / (2 * n)
+
+
 def test_vectors_none_and_floats(spark: SparkSession) -> None:
     empty = spark.createDataFrame([], "vec_id long, embedding array<float>, label int")
     assert vectors.near_duplicates(empty).count() == 0
