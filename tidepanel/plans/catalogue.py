@@ -17,6 +17,7 @@ from tidepanel.functions import columns as C
 from tidepanel.operators import clean, evaluation, joins, profile, reshape, rows, scale, split, windows
 from tidepanel.operators.windows import by_ticker
 from tidepanel.plans import features, workflow
+from tidepanel.sources import readers, writers
 from tidepanel.streaming import daily
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -806,3 +807,116 @@ def _(s: SparkSession, d: str) -> DataFrame:
 @register("daily_panel", "SELECT cast(ts AS date) AS d, event_type AS k, round(avg(value), 6) AS px, count(*) AS vol FROM events GROUP BY 1, 2")
 def _(s: SparkSession, d: str) -> DataFrame:
     return dk(daily.daily_panel(table(s, d, "events")), px=r6("Price"), vol=F.col("Volume"))
+
+
+# Files: what is written is read again
+
+
+LONG = PANEL + """, long AS (SELECT d, k, 'Last Price' AS field, px AS v FROM panel UNION ALL SELECT d, k, 'Volume', vol FROM panel)"""
+
+
+def long_file(s: SparkSession, d: str) -> str:
+    """The panel as an export of four text columns, with blanks around names and values."""
+    tall = reshape.melt(panel(s, d).withColumnRenamed("Price", "Last Price"), ["Date", "Ticker"], ["Last Price", "Volume"], "field", "v")
+    text = tall.select(F.concat(F.lit(" "), "Ticker", F.lit(" ")).alias(" ticker"), F.col("field").alias("FIELD"), F.date_format("Date", "dd.MM.yyyy").alias("Date "), F.col("v").cast("string").alias("Wert"))
+    path = writers.scratch(s, "long")
+    writers.write_csv(text, path, ";")
+    return path
+
+
+@register("read_long_csv", f"WITH {LONG} SELECT d, k, field, v FROM long")
+def _(s: SparkSession, d: str) -> DataFrame:
+    long = readers.read_long(s, long_file(s, d))
+    return long.select(C.day_first(F.col("Date")).alias("d"), F.col("Ticker").alias("k"), F.col("Field").alias("field"), C.loose_double(F.col("Value")).alias("v"))
+
+
+@register("read_long_then_pivot", f"WITH {PANEL} SELECT d, k, px, vol FROM panel")
+def _(s: SparkSession, d: str) -> DataFrame:
+    long = readers.read_long(s, long_file(s, d))
+    held = long.withColumns({"Date": C.day_first(F.col("Date")), "v": C.loose_double(F.col("Value"))})
+    wide = reshape.pivot_first(rows.with_fields(held, ("Last Price", "Volume")), ["Date", "Ticker"], "Field", "v", "_seq", ("Last Price", "Volume"))
+    return dk(wide, px=F.col("Last Price"), vol=F.col("Volume"))
+
+
+CUSTOMERS = "SELECT c_custkey AS id, c_name AS who, round(cast(c_acctbal AS double), 2) AS balance FROM customer"
+
+
+def customer_file(s: SparkSession, d: str, sep: str) -> str:
+    path = writers.scratch(s, "customers")
+    names = (" id", "who ", " balance ")
+    writers.write_csv(table(s, d, "customer").select("c_custkey", "c_name", F.round(F.col("c_acctbal").cast("double"), 2)).toDF(*names), path, sep)
+    return path
+
+
+def customers(df: DataFrame, pad: bool = False) -> DataFrame:
+    one, who, balance = (" id", "who ", " balance ") if pad else ("id", "who", "balance")
+    return df.select(F.col(one).cast("long").alias("id"), F.col(who).alias("who"), C.to_double(F.col(balance)).alias("balance"))
+
+
+@register("read_auto_semicolons", CUSTOMERS)
+def _(s: SparkSession, d: str) -> DataFrame:
+    return customers(readers.read_auto(s, customer_file(s, d, ";")))
+
+
+@register("read_auto_commas", CUSTOMERS)
+def _(s: SparkSession, d: str) -> DataFrame:
+    return customers(readers.read_auto(s, customer_file(s, d, ",")))
+
+
+@register("read_auto_names_kept", CUSTOMERS)
+def _(s: SparkSession, d: str) -> DataFrame:
+    return customers(readers.read_auto(s, customer_file(s, d, ";"), strip=False), pad=True)
+
+
+@register("write_csv_read_plain", f"WITH {PANEL} SELECT d, k, px, vol FROM panel")
+def _(s: SparkSession, d: str) -> DataFrame:
+    path = writers.scratch(s, "panel")
+    writers.write_csv(panel(s, d), path)
+    read = readers.read_plain(s, path)
+    return read.select(C.iso_first(F.col("Date")).alias("d"), F.col("Ticker").alias("k"), C.to_double(F.col("Price")).alias("px"), C.to_double(F.col("Volume")).alias("vol"))
+
+
+@register("write_membership", f"WITH {splits_sql('rolling')} SELECT split_id, part, d, k FROM a")
+def _(s: SparkSession, d: str) -> DataFrame:
+    path = writers.scratch(s, "members")
+    writers.write_membership(assigned(s, d), path)
+    return writers.read_membership(s, path).select("split_id", "part", F.col("Date").alias("d"), F.col("Ticker").alias("k"))
+
+
+@register("split_discovery", f"WITH {splits_sql('rolling')} SELECT DISTINCT split_id FROM a")
+def _(s: SparkSession, d: str) -> DataFrame:
+    path = writers.scratch(s, "members")
+    writers.write_membership(assigned(s, d), path)
+    return s.createDataFrame([(i,) for i in writers.split_ids(s, path)], "split_id int")
+
+
+def scaled_files(s: SparkSession, d: str) -> str:
+    a, path = assigned(s, d), writers.scratch(s, "scaled")
+    f = scale.fit(a, FEATURES)
+    writers.write_scaled(scale.transform(a, f, FEATURES), scale.long_stats(f, FEATURES), scale.meta(a, FEATURES, []), path)
+    return path
+
+
+@register("write_scaled_rows", ORACLE_SQL["zscore_scaled"])
+def _(s: SparkSession, d: str) -> DataFrame:
+    z = s.read.parquet(f"{scaled_files(s, d)}/scaled")
+    return z.select("split_id", "part", F.col("Date").alias("d"), F.col("Ticker").alias("k"), *(r6(c, 5).alias(c) for c in FEATURES))
+
+
+@register("write_scaled_meta", f"WITH {splits_sql('rolling')} SELECT split_id, count(CASE WHEN part = 'train' THEN 1 END) AS n_train, count(CASE WHEN part = 'test' THEN 1 END) AS n_test, cast(5 AS bigint) AS n_features FROM a GROUP BY 1")
+def _(s: SparkSession, d: str) -> DataFrame:
+    meta = s.read.schema("split_id int, n_train long, n_test long, n_features long").json(f"{scaled_files(s, d)}/meta")
+    return meta.select("split_id", "n_train", "n_test", "n_features")
+
+
+@register("ticker_detection", f"WITH {PANEL} SELECT k, count(*) AS n FROM panel GROUP BY k")
+def _(s: SparkSession, d: str) -> DataFrame:
+    p = panel(s, d).select("Date", F.lit("one").alias("kind"), F.col("Ticker").alias("who"))
+    return p.groupBy(F.col(readers.ticker_column(p)).alias("k")).agg(F.count("*").alias("n"))
+
+
+@register("pattern_exclusion", f"WITH {FEAT} SELECT d, k, px, vol, round(r, 6) AS r FROM feat")
+def _(s: SparkSession, d: str) -> DataFrame:
+    p = features_panel(s, d)
+    names = rows.not_matching([c for c in FEATURES if c not in reshape.missing_columns(p, FEATURES)], ("^ma", "20$", ""))
+    return dk(p, **{c: r6(c) if c == "r" else F.col(c) for c in names})

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Sequence
 from xml.sax.saxutils import escape
 
@@ -9,8 +11,18 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def write_csv(df: DataFrame, path: str) -> None:
-    df.write.mode("overwrite").option("header", True).csv(path)
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new path in ``spark.checkpoint.dir``; where that is unset, in a temporary folder, on one machine only."""
+    sc = spark.sparkContext
+    shared = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
+    if not shared and sc.master != "local" and not sc.master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+    return f"{(shared or tempfile.mkdtemp(prefix='tidepanel-')).rstrip('/')}/tidepanel/{name}-{uuid.uuid4().hex}"
+
+
+def write_csv(df: DataFrame, path: str, sep: str = ",") -> None:
+    """Blanks around names and values are written too."""
+    df.write.mode("overwrite").options(header=True, sep=sep, ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False).csv(path)
 
 
 def write_membership(assigned: DataFrame, path: str) -> None:
