@@ -33,6 +33,7 @@ from tidepanel.llm.textvec import mix
 
 BLANK = b" \t\n\x0b\x0c\r"
 SALTS = 64  # a shard's lines go to so many tasks
+HOT = 1000  # a key's references are joined in parts of at most about so small a share of all
 FILTER = "shard int, filter binary, slots long, held long"
 
 
@@ -195,8 +196,17 @@ def probe(refs: DataFrame, kept: DataFrame, shards: int) -> DataFrame:
 
 
 def drops(refs: DataFrame, common: DataFrame, kept: DataFrame, shards: int) -> DataFrame:
-    """(doc_id, keys): what each document loses."""
-    exact = probe(refs, kept, shards).join(common, ["k1", "k2"]).where("doc_id <> last_doc")
+    """(doc_id, keys): what each document loses.
+
+    A key of more than a ``HOT``-th of the common keys' references is dealt to several tasks. There are less than
+    ``HOT`` such keys, as their references are no more than all; so they are broadcast.
+    """
+    total = common.agg(F.sum("n_docs")).first()[0] or 1
+    dealt = common.withColumn("parts", F.ceil(F.col("n_docs") * HOT / F.lit(total)))
+    hot = F.broadcast(dealt.where("parts > 1").select("k1", "k2", "parts"))
+    salted = probe(refs, kept, shards).join(hot, ["k1", "k2"], "left").withColumn("salt", F.coalesce(F.pmod(F.xxhash64("doc_id"), F.col("parts")), F.lit(0)))
+    copies = dealt.select("k1", "k2", "last_doc", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("salt"))
+    exact = salted.join(copies, ["k1", "k2", "salt"]).where("doc_id <> last_doc")
     key = F.concat(F.lpad(F.hex("k1"), 16, "0"), F.lpad(F.hex("k2"), 16, "0"))
     return exact.groupBy("doc_id").agg(F.collect_set(key).alias("keys"))
 
