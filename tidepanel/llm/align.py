@@ -5,11 +5,12 @@ are found by pointer jumping: every token points to the token of the other side
 right; doubling all pointers at once leads each token to the last token of its group, which names it. A link is a
 pair of overlapping tokens; a pair of ids counts as often as there are documents that hold it linked.
 
-Texts are tokenized once and kept as ids, by chunks of about 4 MB of text. Counts are gathered from each chunk's distinct
+Texts are tokenized once and kept as ids, by chunks of about 2 MB of text. Counts are gathered from each chunk's distinct
 pairs, and given back to the chunks that hold them: what is shuffled is a chunk's distinct pairs and its ids, never one
 row per link, and a pair that every document holds is one row a chunk.
 
-A tokenizer gets each distinct segment of a chunk once. Segments begin at a single space between two characters that
+A tokenizer gets each distinct segment of a run of texts once, and a worker keeps the ids of the first million short ones that it
+met. Segments begin at a single space between two characters that
 are not blank; no token of either vocabulary reaches over such a place (:meth:`Codec.crossing` checks it), so the
 ids are those of the whole text.
 """
@@ -19,6 +20,8 @@ from __future__ import annotations
 import functools
 import os
 from collections.abc import Iterator
+from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -31,6 +34,7 @@ from tidepanel.llm.store import saved
 BYTE_BPE = "/opt/tokenizers/byte_bpe_50k.json"
 PIECE_BPE = "/opt/tokenizers/piece_bpe_32k.model"
 BITS = 20  # of an id in a pair's code
+KEPT, SHORT, AT_ONCE = 1_000_000, 64, 20_000  # segments that a worker keeps, their bytes at most, and segments given to a tokenizer at once
 
 
 class Codec:
@@ -40,6 +44,32 @@ class Codec:
         self.size = np.array([len(t) for t in tokens], np.int64)
         self.offsets = np.concatenate([[0], np.cumsum(self.size)])
         self.data = np.frombuffer(b"".join(tokens), np.uint8)
+        self.known, self.begin, self.many = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.flat = np.zeros(0, np.int32)
+
+    def looked_up(self, hashes: np.ndarray, raw: bytes, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(ids, where those of each segment begin, how many), for segments of ascending hashes; short ones are kept for later calls."""
+        at = np.searchsorted(self.known, hashes)
+        at[at == len(self.known)] = 0
+        seen = self.known[at] == hashes if len(self.known) else np.zeros(len(hashes), bool)
+        new = np.flatnonzero(~seen)
+        new = new[np.argsort(end[new] - start[new] > SHORT, kind="stable")]
+        flat, many = [self.flat], [np.zeros(0, np.int64)]
+        for i in range(0, len(new), AT_ONCE):
+            lists = self.ids([raw[s:e] for s, e in zip(start[new[i : i + AT_ONCE]].tolist(), end[new[i : i + AT_ONCE]].tolist(), strict=True)])
+            many.append(np.fromiter(map(len, lists), np.int64, len(lists)))
+            flat.append(np.fromiter(chain.from_iterable(lists), np.int32, int(many[-1].sum())))
+        flat, many = np.concatenate(flat), np.concatenate(many)
+        first = len(self.flat) + np.cumsum(many) - many
+        begin, size = np.empty(len(hashes), np.int64), np.empty(len(hashes), np.int64)
+        begin[seen], size[seen], begin[new], size[new] = self.begin[at[seen]], self.many[at[seen]], first, many
+        short = int((end[new] - start[new] <= SHORT).sum())
+        if short and len(self.known) < KEPT:
+            known = np.concatenate([self.known, hashes[new[:short]]])
+            order = np.argsort(known, kind="stable")
+            self.known, self.begin, self.many = known[order], np.concatenate([self.begin, first[:short]])[order], np.concatenate([self.many, many[:short]])[order]
+            self.flat = flat[: first[short - 1] + many[short - 1]].copy()
+        return flat, begin, size
 
     def ids(self, segments: list[bytes]) -> list[list[int]]:
         """Ids of each segment; segments begin with a space."""
@@ -123,29 +153,42 @@ def _segments(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return np.flatnonzero(starts[:n])
 
 
-def _tokens(c: Codec, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Ids of all documents, and how many each has; none where the tokens' bytes are not the document's."""
-    starts = offsets[:-1][np.diff(offsets) > 0] if c.whole else _segments(data, offsets)
+@dataclass
+class _Distinct:
+    """Segments of a run of documents: hash, start and end of each distinct one, which one each is, and its document."""
+
+    hashes: np.ndarray
+    start: np.ndarray
+    end: np.ndarray
+    of: np.ndarray
+    doc: np.ndarray
+
+
+def _distinct(data: np.ndarray, offsets: np.ndarray, starts: np.ndarray) -> _Distinct:
     w = T.Words(data, starts, np.append(starts[1:], len(data)), np.zeros(0), np.zeros(0))
-    _, first, of = np.unique(w.hashes(), return_index=True, return_inverse=True)
-    raw = data.tobytes()
-    lists = c.ids([raw[s:e] for s, e in zip(w.start[first].tolist(), w.end[first].tolist(), strict=True)])
-    size = np.array([len(x) for x in lists], np.int64)
-    flat = np.fromiter((i for x in lists for i in x), np.int64, int(size.sum()))
-    begin = np.cumsum(size) - size
-    size, begin = size[of], begin[of]
+    hashes, first, of = np.unique(w.hashes(), return_index=True, return_inverse=True)
+    return _Distinct(hashes, w.start[first], w.end[first], of, np.searchsorted(offsets, starts, "right") - 1)
+
+
+def _tokens(c: Codec, d: _Distinct, data: np.ndarray, raw: bytes, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of all documents, and how many each has; none where the tokens' bytes are not the document's."""
+    flat, begin, size = c.looked_up(d.hashes, raw, d.start, d.end)
+    size, begin = size[d.of], begin[d.of]
     ends = np.cumsum(size)
-    ids = flat[np.repeat(begin - ends + size, size) + np.arange(ends[-1] if len(ends) else 0)]
-    doc = np.repeat(np.searchsorted(offsets, w.start, "right") - 1, size)
+    ids = flat[np.repeat(begin - ends + size, size) + np.arange(ends[-1] if len(ends) else 0)].astype(np.int64)
+    doc = np.repeat(d.doc, size)
     n = len(offsets) - 1
     good = np.bincount(doc, c.size[ids], n).astype(np.int64) == np.diff(offsets)
-    kept = good[doc]
-    ids, doc = ids[kept], doc[kept]
+    if not good.all():
+        kept = good[doc]
+        ids, doc = ids[kept], doc[kept]
     covered = np.repeat(good, np.diff(offsets))
     wrong = np.flatnonzero(c.joined(ids) != data[covered])
-    good[np.repeat(np.arange(n), np.diff(offsets))[covered][wrong]] = False
-    kept = good[doc]
-    return ids[kept], np.bincount(doc[kept], minlength=n)
+    if len(wrong):
+        good[np.repeat(np.arange(n), np.diff(offsets))[covered][wrong]] = False
+        kept = good[doc]
+        ids, doc = ids[kept], doc[kept]
+    return ids, np.bincount(doc, minlength=n)
 
 
 def encode(a: Codec, b: Codec, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -158,8 +201,10 @@ def encode(a: Codec, b: Codec, texts: pa.Array) -> tuple[np.ndarray, np.ndarray,
     n_a, n_b = np.zeros(len(size), np.int64), np.zeros(len(size), np.int64)
     if not len(some):
         return np.zeros(0, np.int64), n_a, np.zeros(0, np.int64), n_b
-    ids_a, n_a[some] = _tokens(a, spaced, at)
-    ids_b, n_b[some] = _tokens(b, spaced, at)
+    raw, pieces = spaced.tobytes(), None if a.whole and b.whole else _distinct(spaced, at, _segments(spaced, at))
+    whole = _distinct(spaced, at, at[:-1]) if a.whole or b.whole else None
+    ids_a, n_a[some] = _tokens(a, whole if a.whole else pieces, spaced, raw, at)
+    ids_b, n_b[some] = _tokens(b, whole if b.whole else pieces, spaced, raw, at)
     both = (n_a > 0) & (n_b > 0)
     return ids_a[np.repeat(both, n_a)], n_a * both, ids_b[np.repeat(both, n_b)], n_b * both
 
@@ -213,20 +258,22 @@ def written(ids: tuple[np.ndarray, np.ndarray], of: tuple[np.ndarray, np.ndarray
     return pa.LargeStringArray.from_buffers(n_docs, pa.py_buffer(offsets.tobytes()), pa.py_buffer(rows[rows > 0].tobytes())).cast(pa.string())
 
 
-def _read(column: pa.ChunkedArray | pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Ids of all rows of a binary column, and the number of each."""
+def _read(column: pa.ChunkedArray | pa.Array, wide: int) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of all rows of a binary column, ``wide`` bytes each, and the number of each row."""
     column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
     offsets = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1].astype(np.int64) if len(column) else np.zeros(1, np.int64)
     data = column.buffers()[2]
     flat = np.frombuffer(data, np.uint8)[offsets[0] : offsets[-1]] if data is not None else np.zeros(0, np.uint8)
-    wide = flat.reshape(-1, 3).astype(np.int64)
-    return wide[:, 0] | wide[:, 1] << 8 | wide[:, 2] << 16, np.diff(offsets) // 3
+    return np.frombuffer(flat.tobytes(), f"<u{wide}").astype(np.int64), np.diff(offsets) // wide
+
+
+def _binary(ids: np.ndarray, n: np.ndarray, wide: int) -> pa.Array:
+    offsets = np.concatenate([[0], np.cumsum(wide * n)]).astype(np.int32)
+    return pa.BinaryArray.from_buffers(pa.binary(), len(n), [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(ids.astype(f"<u{wide}").tobytes())])
 
 
-def _binary(ids: np.ndarray, n: np.ndarray) -> pa.Array:
-    """Three bytes an id."""
-    flat = np.stack([ids & 255, ids >> 8 & 255, ids >> 16], axis=1).astype(np.uint8)
-    return pa.BinaryArray.from_buffers(pa.binary(), len(n), [None, pa.py_buffer(np.concatenate([[0], np.cumsum(3 * n)]).astype(np.int32).tobytes()), pa.py_buffer(flat.tobytes())])
+def _wide(c: Codec) -> int:
+    return 2 if len(c.size) <= 1 << 16 else 4
 
 
 def _file(path: str) -> bytes:
@@ -234,7 +281,7 @@ def _file(path: str) -> bytes:
         return f.read()
 
 
-def alignments(docs: DataFrame, a: str = BYTE_BPE, b: str = PIECE_BPE, chunk_bytes: int = 4 << 20) -> DataFrame:
+def alignments(docs: DataFrame, a: str = BYTE_BPE, b: str = PIECE_BPE, chunk_bytes: int = 2 << 20) -> DataFrame:
     """doc_id, n_a, n_b, n_groups, n_links, n_best, count_sum and groups (text, see :func:`written`) of every document.
 
     ``n_best`` counts links whose pair is held by as many documents as any pair of the same id of ``a``; ``count_sum`` adds up
@@ -257,13 +304,13 @@ def alignments(docs: DataFrame, a: str = BYTE_BPE, b: str = PIECE_BPE, chunk_byt
                     chunk, filled = chunk + 1, 0
                 filled += size
                 ids_a, n_a, ids_b, n_b = encode(one, two, batch.column(1).slice(i, j - i))
-                yield pa.record_batch([batch.column(0).slice(i, j - i), pa.array(np.full(j - i, chunk)), _binary(ids_a, n_a), _binary(ids_b, n_b)], ["doc_id", "chunk", "a", "b"])
+                yield pa.record_batch([batch.column(0).slice(i, j - i), pa.array(np.full(j - i, chunk)), _binary(ids_a, n_a, _wide(one)), _binary(ids_b, n_b, _wide(two))], ["doc_id", "chunk", "a", "b"])
 
-    kept = saved(docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(tokens, f"doc_id {kind}, chunk long, a binary, b binary"), "tokens")
+    kept = saved(docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(tokens, f"doc_id {kind}, chunk long, a binary, b binary"), "tokens", "zstd")
 
     def ends(batch: pa.Table | pa.RecordBatch) -> tuple[np.ndarray, ...]:
         one, two = codec(ByteLevel, file_a), codec(Pieces, file_b)
-        (ids_a, n_a), (ids_b, n_b) = _read(batch.column("a")), _read(batch.column("b"))
+        (ids_a, n_a), (ids_b, n_b) = _read(batch.column("a"), _wide(one)), _read(batch.column("b"), _wide(two))
         return ids_a, n_a, ids_b, n_b, np.cumsum(one.size[ids_a]), np.cumsum(two.size[ids_b]), one.size[ids_a]
 
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -281,7 +328,7 @@ def alignments(docs: DataFrame, a: str = BYTE_BPE, b: str = PIECE_BPE, chunk_byt
                 code, n = np.unique(code[first], return_counts=True)
                 yield pa.record_batch([pa.array(np.full(len(code), chunk)), pa.array(code), pa.array(n.astype(np.int64))], ["chunk", "code", "n"])
 
-    held = saved(kept.select("chunk", "a", "b").mapInArrow(pieces, "chunk long, code long, n long"), "pairs")
+    held = saved(kept.select("chunk", "a", "b").mapInArrow(pieces, "chunk long, code long, n long"), "pairs", "zstd")
     counts = held.groupBy("code").agg(F.sum("n").alias("count"))
     best = F.max("count").over(Window.partitionBy(F.shiftright("code", BITS)))  # at most as many rows as ``b`` has ids
     counted = held.select("chunk", "code").join(counts.withColumn("best", F.col("count") == best), "code")

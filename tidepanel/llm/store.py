@@ -41,10 +41,10 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def saved(df: DataFrame, name: str) -> DataFrame:
+def saved(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
     """As :func:`cut`, but as compressed Parquet, for wide tables that are read column by column."""
     path = f"{shared_dir(df.sparkSession).rstrip('/')}/tidepanel/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.parquet(path, compression=compression)
     table = df.sparkSession.read.schema(df.schema).parquet(path)
     table.path = path
     return table
