@@ -63,3 +63,19 @@ def reduce_columns(df: DataFrame, columns: Sequence[str], cutoff: float = 0.95,
     gone = {r[0] for r in explained(profile.correlations(df, columns), cutoff).collect()} - set(targets)  # at most a row per column
     gone = [c for c in columns if c in gone]
     return df.drop(*gone), gone
+
+
+def kinds(df: DataFrame) -> DataFrame:
+    """(column, kind, n) by what columns hold: 'empty', 'constant', 'number', 'date' (ISO) or 'text', and the number of values; one aggregate.
+
+    A column is of numbers, or dates, if all its values read as such.
+    """
+    names, figures = df.columns, []
+    for i, c in enumerate(names):
+        x = F.trim(F.col(f"`{c}`").cast("string"))
+        found = F.count(x).alias("n"), F.count(x.try_cast("double")).alias("numbers"), F.count(x.try_cast("date")).alias("dates"), F.min(x).alias("least"), F.max(x).alias("most")
+        figures.append(F.struct(*found).alias(f"c{i}"))
+    rows = F.array(*(F.struct(F.lit(c).alias("column"), F.col(f"c{i}").alias("f")) for i, c in enumerate(names)))
+    all_ = df.agg(*figures).select(F.explode(rows).alias("r")).select("r.column", "r.f.*")
+    kind = F.when(F.col("n") == 0, "empty").when(F.col("least") == F.col("most"), "constant").when(F.col("numbers") == F.col("n"), "number").when(F.col("dates") == F.col("n"), "date").otherwise("text")
+    return all_.select("column", kind.alias("kind"), "n")

@@ -28,9 +28,13 @@ def signs(df: DataFrame, excess: str = "Excess_5d_fwd") -> DataFrame:
 
 
 def equity_curve(df: DataFrame, value: str = "r", key: str = "Ticker") -> DataFrame:
-    """With ``equity``, the compounded product of returns so far (NULL counts as 0), and ``drawdown`` from its peak."""
+    """With ``equity``, the compounded product of returns so far (NULL counts as 0), and ``drawdown`` from its peak.
+
+    A return of -1 or less loses all: equity is 0 from then on.
+    """
     w = by_ticker(key).rowsBetween(Window.unboundedPreceding, 0)
-    out = df.withColumn("equity", F.exp(F.sum(ln(1 + F.coalesce(F.col(value), F.lit(0.0)))).over(w)))
+    grown = 1 + F.coalesce(F.col(value), F.lit(0.0))
+    out = df.withColumn("equity", F.when(F.min(grown).over(w) <= 0, 0.0).otherwise(F.exp(F.sum(ln(grown)).over(w))))
     return out.withColumn("drawdown", ratio(F.col("equity"), F.max("equity").over(w)) - 1)
 
 

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidepanel.functions import columns as C
-from tidepanel.operators import clean, evaluation, joins, profile, reshape, rows, scale, split, windows
+from tidepanel.operators import backtest, clean, evaluation, joins, order, profile, regimes, reshape, rows, scale, signal, split, windows
 from tidepanel.operators.windows import by_ticker
 from tidepanel.plans import features, workflow
 from tidepanel.sources import readers, writers
@@ -596,27 +596,30 @@ def _(s: SparkSession, d: str) -> DataFrame:
     return numbers(s, d).select("d", "k", C.text_number(F.when(F.col("r").isNotNull(), F.col("vol") / 4), 3).alias("quarter"))
 
 
-@register("column_kinds", "SELECT * FROM (VALUES ('l_quantity', true, true, true), ('l_tax', true, true, false), ('l_orderkey', false, true, true), ('l_comment', false, false, true)) AS t(\"column\", feature, number, kept)")
+KIND_COLUMNS = ("l_quantity", "l_tax", "l_orderkey", "l_shipdate", "l_returnflag")
+
+
+@register("column_kinds", "WITH t AS (" + " UNION ALL ".join(f"SELECT '{c}' AS \"column\", {f}::BOOLEAN AS feature, {n}::BOOLEAN AS number, {k}::BOOLEAN AS kept, cast({c} AS varchar) AS v FROM lineitem" for c, f, n, k in (("l_quantity", 1, 1, 1), ("l_tax", 1, 1, 0), ("l_orderkey", 0, 1, 1), ("l_shipdate", 0, 0, 1), ("l_returnflag", 0, 0, 1))) + ") SELECT \"column\", any_value(feature) AS feature, any_value(number) AS number, any_value(kept) AS kept, count(v) AS n, CASE WHEN count(v) = 0 THEN 'empty' WHEN min(v) = max(v) THEN 'constant' WHEN count(try_cast(v AS double)) = count(v) THEN 'number' WHEN count(try_cast(v AS timestamp)) = count(v) THEN 'date' ELSE 'text' END AS kind FROM t GROUP BY \"column\"")
 def _(s: SparkSession, d: str) -> DataFrame:
-    items = table(s, d, "lineitem").withColumn("l_comment", F.lit("")).select("l_quantity", "l_tax", "l_orderkey", "l_comment")
+    items = table(s, d, "lineitem").select(*KIND_COLUMNS)
     found, whole, kept = clean.feature_columns(items, ids=("l_orderkey",)), clean.numeric_columns(items), rows.not_matching(items.columns, ["tax$", ""])
-    return s.createDataFrame([(c, c in found, c in whole, c in kept) for c in items.columns], "column string, feature boolean, number boolean, kept boolean")
+    c = F.col("column")
+    return clean.kinds(items).select("column", c.isin(found).alias("feature"), c.isin(whole).alias("number"), c.isin(kept).alias("kept"), "n", "kind")
 
 
-def placed(df: DataFrame) -> DataFrame:
-    """Each row of a sorted panel with its place in it; a window over the whole table, for a check of order only."""
-    names = [F.col("Ticker").alias("k"), F.col("Date").alias("d")]
-    return df.select(*names, F.monotonically_increasing_id().alias("at")).select("k", "d", F.row_number().over(Window.orderBy("at")).cast("long").alias("place"))
+def placed(df: DataFrame, *by: str) -> DataFrame:
+    """Each row of the panel with its place in the order."""
+    return order.positions(df.select("Ticker", "Date"), by).select(F.col("Ticker").alias("k"), F.col("Date").alias("d"), (F.col("position") + 1).alias("place"))
 
 
 @register("sort_ticker_date", f"WITH {PANEL} SELECT k, d, row_number() OVER (ORDER BY k, d) AS place FROM panel")
 def _(s: SparkSession, d: str) -> DataFrame:
-    return placed(rows.sorted_panel(panel(s, d)))
+    return placed(panel(s, d), "Ticker", "Date")
 
 
 @register("sort_date_ticker", f"WITH {PANEL} SELECT k, d, row_number() OVER (ORDER BY d, k) AS place FROM panel")
 def _(s: SparkSession, d: str) -> DataFrame:
-    return placed(rows.sorted_panel(panel(s, d), "Date", "Ticker"))
+    return placed(panel(s, d), "Date", "Ticker")
 
 
 @register("first_dates_sorted", f"WITH {VALID} SELECT k, first_day FROM span ORDER BY first_day, k")
@@ -920,3 +923,170 @@ def _(s: SparkSession, d: str) -> DataFrame:
     p = features_panel(s, d)
     names = rows.not_matching([c for c in FEATURES if c not in reshape.missing_columns(p, FEATURES)], ("^ma", "20$", ""))
     return dk(p, **{c: r6(c) if c == "r" else F.col(c) for c in names})
+
+
+# A signal per split, the strategy that follows it, and sub-periods
+
+RIDGE, ENTER, LEAVE, COST = 2.0, 0.51, 0.495, 0.001
+
+
+def returns_beside(s: SparkSession, d: str) -> DataFrame:
+    """(Date, Ticker, Price, r, br, ma20, sd20): the panel's returns beside the benchmark's."""
+    own = returns(s, d).select("Date", "Ticker", "Price", F.col("Return_raw").alias("r"), F.col("Return_MA20").alias("ma20"), F.col("Return_STD20").alias("sd20"))
+    return joins.on_date(own, features.benchmark_returns(benchmark(s, d), "bpx").select("Date", F.col("Bench_Return_raw").alias("br")))
+
+
+def labelled(s: SparkSession, d: str) -> DataFrame:
+    """Rows of all splits, features scaled by split and ticker, with the label."""
+    df = returns_beside(s, d).withColumn("label", signal.next_sign(F.col("r"), F.col("br"))).select("Date", "Ticker", "ma20", "sd20", "label")
+    a = split.assign(df, splits(panel(s, d)))
+    return scale.transform(a, scale.fit(a, ("ma20", "sd20")), ("ma20", "sd20"))
+
+
+_Z = ", ".join(f"CASE WHEN s_{c} = 0 AND {c} IS NOT NULL THEN 0 ELSE ({c} - m_{c}) / nullif(s_{c}, 0) END AS {z}" for c, z in (("ma20", "z1"), ("sd20", "z2")))
+LOGIT = splits_sql("rolling") + FIT + f""", {BENCH}, bb AS (SELECT d, bpx / nullif(lag(bpx) OVER (ORDER BY d), 0) - 1 AS br FROM bench),
+  rb AS (SELECT feat.d, feat.k, r, br FROM feat LEFT JOIN bb ON feat.d = bb.d),
+  lab AS (SELECT d, k, r, br, lead(r - br) {W} AS e1 FROM rb),
+  t AS MATERIALIZED (SELECT a.split_id, part, a.d, a.k, {_Z}, CASE WHEN e1 IS NOT NULL THEN CASE WHEN e1 > 0 THEN 1 ELSE 0 END END AS y
+    FROM a LEFT JOIN fit ON a.split_id = fit.split_id AND a.k = fit.k JOIN lab ON a.d = lab.d AND a.k = lab.k),
+  tr AS MATERIALIZED (SELECT * FROM t WHERE part = 'train' AND y IS NOT NULL AND z1 IS NOT NULL AND z2 IS NOT NULL),
+  it AS (SELECT 0 AS step, split_id, 0::DOUBLE AS b, 0::DOUBLE AS w1, 0::DOUBLE AS w2 FROM s
+    UNION ALL SELECT step + 1, split_id,
+      b - (g0 * (h11 * h22 - h12 * h12) - h01 * (g1 * h22 - h12 * g2) + h02 * (g1 * h12 - h11 * g2)) / det,
+      w1 - (h00 * (g1 * h22 - h12 * g2) - g0 * (h01 * h22 - h12 * h02) + h02 * (h01 * g2 - g1 * h02)) / det,
+      w2 - (h00 * (h11 * g2 - g1 * h12) - h01 * (h01 * g2 - g1 * h02) + g0 * (h01 * h12 - h11 * h02)) / det
+    FROM (SELECT *, h00 * (h11 * h22 - h12 * h12) - h01 * (h01 * h22 - h12 * h02) + h02 * (h01 * h12 - h11 * h02) AS det FROM (
+      SELECT step, split_id, b, w1, w2, sum(p - y) AS g0, sum((p - y) * z1) + {RIDGE} * w1 AS g1, sum((p - y) * z2) + {RIDGE} * w2 AS g2,
+        sum(q) AS h00, sum(q * z1) AS h01, sum(q * z2) AS h02, sum(q * z1 * z1) + {RIDGE} AS h11, sum(q * z1 * z2) AS h12, sum(q * z2 * z2) + {RIDGE} AS h22
+      FROM (SELECT *, p * (1 - p) AS q FROM (SELECT step, it.split_id, b, w1, w2, z1, z2, y, 1 / (1 + exp(-(b + w1 * z1 + w2 * z2))) AS p FROM it JOIN tr ON it.split_id = tr.split_id WHERE step < 8))
+      GROUP BY step, split_id, b, w1, w2))),
+  model AS (SELECT * FROM it WHERE step = 8), n AS (SELECT split_id, count(*) AS n_train FROM tr GROUP BY split_id),
+  said AS MATERIALIZED (SELECT t.split_id, d, k, 1 / (1 + exp(-(b + w1 * z1 + w2 * z2))) AS p FROM t JOIN model ON t.split_id = model.split_id WHERE part = 'test')"""
+
+
+def said(s: SparkSession, d: str) -> DataFrame:
+    rows_ = labelled(s, d)
+    return signal.forecasts(rows_, signal.fit(rows_, ("ma20", "sd20"), ridge=RIDGE), ("ma20", "sd20"))
+
+
+@register("logit_models", f"WITH RECURSIVE {LOGIT} SELECT split_id, n_train, round(b, 6) AS intercept, round(w1, 6) AS w_ma20, round(w2, 6) AS w_sd20 FROM model JOIN n USING (split_id)")
+def _(s: SparkSession, d: str) -> DataFrame:
+    m = signal.fit(labelled(s, d), ("ma20", "sd20"), ridge=RIDGE)
+    return m.select("split_id", "n_train", r6("intercept").alias("intercept"), r6(F.col("weights")[0]).alias("w_ma20"), r6(F.col("weights")[1]).alias("w_sd20"))
+
+
+@register("logit_forecasts", f"WITH RECURSIVE {LOGIT} SELECT split_id, d, k, round(p, 6) AS p FROM said")
+def _(s: SparkSession, d: str) -> DataFrame:
+    return said(s, d).select("split_id", F.col("Date").alias("d"), F.col("Ticker").alias("k"), r6("p").alias("p"))
+
+
+def traded(s: SparkSession, d: str) -> DataFrame:
+    """The strategy on every row of the panel; months before the first split have no forecast."""
+    p = said(s, d).select("Date", "Ticker", "p")
+    return backtest.strategy(returns_beside(s, d).join(p, ["Date", "Ticker"], "left"), enter=ENTER, leave=LEAVE, cost=COST)
+
+
+TRADED = LOGIT + f""", f AS (SELECT rb.*, p FROM rb LEFT JOIN said ON rb.d = said.d AND rb.k = said.k),
+  po AS (SELECT *, coalesce(last_value(CASE WHEN p >= {ENTER} THEN 1.0 WHEN p <= {LEAVE} THEN 0.0 END IGNORE NULLS) OVER (PARTITION BY k ORDER BY d ROWS UNBOUNDED PRECEDING), 0) AS position,
+    CASE WHEN count(r + br) OVER (PARTITION BY k ORDER BY d ROWS UNBOUNDED PRECEDING) >= 20 THEN covar_pop(r, br) OVER (PARTITION BY k ORDER BY d ROWS UNBOUNDED PRECEDING) / nullif(var_pop(CASE WHEN r IS NOT NULL THEN br END) OVER (PARTITION BY k ORDER BY d ROWS UNBOUNDED PRECEDING), 0) END AS beta FROM f),
+  tg AS (SELECT *, coalesce(lag(position) {W}, 0) AS held, coalesce(lag(beta) {W}, 0) AS hedge FROM po),
+  tn AS (SELECT d, k, held, position, beta, held * (coalesce(r, 0) - hedge * coalesce(br, 0)) AS gross, abs(position - held) * (1 + abs(coalesce(beta, 0))) * {COST} AS cost FROM tg),
+  net AS (SELECT *, gross - cost AS net FROM tn)"""
+NET_CURVE = """, ne AS (SELECT *, CASE WHEN min(1 + net) OVER (PARTITION BY k ORDER BY d ROWS UNBOUNDED PRECEDING) <= 0 THEN 0 ELSE exp(sum(CASE WHEN 1 + net > 0 THEN ln(1 + net) END) OVER (PARTITION BY k ORDER BY d ROWS UNBOUNDED PRECEDING)) END AS equity FROM net),
+  nc AS (SELECT *, equity / max(equity) OVER (PARTITION BY k ORDER BY d ROWS UNBOUNDED PRECEDING) - 1 AS drawdown FROM ne)"""
+
+
+@register("strategy_rows", f"WITH RECURSIVE {TRADED} SELECT d, k, position, round(beta, 5) AS beta, round(gross, 6) AS gross, round(cost, 6) AS cost FROM net")
+def _(s: SparkSession, d: str) -> DataFrame:
+    return dk(traded(s, d), position=F.col("position"), beta=r6("beta", 5), gross=r6("gross"), cost=r6("cost"))
+
+
+@register("strategy_results", f"WITH RECURSIVE {TRADED}{NET_CURVE} SELECT k, round(pow(arg_max(equity, d), 52.0 / count(*)) - 1, 6) AS cagr, round(avg(net) / nullif(stddev_samp(net), 0) * sqrt(52), 5) AS sharpe, round(min(drawdown), 6) AS max_drawdown, cast(sum(abs(position - held)) AS double) AS turnover, round(avg(position), 6) AS share_held FROM nc GROUP BY k")
+def _(s: SparkSession, d: str) -> DataFrame:
+    out = backtest.results(traded(s, d), per_year=52.0)
+    return out.select(F.col("Ticker").alias("k"), r6("cagr").alias("cagr"), r6("sharpe", 5).alias("sharpe"), r6("max_drawdown").alias("max_drawdown"), "turnover", r6("share_held").alias("share_held"))
+
+
+@register("portfolio_curve", f"WITH RECURSIVE {TRADED}, pf AS (SELECT d, avg(net) AS r, cast(sum(position) AS bigint) AS n_held FROM net GROUP BY d), pe AS (SELECT *, CASE WHEN min(1 + r) OVER (ORDER BY d ROWS UNBOUNDED PRECEDING) <= 0 THEN 0 ELSE exp(sum(CASE WHEN 1 + r > 0 THEN ln(1 + r) END) OVER (ORDER BY d ROWS UNBOUNDED PRECEDING)) END AS equity FROM pf) SELECT d, n_held, round(CASE WHEN equity > 0 THEN ln(equity) END, 6) AS log_equity, round(equity / max(equity) OVER (ORDER BY d ROWS UNBOUNDED PRECEDING) - 1, 5) AS drawdown FROM pe")
+def _(s: SparkSession, d: str) -> DataFrame:
+    whole = backtest.portfolio(traded(s, d)).withColumn("Ticker", F.lit("all"))
+    return evaluation.equity_curve(whole).select(F.col("Date").alias("d"), "n_held", r6(C.ln(F.col("equity"))).alias("log_equity"), r6("drawdown", 5).alias("drawdown"))
+
+
+FALL, RISE = 0.15, 0.15
+PERIODS = VALID + f""", o AS MATERIALIZED (SELECT k, d, px, row_number() OVER (PARTITION BY k ORDER BY d) AS n FROM valid),
+  st AS (SELECT k, n, false AS bear, px AS ext, n AS ext_n, NULL::BIGINT AS begins FROM o WHERE n = 1
+    UNION ALL SELECT o.k, o.n, CASE WHEN turned THEN NOT bear ELSE bear END, CASE WHEN turned OR further THEN px ELSE ext END,
+      CASE WHEN turned OR further THEN o.n ELSE ext_n END, CASE WHEN turned THEN ext_n + 1 END
+    FROM (SELECT o.k, o.n, px, bear, ext, ext_n, CASE WHEN bear THEN px >= ext * (1 + {RISE}) ELSE px <= ext * (1 - {FALL}) END AS turned,
+      CASE WHEN bear THEN px < ext ELSE px > ext END AS further FROM st JOIN o ON o.k = st.k AND o.n = st.n + 1) AS o),
+  tu AS (SELECT k, begins FROM st WHERE begins IS NOT NULL),
+  pd AS (SELECT o.*, (SELECT count(*) FROM tu WHERE tu.k = o.k AND tu.begins <= o.n) AS period FROM o)"""
+
+
+@register("bull_bear_rows", f"WITH RECURSIVE {PERIODS} SELECT d, k, cast(period AS int) AS period, CASE WHEN period % 2 = 1 THEN 'bear' ELSE 'bull' END AS regime FROM pd")
+def _(s: SparkSession, d: str) -> DataFrame:
+    return dk(regimes.periods(valid(s, d), fall=FALL, rise=RISE), period=F.col("period"), regime=F.col("regime"))
+
+
+@register("bull_bear_periods", f"WITH RECURSIVE {PERIODS}, own AS (SELECT k, period, min(d) AS first_day, max(d) AS last_day, count(*) AS n_rows, arg_min(px, d) AS a, arg_max(px, d) AS b FROM pd GROUP BY 1, 2) SELECT k, cast(period AS int) AS period, first_day, last_day, n_rows, round(b / coalesce(lag(b) OVER (PARTITION BY k ORDER BY period), a) - 1, 6) AS change FROM own")
+def _(s: SparkSession, d: str) -> DataFrame:
+    f = regimes.figures(regimes.periods(valid(s, d), fall=FALL, rise=RISE))
+    return f.select(F.col("Ticker").alias("k"), "period", "first_day", "last_day", "n_rows", r6("change").alias("change"))
+
+
+# Places and ranks in a whole table's order
+
+RANKED = FEAT + ", rk AS (SELECT d, k, " + ", ".join(f"CASE WHEN {c} IS NOT NULL THEN rank() OVER (ORDER BY {c}) + (count(*) OVER (PARTITION BY {c}) - 1) / 2.0 END AS {c}" for c in FEATURES) + " FROM feat)"
+
+
+@register("sort_date", f"WITH {PANEL}, days AS (SELECT d, count(*) AS n FROM panel GROUP BY d) SELECT d, n, cast(sum(n) OVER (ORDER BY d) AS bigint) AS last_place FROM days")
+def _(s: SparkSession, d: str) -> DataFrame:
+    at = order.positions(panel(s, d), ["Date"])
+    return at.groupBy(F.col("Date").alias("d")).agg(F.count("*").alias("n"), (F.max("position") + 1).alias("last_place"))
+
+
+@register("membership_positions", f"WITH {splits_sql('rolling')}, pos AS (SELECT d, k, row_number() OVER (ORDER BY d, k) - 1 AS pl FROM feat) SELECT split_id, part, min(pl) AS first_at, max(pl) AS last_at, cast(sum(pl) AS bigint) AS sum_at, count(*) AS n FROM a JOIN pos ON a.d = pos.d AND a.k = pos.k GROUP BY 1, 2")
+def _(s: SparkSession, d: str) -> DataFrame:
+    at = order.positions(panel(s, d).select("Date", "Ticker"), ["Date", "Ticker"])
+    found = split.assign(at, splits(panel(s, d)))
+    return found.groupBy("split_id", "part").agg(F.min("position").alias("first_at"), F.max("position").alias("last_at"), F.sum("position").alias("sum_at"), F.count("*").alias("n"))
+
+
+@register("rank_corr_pairs", f"WITH {RANKED} " + " UNION ALL ".join(f"SELECT '{a}' AS a, '{b}' AS b, round({corr_sql(a, b)}, 6) AS corr FROM rk" for i, a in enumerate(FEATURES) for b in FEATURES[i + 1 :]))
+def _(s: SparkSession, d: str) -> DataFrame:
+    return order.rank_correlations(features_panel(s, d), FEATURES).select("a", "b", r6("corr").alias("corr"))
+
+
+QUANTILES = 10
+
+
+@register("stability_quantiles", f"WITH {PANEL}, tr AS (SELECT px FROM panel WHERE d < DATE '1999-01-01' AND px IS NOT NULL), so AS (SELECT px, row_number() OVER (ORDER BY px) - 1 AS pl, count(*) OVER () AS total FROM tr), cuts AS (SELECT DISTINCT px FROM so JOIN range(1, {QUANTILES}) AS q(i) ON pl = (total * i) // {QUANTILES}), b AS (SELECT (SELECT count(*) FROM cuts WHERE panel.px >= cuts.px) AS bin, d < DATE '1999-01-01' AS train FROM panel WHERE px IS NOT NULL), n AS (SELECT bin, count(*) FILTER (WHERE train) AS a, count(*) FILTER (WHERE NOT train) AS b FROM b GROUP BY bin), p AS (SELECT greatest(a / cast(sum(a) OVER () AS double), 1e-6) AS a, greatest(b / cast(sum(b) OVER () AS double), 1e-6) AS b FROM n) SELECT round(sum((b - a) * ln(b / a)), 6) AS psi FROM p")
+def _(s: SparkSession, d: str) -> DataFrame:
+    p, day = panel(s, d), F.lit("1999-01-01").cast("date")
+    train = p.where(F.col("Date") < day)
+    return evaluation.stability(train, p.where(F.col("Date") >= day), "Price", order.quantile_bounds(train, "Price", QUANTILES)).select(r6("psi").alias("psi"))
+
+
+# Years ahead of the benchmark, drift by fold, and a report read again
+
+
+@register("years_ahead", f"WITH {VALID}, {BENCH}, y AS (SELECT k, year(d) AS y, arg_max(px, d) / nullif(arg_min(px, d), 0) - 1 AS t FROM valid GROUP BY 1, 2), yb AS (SELECT year(d) AS y, arg_max(bpx, d) / nullif(arg_min(bpx, d), 0) - 1 AS b FROM bench GROUP BY 1) SELECT k, count(*) AS n_years, count(*) FILTER (WHERE t > b) AS n_ahead FROM y JOIN yb ON y.y = yb.y GROUP BY k")
+def _(s: SparkSession, d: str) -> DataFrame:
+    bench = evaluation.yearly_returns(benchmark(s, d).select("Date", F.lit("b").alias("Ticker"), F.col("bpx").alias("Price"))).select("y", F.col("total_return").alias("bench_return"))
+    return evaluation.years_ahead(evaluation.yearly_returns(valid(s, d)), bench).select(F.col("Ticker").alias("k"), "n_years", "n_ahead")
+
+
+@register("drift_by_fold", f"WITH {splits_sql('rolling')}{FIT}, z AS (SELECT a.split_id, part, " + ", ".join(f"CASE WHEN s_{c} = 0 AND {c} IS NOT NULL THEN 0 ELSE ({c} - m_{c}) / nullif(s_{c}, 0) END AS {c}" for c in FEATURES) + " FROM a LEFT JOIN fit ON a.split_id = fit.split_id AND a.k = fit.k) " + " UNION ALL ".join(f"SELECT split_id, '{c}' AS feature, part, round(avg({c}), 5) + 0.0 AS mean, round(stddev_pop({c}), 5) AS std FROM z GROUP BY split_id, part" for c in FEATURES))
+def _(s: SparkSession, d: str) -> DataFrame:
+    a = assigned(s, d)
+    return scale.drift(scale.transform(a, scale.fit(a, FEATURES), FEATURES), FEATURES).select("split_id", "feature", "part", (r6("mean", 5) + 0.0).alias("mean"), r6("std", 5).alias("std"))
+
+
+@register("write_report_shares", f"WITH {PANEL} SELECT k, count(*) AS n, round(round_even(count(*) / cast(sum(count(*)) OVER () AS double), 4), 4) AS share FROM panel GROUP BY k")
+def _(s: SparkSession, d: str) -> DataFrame:
+    path = writers.scratch(s, "report")
+    writers.write_text(s, workflow.bias_report(panel(s, d), ["Price"]), path)
+    cells = F.split("value", r"\s*\|\s*")
+    lines = s.read.text(path).where(F.col("value").rlike(r"^\| Brand#\d+ \| \d+ \| [0-9.]+ \|$"))
+    return lines.select(cells[1].alias("k"), cells[2].cast("long").alias("n"), cells[3].cast("double").alias("share"))
