@@ -10,7 +10,7 @@ Blocks within elements that never hold article text (:data:`NEVER`: scripts, sty
 are cut off from the start. A page may lack end tags, have them crossed or break off anywhere; tags close
 what HTML says they close. Character references are decoded, with or without their semicolon, white space
 within a block becomes one space, and blocks are joined by one space in page order. A null or empty page
-has the text ''. Rows that share an id are pages of their own. Nothing is cut short: work is in proportion
+has the text ''. A tag ends as HTML says: at a ">" outside quoted values, or at the page's end. Rows that share an id are pages of their own. Nothing is cut short: work is in proportion
 to a page's length, and each block has a bounded number of edges.
 """
 
@@ -27,8 +27,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.S)
-ATTRIBUTE = re.compile(r"([a-zA-Z_:][-\w:.]*)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
+# A quote means something only right after "="; elsewhere it is a character of a name or value. A value whose quote nothing closes
+# ends at a blank or ">". Possessive throughout, so nothing is looked at twice.
+VALUE = r"\"[^\"]*+\"|'[^']*+'|[^\s>]*+"
+TOKEN = re.compile(rf"<!--(?:-?>|.*?(?:--!?>|\Z))|<!\[CDATA\[.*?(?:\]\]>|\Z)|</>|<(?:[!?]|/[^a-zA-Z])[^>]*+(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:[\s/]++|[^\s/>][^\s/>=]*+(?:\s*+=\s*+(?:{VALUE}))?+)*+)(?:>|\Z)", re.S)
+ATTRIBUTE = re.compile(r"([^\s/>][^\s/>=]*+)(?:\s*+=\s*+(?:\"([^\"]*+)\"|'([^']*+)'|([^\s>]*+)))?+")
 BLANK = re.compile(r"\s+")
 # Element names of HTML.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -40,13 +43,18 @@ HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 ENDS_P = frozenset("address article aside blockquote details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}, "tbody": {"thead", "tbody", "tr", "td", "th"}, "thead": {"tbody"}, "tfoot": {"tbody", "thead", "tr", "td", "th"}}
 SCOPES = frozenset("table ul ol dl select body html".split())
-NEGATIVE = re.compile(r"(?:^|[\s_-])(?:ad|ads|advert\w*|adsense|banner|sponsor\w*|promo\w*|nav\w*|menu\w*|breadcrumb\w*|header|masthead|topbar|footer|colophon|side|sidebar|rail|widget\w*|comment\w*|disqus|replies|reply|respond|cookie\w*|consent|notice\w*|gdpr|alert|popup|modal|overlay|subscribe|newsletter|signup|login|search\w*|share|sharing|social|related|recommend\w*|trending|popular|tags?|pager|pagination|copyright|legal|disclaimer|toolbar|skip)(?=$|[\s_-])", re.I)
+# Names at the beginning or the end of a word of class or id. Those of _LAYOUT also name what holds a whole page.
+_STRONG = r"ad|ads|advert\w*|adsense|sponsor\w*|promo\w*|breadcrumb\w*|comments?|comment\w*|disqus|replies|reply|respond|cookie\w*|consent|notice\w*|gdpr|popup|modal|overlay|subscribe|newsletter|signup|login|related|recommend\w*|trending|popular|pager|pagination|copyright|legal|disclaimer|skip"
+_LAYOUT = r"banner|nav\w*|menu\w*|header|masthead|topbar|footer|colophon|side|sidebar|rail|widget\w*|toolbar|search\w*|share|sharing|social|alert|tags?"
+_NAMED = r"(?:^|\s)(?:(?:{0})(?=$|[\s_-])|\S*?[_-](?:{0})(?=$|\s))"
+STRONG, LAYOUT = (re.compile(_NAMED.format(x), re.I) for x in (_STRONG, _LAYOUT))
 ASIDE = re.compile(r"(?:^|[\s_-])(?:ad|ads|advert\w*|sponsor\w*|promo\w*|comment\w*|reply|replies|related)(?=$|[\s_])", re.I)
 POSITIVE = re.compile(r"(?:^|[\s_-])(?:article\w*|body|content|entry|main|post|story|text|page)(?=$|[\s_-])", re.I)
 ROLES = frozenset("navigation banner contentinfo complementary search form alert alertdialog dialog menu menubar toolbar".split())
 # Evidence for content, in units of log odds.
-WEIGHTS = {"bias": -0.6, "log_chars": 0.45, "sentences": 0.8, "links": -4.0, "in_article": 2.5, "heading": 0.6, "paragraph": 0.9, "list_item": -0.4, "negative": -7.0, "part": -5.5, "positive": 0.8, "hidden": -7.0, "marks": -1.5}
+WEIGHTS = {"bias": -0.6, "log_chars": 0.45, "sentences": 0.8, "links": -4.0, "in_article": 2.5, "heading": 0.6, "paragraph": 0.9, "list_item": -0.4, "negative": -7.0, "layout": -3.5, "part": -5.5, "positive": 0.8, "hidden": -7.0, "marks": -1.5, "elsewhere": -3.0, "before_title": -1.5}
 NEAR, SAME = 0.6, 0.25
+MOST = 0.6  # an element with this share of the page's text is its frame, whatever its layout is called
 
 
 @dataclass
@@ -56,6 +64,8 @@ class Node:
     depth: int
     never: bool = False
     negative: int = 0
+    layout: int = 0
+    named: int = 0  # of ``layout``, what is this element's own
     positive: bool = False
     part: bool = False
     article: bool = False
@@ -110,12 +120,13 @@ def blocks(page: str) -> tuple[list[Block], list[Node]]:
     def opened(name: str, raw: str) -> None:
         nonlocal in_link
         up = nodes[stack[-1]]
-        n = Node(name, stack[-1], up.depth + 1, up.never or name in NEVER, up.negative, up.positive, up.part, up.article or name == "article" or name == "main", up.hidden)
+        n = Node(name, stack[-1], up.depth + 1, up.never or name in NEVER, up.negative, 0, 0, up.positive, up.part, up.article or name == "article" or name == "main", up.hidden)
         if raw.strip():
             a = _attributes(raw)
             named = f"{a.get('class', '')} {a.get('id', '')}"
             if name not in ("html", "body", "main"):
-                n.negative += bool((ASIDE if name == "article" else NEGATIVE).search(named))
+                n.negative += bool((ASIDE if name == "article" else STRONG).search(named))
+                n.named = int(name != "article" and bool(LAYOUT.search(named)))
                 n.negative += a.get("role", "").lower() in ROLES
             n.positive |= bool(POSITIVE.search(named)) or a.get("itemprop", "") == "articleBody"
             n.article |= a.get("role", "").lower() in ("main", "article") or a.get("itemprop", "") == "articleBody"
@@ -170,17 +181,30 @@ def blocks(page: str) -> tuple[list[Block], list[Node]]:
             if k > last(SCOPES):
                 pop_to(k)
         if name in RAW:
-            end = re.compile(rf"</{name}\s*>?", re.I).search(page, at)
+            end = re.compile(rf"</{name}(?=[\s/>])[^>]*+>?", re.I).search(page, at)
             at = end.end() if end else n
             continue
         opened(name, m[3] or "")
         if m[3] and m[3].rstrip().endswith("/") and nodes[stack[-1]].name in ("svg", "path"):
             pop_to(len(stack) - 1)
     flush()
+    _inherit(out, nodes)
     return out, nodes
 
 
-def evidence(b: Block, node: Node) -> dict[str, float]:
+def _inherit(found: list[Block], nodes: list[Node]) -> None:
+    """Layout names hold for all that is within an element, unless it holds most of the page's text."""
+    held = [0] * len(nodes)
+    for b in found:
+        held[b.node] += 0 if nodes[b.node].never else len(b.text)
+    for k in range(len(nodes) - 1, 0, -1):
+        held[nodes[k].parent] += held[k]
+    for k in range(1, len(nodes)):
+        nodes[k].layout = nodes[nodes[k].parent].layout + (nodes[k].named and held[k] < MOST * held[0])
+
+
+def evidence(b: Block, node: Node, framed: bool = False, before: bool = False) -> dict[str, float]:
+    """``framed``: some element of the page says that it is the article; ``before``: a title is still to come."""
     n = len(b.text)
     return {
         "bias": 1.0,
@@ -192,10 +216,13 @@ def evidence(b: Block, node: Node) -> dict[str, float]:
         "paragraph": float(node.name in ("p", "blockquote", "pre")),
         "list_item": float(node.name in ("li", "td")),
         "negative": float(min(node.negative, 2)),
+        "layout": float(min(node.layout, 2)),
         "part": float(node.part),
         "positive": float(node.positive),
         "hidden": float(node.hidden),
         "marks": float(b.text[0] in "©®" and not node.article),
+        "elsewhere": float(framed and not node.article),
+        "before_title": float(before and not node.article),
     }
 
 
@@ -269,17 +296,19 @@ def labelled(page: str) -> list[tuple[str, bool]]:
     """The page's blocks in order, each with whether it is content."""
     found, nodes = blocks(page)
     found = [b for b in found if not nodes[b.node].never]
+    framed = any(nodes[b.node].article and not nodes[b.node].negative for b in found)
+    title = next((i for i, b in enumerate(found) if nodes[b.node].name == "h1"), 0)
     gains, last = [], defaultdict(lambda: -1)
     edges: list[tuple[int, int, float]] = []
     for i, b in enumerate(found):
         node = nodes[b.node]
-        x = evidence(b, node)
+        x = evidence(b, node, framed, i < title)
         gains.append(sum(WEIGHTS[k] * v for k, v in x.items()))
         group = node.parent if node.parent >= 0 else b.node
         if i:
             before = nodes[found[i - 1].node]
             apart = abs(before.depth - node.depth) + (before.parent != node.parent) * 2
-            alike = before.negative == node.negative and before.part == node.part and before.article == node.article
+            alike = before.negative == node.negative and before.layout == node.layout and before.part == node.part and before.article == node.article
             edges.append((i - 1, i, NEAR * (1.0 if alike else 0.15) / (1 + apart)))
         if last[group] >= 0 and last[group] != i - 1:
             edges.append((last[group], i, SAME))
