@@ -16,10 +16,13 @@ def held_out(doc_id: Column) -> Column:
 
 
 def labelled(docs: DataFrame, labels: DataFrame, label: str, most: int) -> DataFrame:
-    """(doc_id, text, y) of training rows: at most ``most`` labelled ids, those of least hash.
+    """(doc_id, text, y) of training rows: at most ``most``, one for each labelled id, the ids of least hash.
 
-    Held-out ids, null ids and null labels teach nothing. An id labelled twice has its larger label.
+    Held-out ids, null ids and null labels teach nothing. An id labelled twice has its larger label; of an id with several
+    texts the one of least hash teaches, a null text only where there is no other.
     """
     known = labels.where(F.col("doc_id").isNotNull() & F.col(label).isNotNull() & ~held_out(F.col("doc_id")))
     known = known.groupBy("doc_id").agg(F.max(label).cast("int").alias("y")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
-    return docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(known), "doc_id")  # bounded by ``most``
+    rows = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(known), "doc_id")  # bounded by ``most``
+    first = F.min_by("text", F.struct(F.col("text").isNull(), F.xxhash64("text"), F.length("text")))
+    return rows.groupBy("doc_id").agg(first.alias("text"), F.first("y").alias("y"))
