@@ -4,7 +4,7 @@ Sizes are words. Each source's target is its share of all words by weight, but a
 what it has; what that leaves over goes to the others by weight until none is above (:func:`targets`).
 A source is drawn in passes. Its documents fall into ``blocks`` blocks by hash; a whole pass draws every
 block, the last pass draws blocks in permuted order until the quota of words is met, the last block up
-to a document and the last document up to a word. What is drawn is thus a number of (source, pass, block)
+to a document and the last document up to a word; :func:`mixed` and :func:`mix` draw that one whole or not at all. What is drawn is thus a number of (source, pass, block)
 units, the source's exact block quota.
 
 Those quotas go to ``2**depth`` output shards by a splitting tree (:func:`split_quotas`): each node deals
@@ -163,8 +163,8 @@ def mixed(docs: DataFrame, limit: int = 3, blocks: int = 1024, depth: int = 4, s
 
     Rows are partitioned by shard and by the first digits of their place, so that a shard can be of any
     size, and sorted by shard and place in each partition. Where ``docs`` has a column of such a name, the
-    added one's gets one more underscore. A document whose words are drawn in part keeps its text up to the
-    last of them; ``n_chars`` follows.
+    added one's gets one more underscore. Texts are whole: a document of which a pass takes only the first words is drawn
+    if they are at least half of it, so each source stays within half a document of its quota for each such pass.
     """
     names = docs.columns
     sources, dealt = _quotas(cut(_keyed(docs.select("doc_id", "source", "text"), blocks, seed).drop("text")), limit, depth, seed)
@@ -172,10 +172,7 @@ def mixed(docs: DataFrame, limit: int = 3, blocks: int = 1024, depth: int = 4, s
     whole = _drawn(placed.where("units is not null and not partial"), F.lit(0).cast("long"), seed)
     whole = whole.withColumn("_drawn", F.expr("transform(_drawn, x -> named_struct('pass', x.pass, 'shard', x.shard, 'words', _size, 'place', x.place))"))
     kept = whole.unionByName(_drawn(placed.where("units is not null and partial"), _in_block(), seed)).withColumn("_one", F.explode("_drawn"))
-    part = F.array_join(F.slice(F.regexp_extract_all("text", F.lit(r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+"), F.lit(0)), F.lit(1), F.col("_one.words").cast("int")), "")
-    kept = kept.withColumn("text", F.when(F.col("_one.words") < F.col("_size"), part).otherwise(F.col("text")))
-    if "n_chars" in names:
-        kept = kept.withColumn("_c_n_chars", F.length("text").cast(dict(docs.dtypes)["n_chars"]))
+    kept = kept.where(2 * F.col("_one.words") >= F.col("_size"))
     own = [F.col(c if c in ("doc_id", "source", "text") else f"`_c_{c}`").alias(c) for c in names]
     shard, turn, place = (free(c, names) for c in PLACE)
     out = kept.select(*own, F.col("_one.shard").alias(shard), F.col("_one.pass").alias(turn), F.col("_one.place").alias(place))
