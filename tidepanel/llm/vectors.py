@@ -2,8 +2,10 @@
 
 Equal vectors are one class, by its least vec_id, so copies are never compared. In each of ``tables``
 tables a class falls into the bucket of the signs of its products with ``bits`` random planes. A pair at
-the threshold shares a given bucket with probability ``(1 - acos(threshold) / pi) ** bits``, so that with
-the defaults more than 99.6% of such pairs meet in some table, and nearer pairs more often. Vectors in a
+the threshold shares a given bucket with probability ``(1 - acos(threshold) / pi) ** bits``; there are as many
+tables as let more than 99.6% of such pairs meet in some table, and nearer pairs more often. The number of
+bits follows that of classes (:func:`sized`), so that a bucket of unlike vectors holds about as many whatever the
+table's size, and the pairs compared grow little faster than the table. Vectors in a
 bucket are compared by exact cosine in double precision; a pair counts in the first table in which it
 meets. Buckets of more than ``block`` classes are cut into blocks, and each pair of blocks is a task's unit
 of work: memory is bounded and no bucket is cut short. No list of pairs is made: units give each class's
@@ -18,6 +20,7 @@ left alone.
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,6 +32,16 @@ from tidepanel.llm.components import connected_components, forest, groups, repea
 from tidepanel.llm.store import cut, drop, saved
 
 
+HEAVY = 200_000  # buckets of more than a block that are sent whole to all tasks; beyond, they are joined
+
+
+def sized(n: int, threshold: float, block: int, miss: float = 0.0033, least: int = 10) -> tuple[int, int]:
+    """(bits, tables) for ``n`` classes: buckets of unlike vectors hold at most about ``block`` / 4, and a pair at the threshold meets in no table with probability ``miss``."""
+    bits = min(30, max(least, math.ceil(math.log2(max(1, 4 * n / block)))))
+    meets = (1 - math.acos(min(1.0, threshold)) / math.pi) ** bits
+    return bits, max(1, math.ceil(math.log(miss) / math.log1p(-meets))) if meets < 1 else 1
+
+
 def planes(tables: int, bits: int, size: int, seed: int) -> np.ndarray:
     return np.random.default_rng([seed, size]).standard_normal((tables * bits, size))
 
@@ -92,9 +105,9 @@ def links(reps: DataFrame, threshold: float, tables: int, bits: int, seed: int,
     """(id, n, other): parts of each class's number of linked vectors, and edges of a forest of the links."""
     kind = dict(reps.dtypes)["id"]
     rows = bucketed(reps, tables, bits, seed)
-    heavy = rows.groupBy("place", "code", "size").agg(F.count("*").alias("m")).where(F.col("m") > block).withColumn("parts", F.ceil(F.col("m") / block).cast("int")).drop("m")
-    # At most tables * 2**bits rows for each length of vector.
-    cut_up = rows.join(F.broadcast(heavy), ["place", "code", "size"], "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
+    heavy = cut(rows.groupBy("place", "code", "size").agg(F.count("*").alias("m")).where(F.col("m") > block).withColumn("parts", F.ceil(F.col("m") / block).cast("int")).drop("m"))
+    few = heavy.count() <= HEAVY
+    cut_up = rows.join(F.broadcast(heavy) if few else heavy, ["place", "code", "size"], "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
     cut_up = cut_up.withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
     cells = cut_up.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     cells = cells.select("place", "code", "size", F.least("part", "with").alias("low"), F.greatest("part", "with").alias("high"), "part", "id", "copies", "codes", "vector")
@@ -131,10 +144,12 @@ def links(reps: DataFrame, threshold: float, tables: int, bits: int, seed: int,
     return cells.repartition(*key).sortWithinPartitions(*key).mapInArrow(run, f"id {kind}, n long, other {kind}")
 
 
-def near_duplicates(vectors: DataFrame, threshold: float = 0.9, tables: int = 24, bits: int = 10, seed: int = 0, block: int = 512) -> DataFrame:
-    """One row per vector: vec_id, n_links, component_id and kept."""
+def near_duplicates(vectors: DataFrame, threshold: float = 0.9, tables: int | None = None, bits: int | None = None, seed: int = 0, block: int = 512) -> DataFrame:
+    """One row per vector: vec_id, n_links, component_id and kept. ``bits`` and ``tables`` follow from the number of classes where they are not given."""
     rows = saved(classes(vectors), "vectors")
     own = saved(rows.where("key is not null").groupBy("key").agg(F.min("vec_id").alias("id"), F.count("*").alias("copies"), F.first("vector").alias("vector")), "classes")
+    wanted = sized(own.count(), threshold, block) if bits is None else sized(1, threshold, block, least=bits)
+    bits, tables = wanted[0] if bits is None else bits, wanted[1] if tables is None else tables
     found = saved(links(own.select("id", "copies", "vector"), threshold, tables, bits, seed, block), "links")
     counts = found.groupBy("id").agg(F.sum("n").alias("n"))
     twice = repeated(rows.where("key is not null").select(F.col("vec_id").alias("src"), "key"), own.select("key", F.col("id").alias("dst")), ["key"])
