@@ -12,7 +12,7 @@ import pytest
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidepanel.operators import backtest, clean, evaluation, order, regimes, signal
+from tidepanel.operators import backtest, blocked, clean, evaluation, order, regimes, signal, split, windows
 
 DAY = dt.date(2020, 1, 1)
 
@@ -198,3 +198,47 @@ def test_kinds_by_content(spark: SparkSession) -> None:
     got = {r["column"]: (r["kind"], r["n"]) for r in clean.kinds(df).collect()}
     assert got == {"a": ("number", 2), "b": ("number", 3), "c": ("date", 2), "d": ("text", 3), "e": ("empty", 0), "f": ("constant", 3), "g h": ("constant", 3)}
     assert {r["kind"] for r in clean.kinds(df.limit(0)).collect()} == {"empty"}
+
+
+# --- long series in blocks, and splits as a table
+
+
+@pytest.mark.parametrize("size", [7, 40, 5000])
+def test_blocks_give_what_whole_series_give(spark: SparkSession, size: int) -> None:
+    rng = random.Random(size)
+    rows = [("long" if i % 3 else f"T{i % 7}", day(i), None if rng.random() < 0.3 else rng.gauss(0, 1)) for i in range(900)] + [(None, day(3), 1.0), ("gone", day(1), None)]
+    df = spark.createDataFrame(rows, "Ticker string, Date date, v double").repartition(6)
+    w = windows.by_ticker("Ticker")
+    make = lambda w: {"m": windows.rolling(F.avg, F.col("v"), w, 7, 3), "l": F.lag("v", 2).over(w), "n": F.lead("v", 5).over(w)}
+    key = lambda r: repr(tuple(r))
+    got = blocked.windowed(df, make, size=size, back=7, ahead=5, ranges=9)
+    want = df.withColumns(make(w))
+    close = lambda d: sorted(map(key, d.selectExpr("Ticker", "Date", "v", "round(m, 9) m", "l", "n").collect()))
+    assert close(got) == close(want)
+    assert "SinglePartition" not in got._jdf.queryExecution().executedPlan().toString()
+    full = blocked.filled(df, {"f": "v"}, size=size, ranges=9)
+    assert sorted(map(key, full.collect())) == sorted(map(key, df.withColumn("f", windows.filled(F.col("v"), w)).collect()))
+    with pytest.raises(ValueError):
+        blocked.windowed(df, make, size=6, back=7)
+    assert blocked.windowed(df.limit(0), make, size=size, back=7, ahead=5).count() == blocked.filled(df.limit(0), {"f": "v"}).count() == 0
+
+
+def test_one_series_is_spread_over_tasks(spark: SparkSession) -> None:
+    df = spark.range(20_000).selectExpr("'one' as Ticker", "date_add(DATE'1990-01-01', cast(id as int)) as Date", "cast(id as double) as v")
+    out = blocked.windowed(df, lambda w: {"m": F.avg("v").over(w.rowsBetween(-9, 0))}, size=500, back=9)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # small partitions would be put together
+    parts = out.groupBy(F.spark_partition_id().alias("p")).count().collect()
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert sum(r["count"] for r in parts) == 20_000 and len(parts) > 3
+
+
+def test_splits_as_a_table(spark: SparkSession) -> None:
+    rng = random.Random(3)
+    made = [split.Split(i, day(a), day(a + rng.randrange(0, 90)), day(a + 95), day(a + 95 + rng.randrange(0, 40))) for i, a in enumerate(rng.randrange(0, 700) for _ in range(60))]
+    df = spark.createDataFrame([("T", day(i)) for i in range(0, 900)] + [("U", day(5))] * 3 + [("V", None)], "Ticker string, Date date")
+    got = split.assign_by_table(df, split.table(df, made), width=10)
+    key = lambda d: sorted(map(tuple, d.collect()), key=repr)
+    assert key(got) == key(split.assign(df, [s for s in made]))
+    many = spark.range(10_000).selectExpr("cast(id as int) split_id", "date_add(DATE'2020-01-01', cast(id % 700 as int)) train_start").selectExpr("split_id", "train_start", "date_add(train_start, 60) train_end", "date_add(train_start, 61) test_start", "date_add(train_start, 70) test_end")
+    plan = split.assign_by_table(df, many)
+    assert "NestedLoop" not in plan._jdf.queryExecution().executedPlan().toString() and plan.count() > 400_000

@@ -78,6 +78,20 @@ def assign(df: DataFrame, splits: list[Split]) -> DataFrame:
     return df.withColumn("_s", within).select(*df.columns, F.col("_s.split_id").alias("split_id"), F.col("_s.part").alias("part"))
 
 
+def assign_by_table(df: DataFrame, splits: DataFrame, width: int = 32) -> DataFrame:
+    """As :func:`assign`, with the splits as a table of any size (the columns of SPLIT).
+
+    Parts of splits and rows meet by stretches of ``width`` days, so the join is one of equal keys; each row is
+    looked at only beside the parts that reach into its stretch. Rows without a date, and parts that end before they begin, are in none.
+    """
+    part = lambda p: F.struct(F.lit(p).alias("part"), F.col(f"{p}_start").alias("a"), F.col(f"{p}_end").alias("b"))
+    parts = splits.select(F.col("split_id").alias("_id"), F.explode(F.array(part("train"), part("test"))).alias("_p")).select("_id", "_p.*").where("a < b")
+    at = lambda c: F.floor(F.unix_date(c) / width)
+    binned = parts.withColumn("_bin", F.explode(F.sequence(at(F.col("a")), at(F.date_sub("b", 1))))).withColumnRenamed("part", "_part")
+    met = df.withColumn("_at", at(F.col("Date"))).join(binned, F.col("_at") == F.col("_bin")).where((F.col("Date") >= F.col("a")) & (F.col("Date") < F.col("b")))
+    return met.select(*df.columns, F.col("_id").alias("split_id"), F.col("_part").alias("part"))
+
+
 def with_tests(df: DataFrame, splits: list[Split]) -> list[Split]:
     """The splits that have test rows, numbered anew."""
     there = {r[0] for r in assign(df.select("Date"), splits).where("part = 'test'").select("split_id").distinct().collect()}  # a row per split

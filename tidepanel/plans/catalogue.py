@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidepanel.functions import columns as C
-from tidepanel.operators import backtest, clean, evaluation, joins, order, profile, regimes, reshape, rows, scale, signal, split, windows
+from tidepanel.operators import backtest, blocked, clean, evaluation, joins, order, profile, regimes, reshape, rows, scale, signal, split, windows
 from tidepanel.operators.windows import by_ticker
 from tidepanel.plans import features, workflow
 from tidepanel.sources import readers, writers
@@ -1090,3 +1090,48 @@ def _(s: SparkSession, d: str) -> DataFrame:
     cells = F.split("value", r"\s*\|\s*")
     lines = s.read.text(path).where(F.col("value").rlike(r"^\| Brand#\d+ \| \d+ \| [0-9.]+ \|$"))
     return lines.select(cells[1].alias("k"), cells[2].cast("long").alias("n"), cells[3].cast("double").alias("share"))
+
+
+# Long series in blocks, and splits as a table
+
+
+@register("rolling_in_blocks", f"WITH {FEAT} SELECT d, k, round(ma20, 6) AS ma20, round(sd20, 6) AS sd20, round(vma20, 4) AS vma20, round(fwd, 6) AS fwd FROM feat")
+def _(s: SparkSession, d: str) -> DataFrame:
+    r = windows.growth(F.col("Price"), by_ticker("Ticker"))
+
+    def made(w: object) -> dict[str, Column]:
+        mean = lambda c: windows.rolling(F.avg, F.col(c), w, 20, 10)
+        return {"ma20": mean("r"), "sd20": windows.rolling(F.stddev_pop, F.col("r"), w, 20, 10), "vma20": mean("Volume"), "fwd": windows.forward_growth(F.col("Price"), w)}
+
+    out = blocked.windowed(panel(s, d).withColumn("r", r), made, size=200, back=20, ahead=5)
+    return dk(out, ma20=r6("ma20"), sd20=r6("sd20"), vma20=r6("vma20", 4), fwd=r6("fwd"))
+
+
+@register("long_series_rolling", "SELECT l_orderkey, l_linenumber, count(l_quantity) OVER w AS n, round(avg(l_extendedprice) OVER w, 4) AS mean, round(stddev_pop(l_quantity) OVER w, 6) AS sd FROM lineitem WINDOW w AS (ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey ROWS BETWEEN 50 PRECEDING AND 1 PRECEDING)")
+def _(s: SparkSession, d: str) -> DataFrame:
+    lines = table(s, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice")
+
+    def made(w: object) -> dict[str, Column]:
+        past = w.rowsBetween(-50, -1)
+        return {"n": F.count("l_quantity").over(past), "mean": F.avg("l_extendedprice").over(past), "sd": F.stddev_pop("l_quantity").over(past)}
+
+    out = blocked.windowed(lines, made, keys=(), by=("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"), size=5000, back=50)
+    return out.select("l_orderkey", "l_linenumber", "n", r6("mean", 4).alias("mean"), r6("sd").alias("sd"))
+
+
+@register("ffill_in_blocks", f"WITH {GAPS} SELECT d, k, last_value(px IGNORE NULLS) OVER (PARTITION BY k ORDER BY d ROWS UNBOUNDED PRECEDING) AS px FROM gaps")
+def _(s: SparkSession, d: str) -> DataFrame:
+    return dk(blocked.filled(valid_week(s, d), {"filled": "Price"}, size=100), px=F.col("filled"))
+
+
+WEEKLY = f"WITH {PANEL}, s AS (SELECT cast(row_number() OVER (ORDER BY d) - 1 AS int) AS split_id, d - 364 AS train_start, d - 7 AS train_end, d AS test_start, d + 28 AS test_end FROM (SELECT DISTINCT d FROM panel))"
+
+
+@register("membership_by_table", WEEKLY + " SELECT split_id, part, count(*) AS n_rows, count(DISTINCT k) AS n_tickers, min(d) AS first_day, max(d) AS last_day FROM (SELECT split_id, 'train' AS part, d, k FROM s JOIN panel ON d >= train_start AND d < train_end UNION ALL SELECT split_id, 'test', d, k FROM s JOIN panel ON d >= test_start AND d < test_end) GROUP BY 1, 2")
+def _(s: SparkSession, d: str) -> DataFrame:
+    p = panel(s, d).select("Date", "Ticker")
+    days = order.positions(p.select("Date").distinct(), ["Date"])
+    shifted = lambda n: F.date_add("Date", n)
+    made = days.select(F.col("position").cast("int").alias("split_id"), shifted(-364).alias("train_start"), shifted(-7).alias("train_end"), F.col("Date").alias("test_start"), shifted(28).alias("test_end"))
+    found = split.assign_by_table(p, made).groupBy("split_id", "part")
+    return found.agg(F.count("*").alias("n_rows"), F.countDistinct("Ticker").alias("n_tickers"), F.min("Date").alias("first_day"), F.max("Date").alias("last_day"))
