@@ -166,7 +166,7 @@ def test_bits_follow_the_number_of_vectors() -> None:
 def test_compared_pairs_grow_with_the_table(spark: SparkSession) -> None:
     rng = np.random.default_rng(3)
     pairs = []
-    for n in (500, 2000):
+    for n in (1000, 4000):
         bits, tables = vectors.sized(n, 0.9, 16, least=4)
         rows = spark.createDataFrame([(i, 1, x.tobytes()) for i, x in enumerate(rng.standard_normal((n, 64)))], "id long, copies long, vector binary")
         met = vectors.bucketed(rows, tables, bits, 0).groupBy("place", "code").count()
