@@ -12,7 +12,7 @@ import pytest
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidepanel.operators import backtest, blocked, clean, evaluation, order, regimes, signal, split, windows
+from tidepanel.operators import backtest, blocked, clean, evaluation, order, profile, regimes, signal, split, windows
 
 DAY = dt.date(2020, 1, 1)
 
@@ -185,6 +185,34 @@ def test_rank_correlations_equal_pandas(spark: SparkSession) -> None:
     assert order.ranked(df.limit(0), ["a", "b"], ["Date"]).count() == 0
 
 
+def test_correlations_by_tiles_equal_pandas(spark: SparkSession) -> None:
+    rng = random.Random(3)
+    names = [f"x {i}" if i == 4 else f"x{i}" for i in range(23)]
+    rows = []
+    for _ in range(400):
+        base = rng.gauss(0, 1)
+        rows.append([None if rng.random() < 0.1 else 1e6 * (i % 3) + base * (i % 5) + rng.gauss(0, 1) for i in range(21)] + [7.0, None])
+    df = spark.createDataFrame(rows, ", ".join(f"`{c}` double" for c in names)).repartition(5)
+    want = pd.DataFrame(rows, columns=names, dtype=float).corr()
+    for tile in (1, 4, 23, 512):
+        got = profile.correlations(df, names, tile=tile, tasks=6).collect()
+        assert sorted((r["pos_a"], r["pos_b"]) for r in got) == [(i, j) for i in range(23) for j in range(i + 1, 23)]
+        for r in got:
+            w = want.loc[r["a"], r["b"]]
+            assert (r["a"], r["b"]) == (names[r["pos_a"]], names[r["pos_b"]])
+            assert r["corr"] is None if math.isnan(w) or 21 in (r["pos_a"], r["pos_b"]) else abs(r["corr"] - w) < 1e-9
+    assert all(r["corr"] is None for r in profile.correlations(df.limit(0), names, tile=9).collect())
+    assert profile.correlations(df, [], tile=9).count() == profile.correlations(df, names[:1], tile=9).count() == 0
+
+
+def test_correlations_scan_only_a_pair_of_tiles(spark: SparkSession, tmp_path) -> None:
+    n = 40
+    spark.range(50).select(*(F.rand(i).alias(f"x{i}") for i in range(n))).write.parquet(f"{tmp_path}/wide")
+    plan = profile.correlations(spark.read.parquet(f"{tmp_path}/wide"), [f"x{i}" for i in range(n)], tile=10)._jdf.queryExecution().executedPlan().toString()
+    scans = [line.count(":double") for line in plan.split("ReadSchema: ")[1:]]
+    assert len(scans) == 10 and max(scans) <= 20
+
+
 def test_quantile_bounds_are_exact(spark: SparkSession) -> None:
     values = [float(i % 97) for i in range(1000)] + [5.0] * 600
     df = spark.createDataFrame([(v,) for v in values] + [(None,)], "v double").repartition(5)

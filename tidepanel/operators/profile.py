@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -51,32 +52,75 @@ def target_correlations(df: DataFrame, columns: Sequence[str], target: str) -> D
     return _tall(one, columns, "corr")
 
 
-def correlations(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+def _centres(df: DataFrame, columns: Sequence[str], tile: int) -> np.ndarray:
+    """About each column's mean over its finite values, ``tile`` columns to a scan; 0 without any."""
+
+    def run(batches: Iterator[pa.RecordBatch], at: int) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            x = np.stack([np.asarray(c.to_numpy(zero_copy_only=False), float) for c in b.columns], 1)
+            there = np.isfinite(x)
+            yield pa.record_batch([pa.array(np.arange(at, at + x.shape[1])), pa.array(there.sum(0)), pa.array(np.where(there, x, 0.0).sum(0))], ["pos", "n", "x"])
+
+    parts = [_numbers(df, columns[i : i + tile]).mapInArrow(lambda b, i=i: run(b, i), "pos long, n long, x double") for i in range(0, len(columns), tile)]
+    centre = np.zeros(len(columns))
+    if parts:
+        sums = reduce(DataFrame.unionByName, parts).groupBy("pos").agg((F.sum("x") / F.nullif(F.sum("n"), F.lit(0))).alias("mean")).where("mean is not null")
+        for pos, mean in sums.collect():  # a row per column
+            centre[pos] = mean if np.isfinite(mean) else 0.0
+    return centre
+
+
+def _numbers(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    return df.select(*(F.col(f"`{c}`").cast("double").alias(f"c{i}") for i, c in enumerate(columns)))
+
+
+def correlations(df: DataFrame, columns: Sequence[str], tile: int = 512, tasks: int | None = None) -> DataFrame:
     """(a, b, pos_a, pos_b, corr) for all pairs of columns, a before b, over the rows that have both.
 
     Batches of rows become sums of products by matrix multiplication; those are summed by pair. Columns are
-    centred by their global means first, so large offsets don't cancel. NULL where a side is constant.
-    """
-    columns, n = list(columns), len(columns)
-    means = df.agg(*(F.avg(F.col(f"`{c}`")).alias(f"c{i}") for i, c in enumerate(columns))).first()
-    centre = np.array([x or 0.0 for x in means])
+    centred by about their means first, so large offsets don't cancel. NULL where a side is constant.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((6, n, n))
+    Columns are cut into tiles of at most ``tile``, and each pair of tiles has its own scan of only its columns. A
+    task so holds six tile x tile matrices (13 MB at 512), however many columns there are. Beyond one tile the
+    scans have about ``tasks`` tasks in all (by default four for each core), as each task gives a row for every
+    pair of its tiles; ``df`` is then best a stored table, since it is read once for each pair of tiles.
+    """
+    columns = list(columns)
+    centre = _centres(df, columns, tile)
+    starts = range(0, len(columns), tile)
+
+    def run(batches: Iterator[pa.RecordBatch], i: int, j: int) -> Iterator[pa.RecordBatch]:
+        left = min(tile, len(columns) - i)
+        right = slice(0, left) if i == j else slice(left, None)
+        middle = np.concatenate([centre[i : i + left], *([] if i == j else [centre[j : j + tile]])])
+        total = np.zeros((6, left, left if i == j else len(middle) - left))
         for b in batches:
-            x = np.stack([np.asarray(c.to_numpy(zero_copy_only=False), float) for c in b.columns], 1) - centre
-            there = np.isfinite(x)
-            x, m = np.where(there, x, 0.0), there.astype(float)
-            total += np.stack([m.T @ m, x.T @ m, m.T @ x, (x * x).T @ m, m.T @ (x * x), x.T @ x])
-        a, c = np.triu_indices(n, 1)
-        yield pa.record_batch([pa.array(a, pa.int32()), pa.array(c, pa.int32()), *(pa.array(t[a, c]) for t in total)], ["pos_a", "pos_b", "n", "x", "y", "xx", "yy", "xy"])
-
-    numbers = df.select(*(F.col(f"`{c}`").cast("double").alias(f"c{i}") for i, c in enumerate(columns)))
-    sums = numbers.mapInArrow(run, "pos_a int, pos_b int, n double, x double, y double, xx double, yy double, xy double").groupBy("pos_a", "pos_b").agg(*(F.sum(c).alias(c) for c in ("n", "x", "y", "xx", "yy", "xy")))
+            for at in range(0, b.num_rows, 1024):
+                x = np.stack([np.asarray(c.to_numpy(zero_copy_only=False), float) for c in b.slice(at, 1024).columns], 1) - middle
+                there = np.isfinite(x)
+                x, m = np.where(there, x, 0.0), there.astype(float)
+                xa, ma, xb, mb = x[:, :left].T, m[:, :left].T, x[:, right], m[:, right]
+                for t, part in zip(total, (lambda: ma @ mb, lambda: xa @ mb, lambda: ma @ xb, lambda: (xa * xa) @ mb, lambda: ma @ (xb * xb), lambda: xa @ xb), strict=True):
+                    t += part()
+        for a in range(left):
+            c = np.arange(a + 1 if i == j else 0, total.shape[2])
+            if len(c):
+                yield pa.record_batch([pa.array(np.full(len(c), i + a), pa.int32()), pa.array(c + j, pa.int32()), *(pa.array(t[a, c]) for t in total)], ["pos_a", "pos_b", "n", "x", "y", "xx", "yy", "xy"])
+
+    pairs = [(i, j) for i in starts for j in starts if i <= j]
+    each = max(1, -(-(tasks or 4 * df.sparkSession.sparkContext.defaultParallelism) // max(1, len(pairs))))
+    schema = "pos_a int, pos_b int, n double, x double, y double, xx double, yy double, xy double"
+
+    def scan(i: int, j: int) -> DataFrame:
+        own = _numbers(df, columns[i : i + tile] + ([] if i == j else columns[j : j + tile]))
+        return (own if len(pairs) == 1 else own.coalesce(each)).mapInArrow(lambda b: run(b, i, j), schema)
+
+    parts = [scan(i, j) for i, j in pairs] or [df.sparkSession.createDataFrame([], schema)]
+    sums = reduce(DataFrame.unionByName, parts).groupBy("pos_a", "pos_b").agg(*(F.sum(c).alias(c) for c in ("n", "x", "y", "xx", "yy", "xy")))
     var = lambda s, ss: F.col(ss) - ratio(F.col(s) * F.col(s), F.col("n"))
     apart = lambda s, ss: F.when(var(s, ss) > F.col(ss) * 1e-14, var(s, ss))
     corr = ratio(F.col("xy") - ratio(F.col("x") * F.col("y"), F.col("n")), F.sqrt(apart("x", "xx")) * F.sqrt(apart("y", "yy")))
-    named = F.array(*(F.lit(c) for c in columns))
+    named = F.array(*(F.lit(c) for c in columns)).cast("array<string>")
     return sums.select(named[F.col("pos_a")].alias("a"), named[F.col("pos_b")].alias("b"), "pos_a", "pos_b", corr.alias("corr"))
 
 

@@ -481,6 +481,18 @@ def _(s: SparkSession, d: str) -> DataFrame:
     return profile.matrix(numbers(s, d), COLUMNS).withColumn("corr", r6("corr"))
 
 
+@register("corr_pairs_tiled", ORACLE_SQL["corr_pairs"])
+def _(s: SparkSession, d: str) -> DataFrame:
+    return profile.correlations(numbers(s, d), COLUMNS, tile=3).select("a", "b", r6("corr").alias("corr"))
+
+
+@register("ticker_correlations", f"WITH {RET} SELECT x.k AS a, y.k AS b, round({corr_sql('x.r', 'y.r')}, 6) AS corr FROM ret x JOIN ret y ON x.d = y.d AND x.k < y.k GROUP BY x.k, y.k")
+def _(s: SparkSession, d: str) -> DataFrame:
+    r = returns(s, d).select("Date", "Ticker", "Return_raw", F.lit(0).alias("_seq"))
+    wide = reshape.pivot_first(r, ["Date"], "Ticker", "Return_raw", "_seq")
+    return profile.correlations(wide, [c for c in wide.columns if c != "Date"], tile=10).select("a", "b", r6("corr").alias("corr"))
+
+
 @register("leak_check_topk", f"WITH {NUMBERS}, c AS (" + " UNION ALL ".join(f"SELECT '{a}' AS \"column\", {corr_sql(a, 'fwd')} AS corr FROM num" for a in COLUMNS) + ") SELECT \"column\", round(corr, 6) AS corr FROM c ORDER BY abs(corr) DESC NULLS LAST, \"column\" LIMIT 5")
 def _(s: SparkSession, d: str) -> DataFrame:
     c = profile.target_correlations(numbers(s, d), COLUMNS, "fwd")
