@@ -18,7 +18,7 @@ import pytest
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidepanel.llm import align, chat, periodic
+from tidepanel.llm import align, chat, lattice, periodic
 from tidepanel.llm.queries import ORACLE_SQL, QUERIES
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
@@ -290,3 +290,26 @@ def test_groups_of_a_long_chain() -> None:
     end_a, end_b = np.arange(2, 2 * n + 1, 2), np.append(np.arange(1, 2 * n, 2), 2 * n)
     of_a, of_b, last = align.groups(end_a, end_b)
     assert set(of_a) == set(of_b) == {0} and last.tolist() == [n]
+
+
+def test_long_words_go_in_stretches_with_the_same_sums(monkeypatch: pytest.MonkeyPatch) -> None:
+    model = lattice.Lattice.load()
+    rng = random.Random(4)
+    words = ["".join(rng.choice(("the", "ing", "x", "é", "9", "ω", "\U0001f600", "ab")) for _ in range(n)) for n in (1, 3, 40, 90, 200)]
+    words += ["a", "", "b" * 70]
+    want, uses = model.forward(words), model.expected(words, np.arange(1.0, 9.0))
+    for stretch in (1, 7, 64, 65536):
+        monkeypatch.setattr(lattice, "LONG", 2)
+        monkeypatch.setattr(lattice, "STRETCH", stretch)
+        assert np.allclose(model.forward(words), want, rtol=1e-12)
+        assert np.allclose(model.expected(words, np.arange(1.0, 9.0)), uses, rtol=1e-9, atol=1e-12)
+
+
+def test_a_very_long_word_takes_bounded_tables() -> None:
+    model, seen = lattice.Lattice.load(), []
+    plain = model._tables
+    model._tables = lambda marked: seen.append(sum(map(len, marked))) or plain(marked)
+    long = "QWxhZGRpbjpvcGVuIHNlc2FtZQ" * 6000
+    p = model.forward(["a", long, "b"])
+    assert np.isfinite(p).all() and p[1] < -100_000 and max(seen) <= lattice.STRETCH + model.longest
+    assert model.forward([long[: len(long) // 2]])[0] == pytest.approx(p[1] / 2, rel=1e-3)

@@ -18,7 +18,8 @@ dealt by hash into chunks of about ``chunk_bytes`` of text; each chunk gets a di
 with their counts and scores, by a join of the distinct (chunk, word), far fewer than (document, word).
 
 Null texts count as empty: one end. Repeated rows are scored each. An empty table gives an empty result;
-without training texts pieces keep their first probabilities. Long texts and words are scored whole.
+without training texts pieces keep their first probabilities. Long texts and words are scored whole; words
+of over ``LONG`` characters go in stretches, with the sums of their last few places carried over.
 """
 
 from __future__ import annotations
@@ -38,6 +39,7 @@ from tidepanel.llm.store import saved
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = 0x2581  # begins a word's first piece
 BITS = 22
+LONG, STRETCH = 1000, 65536  # characters
 
 
 def _codes(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -106,9 +108,9 @@ class Lattice:
     def __reduce__(self) -> tuple:
         return Lattice, (self.known, self.ids, self.bytes_, self.log_p, self.longest)
 
-    def arcs(self, words: list[str]) -> tuple[np.ndarray, list[tuple[np.ndarray, np.ndarray]], np.ndarray, list[tuple[int, bytes]]]:
-        """Offsets of the marked words; for each length the ends and ids of the pieces found; ends that bytes spell."""
-        codes, offsets = _codes([chr(MARK) + w for w in words])
+    def arcs(self, marked: list[str]) -> tuple[np.ndarray, list[tuple[np.ndarray, np.ndarray]], np.ndarray, list[tuple[int, bytes]]]:
+        """Offsets of the words, which have their mark; for each length the ends and ids of the pieces found; ends that bytes spell."""
+        codes, offsets = _codes(marked)
         sums, down = _hashes(codes)
         place = np.arange(len(codes)) - np.repeat(offsets[:-1], np.diff(offsets))
         sieve, low = self.sieve, T.U64((1 << BITS) - 1)
@@ -128,9 +130,9 @@ class Lattice:
         spelt = np.flatnonzero(~single)
         return offsets, out, spelt, [(int(e), chr(codes[e]).encode("utf-8", "surrogatepass")) for e in spelt]
 
-    def _tables(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[tuple[int, bytes]]]:
+    def _tables(self, marked: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[tuple[int, bytes]]]:
         """Offsets, log weights and ids of arcs by (length, end); weight -inf is no arc."""
-        offsets, arcs, _, spelt = self.arcs(words)
+        offsets, arcs, _, spelt = self.arcs(marked)
         weight, ids = np.full((len(arcs) or 1, offsets[-1]), -np.inf), np.full((len(arcs) or 1, offsets[-1]), -1)
         for n, (end, piece) in enumerate(arcs):
             weight[n, end] = self.log_p[piece]
@@ -156,15 +158,70 @@ class Lattice:
             alpha[at] = top + np.log(np.exp(part - np.where(np.isfinite(top), top, 0.0)).sum(0))
         return alpha
 
+    def _stretch(self, text: str, start: int) -> tuple[np.ndarray, np.ndarray, list[tuple[int, bytes]]]:
+        """Log weights and ids of arcs by (length, end), of the ends from ``start`` on, one stretch; what bytes spell."""
+        first = max(0, start - self.longest + 1)
+        _, weight, ids, spelt = self._tables([text[first : start + STRETCH]])
+        before = start - first
+        return weight[:, before:], ids[:, before:], [(e - before, raw) for e, raw in spelt if e >= before]
+
+    def _begun(self, text: str) -> np.ndarray:
+        """Log probabilities of a long text's beginnings, by their size."""
+        m = self.longest
+        alpha = np.full(m + len(text) + 1, -np.inf)  # m places before the text, which nothing reaches
+        alpha[m] = 0.0
+        for start in range(0, len(text), STRETCH):
+            weight = self._stretch(text, start)[0]
+            rows = np.full((weight.shape[1], m), -np.inf)
+            rows[:, m - len(weight) :] = weight[::-1].T  # as the places before an end stand
+            for t, row in enumerate(rows, m + start + 1):
+                alpha[t] = np.logaddexp.reduce(alpha[t - m : t] + row)
+        return alpha[m:]
+
+    def _expected_long(self, text: str, count: float) -> np.ndarray:
+        """As :meth:`expected`, of one long text: the backward recursion goes by the same stretches, the last first."""
+        m, alpha, out = self.longest, self._begun(text), np.zeros(len(self.log_p))
+        back = np.full(m + len(text) + 1, -np.inf)
+        back[-1] = 0.0
+        for start in reversed(range(0, len(text), STRETCH)):
+            weight, ids, spelt = self._stretch(text, start)
+            rows = np.full((weight.shape[1], m), -np.inf)
+            rows[:, m - len(weight) :] = weight[::-1].T
+            for k in range(len(rows) - 1, -1, -1):
+                t = m + start + k + 1
+                np.logaddexp(back[t - m : t], rows[k] + back[t], out=back[t - m : t])
+            for n in range(1, len(weight) + 1):
+                end = np.flatnonzero(weight[n - 1] > -np.inf)
+                place = start + end + 1
+                share = np.exp(alpha[place - n] + weight[n - 1, end] + back[m + place] - alpha[-1]) * count
+                piece = ids[n - 1, end]
+                out += np.bincount(piece[piece >= 0], share[piece >= 0], len(out))
+                if n == 1 and spelt:
+                    at = dict(zip(end.tolist(), share.tolist(), strict=True))
+                    for e, raw in spelt:
+                        np.add.at(out, self.bytes_[list(raw)], at.get(e, 0.0))
+        return out
+
     def forward(self, words: list[str]) -> np.ndarray:
         """Natural log probability of each word, over all segmentations."""
-        offsets, weight, _, _ = self._tables(words)
-        alpha = self._forward(offsets, weight)
-        return alpha[offsets[1:] + np.arange(len(words))] if len(words) else np.zeros(0)
+        out, long = np.zeros(len(words)), np.array([len(w) > LONG for w in words], bool)
+        for i in np.flatnonzero(long):
+            out[i] = self._begun(chr(MARK) + words[i])[-1]
+        short = [chr(MARK) + w for w in words if len(w) <= LONG]
+        if short:
+            offsets, weight, _, _ = self._tables(short)
+            out[~long] = self._forward(offsets, weight)[offsets[1:] + np.arange(len(short))]
+        return out
 
     def expected(self, words: list[str], counts: np.ndarray) -> np.ndarray:
         """Expected uses of each piece over ``counts`` copies of the words."""
-        offsets, weight, ids, spelt = self._tables(words)
+        long = np.array([len(w) > LONG for w in words], bool)
+        if long.any():
+            out = self.expected([w for w in words if len(w) <= LONG], counts[~long])
+            for i in np.flatnonzero(long):
+                out += self._expected_long(chr(MARK) + words[i], counts[i])
+            return out
+        offsets, weight, ids, spelt = self._tables([chr(MARK) + w for w in words])
         n_words, sizes = len(words), np.diff(offsets)
         alpha = self._forward(offsets, weight)
         owner = np.repeat(np.arange(n_words), sizes)
