@@ -46,6 +46,7 @@ from pyspark.sql import functions as F
 
 from tidepanel.llm import textvec as T
 from tidepanel.llm.components import connected_components, groups, merged, repeated, stretches
+from tidepanel.llm.skew import dealt
 from tidepanel.llm.store import drop, saved
 
 TOKENS = 64
@@ -167,11 +168,16 @@ def large_nodes(rows: DataFrame, small: int) -> DataFrame:
     return saved(per.where((F.col("m") > 1) & ((F.col("m") > small) | (F.col("weight") > MOST_SHINGLES))), "large")
 
 
+def in_nodes(rows: DataFrame, nodes: DataFrame, how: str = "inner") -> DataFrame:
+    """``rows`` joined to stored ``nodes`` (node, m, ...), those of a very large node in several tasks."""
+    return dealt(rows, nodes, ["node"], how, nodes.agg(F.coalesce(F.sum("m"), F.lit(0))).first()[0], nodes.select("node", F.col("m").alias("n")))
+
+
 def beside(rows: DataFrame, small: int) -> DataFrame:
     """Units that compare each class, in the largest of its large nodes, with a few hundred of that node."""
     one = rows.groupBy("id").agg(F.max_by(F.struct("node", "size", "component", "marks"), F.struct("m", "node")).alias("x")).select("id", "x.*")
     per = one.groupBy("node").agg(F.count("*").alias("m"), F.sum("size").alias("weight"))
-    one = one.join(per, "node").withColumn("parts", _parts("m", "weight", small))
+    one = dealt(one, per, ["node"], total=rows.count(), counts=per.select("node", F.col("m").alias("n"))).withColumn("parts", _parts("m", "weight", small))
     few = F.pmod(F.xxhash64("node", "id", F.lit(1)), F.ceil(F.col("m") / min(FEW, small)).cast("long")) == 0
     to = F.when(few, F.sequence(F.lit(0), F.col("parts") - 1)).otherwise(F.array(_block(F.col("parts"))))
     return units_of(one.withColumn("part", F.explode(to)), F.col("part"))
@@ -183,10 +189,10 @@ def settled(rows: DataFrame, small: int) -> tuple[DataFrame, DataFrame, DataFram
     per = per.groupBy("node").agg(F.max(F.struct("n", "component")).alias("top"), F.sum("n").alias("m"), F.sum("s").alias("weight"))
     per = saved(per.select("node", "m", "weight", F.col("top.n").alias("n"), F.col("top.component").alias("giant")).where("m > n"), "settled")
     few = F.col("m") - F.col("n") <= min(FEW, small)
-    held = rows.drop("m", "weight").join(per.where(few), "node").withColumn("parts", _parts("m", "weight", small))
+    held = in_nodes(rows.drop("m", "weight"), per.where(few)).withColumn("parts", _parts("m", "weight", small))
     to = F.when(F.col("component") == F.col("giant"), F.array(_block(F.col("parts")))).otherwise(F.sequence(F.lit(0), F.col("parts") - 1))
     units = units_of(held.withColumn("part", F.explode(to)), F.col("part"))
-    return units, rows.join(per.where(~few).select("node"), "node", "left_semi"), per
+    return units, in_nodes(rows, per.where(~few), "left_semi"), per
 
 
 def _laid(units: DataFrame, keys: list[str], *columns: str) -> DataFrame:
@@ -430,7 +436,7 @@ def near_duplicates(docs: DataFrame, k: int = 3, percent: int = 85, trees: int =
     large = large_nodes(rows, small)
     units, old, level = [], [large], 0
     if not large.isEmpty():
-        big = saved(rows.join(large, "node"), "nodes")
+        big = saved(in_nodes(rows, large), "nodes")
         while not big.isEmpty():
             if level % depth == 0:
                 parts, past = decide(beside(big, small), own, parts, texts, least, k, percent), parts
@@ -444,16 +450,16 @@ def near_duplicates(docs: DataFrame, k: int = 3, percent: int = 85, trees: int =
             drop(big, per)
             level += 1
             more = large_nodes(below, small)
-            units.append(saved(units_of(below.join(more, "node", "left_anti")), "units"))
-            big = saved(below.join(more, "node"), "nodes")
+            units.append(saved(units_of(in_nodes(below, more, "left_anti")), "units"))
+            big = saved(in_nodes(below, more), "nodes")
             drop(below, more)
-        rows = roots(labelled(own), threshold, trees).join(large, "node", "left_anti")
+        rows = in_nodes(roots(labelled(own), threshold, trees), large, "left_anti")
         old += units
         units = [labelled(x).select(*UNIT, "id", "component", "marks") for x in units]
     parts, past = decide(reduce(DataFrame.unionByName, units, units_of(rows)), own, parts, texts, least, k, percent), parts
     found = saved(own.join(parts, "id", "left").select("k1", "k2", F.coalesce("component", "id").alias("component"), F.lit(True).alias("can")), "found")
     members = saved(sketch.select("doc_id", "n_shingles", "k1", "k2", (F.col("tokens").isNotNull() & F.col("doc_id").isNotNull()).alias("can")), "members")
     drop(past, parts, own, sketch, *old)
-    out = members.join(found, ["k1", "k2", "can"], "left")
+    out = dealt(members, found, ["k1", "k2", "can"], "left")
     component = F.coalesce("component", "doc_id")
     return out.select("doc_id", "n_shingles", component.alias("component_id"), component.eqNullSafe(F.col("doc_id")).alias("kept"))

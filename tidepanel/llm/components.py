@@ -9,20 +9,25 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidepanel.llm.skew import dealt
 from tidepanel.llm.store import drop, saved
 
 
-def _stars(edges: DataFrame, large: bool) -> DataFrame:
-    """One half-round: neighbours of each node are tied to the least of them, or to the node if that is less."""
+def _stars(edges: DataFrame, large: bool, total: int) -> DataFrame:
+    """One half-round over at most ``total`` edges: neighbours of each node are tied to the least of them, or to the node if that is less.
+
+    Edges of a node that very many have, the middle of a large component, are dealt to several tasks.
+    """
     if large:
         both = edges.unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
     else:
         both = edges.select(F.greatest("src", "dst").alias("src"), F.least("src", "dst").alias("dst"))
-    least = both.groupBy("src").agg(F.min("dst").alias("low")).select("src", F.least("src", "low").alias("low"))
-    tied = both.join(least, "src")
+    least = both.groupBy("src").agg(F.min("dst").alias("low"), F.count("*").alias("n"))
+    low = least.select("src", F.least("src", "low").alias("low"))
+    tied = dealt(both, low, ["src"], total=2 * total if large else total, counts=least)
     if large:
         return tied.where("dst > src").select(F.col("dst").alias("src"), F.col("low").alias("dst")).distinct()
-    return tied.where("dst <> low").select(F.col("dst").alias("src"), F.col("low").alias("dst")).unionByName(least.where("src <> low").select("src", F.col("low").alias("dst"))).distinct()
+    return tied.where("dst <> low").select(F.col("dst").alias("src"), F.col("low").alias("dst")).unionByName(low.where("src <> low").select("src", F.col("low").alias("dst"))).distinct()
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
@@ -33,8 +38,9 @@ def connected_components(edges: DataFrame) -> DataFrame:
     round's table, which :func:`drop` of it deletes.
     """
     now, seen = saved(edges.where("src <> dst").select("src", "dst").distinct(), "edges"), None
+    total = now.count()  # rounds never add edges
     while True:
-        now, past = saved(_stars(_stars(now, True), False), "edges"), now
+        now, past = saved(_stars(_stars(now, True, total), False, total), "edges"), now
         drop(past)
         mark = now.agg(F.count("*"), F.sum(F.xxhash64("src", "dst").cast("decimal(38,0)"))).first()
         if mark == seen:
@@ -50,11 +56,11 @@ def merged(parts: DataFrame, links: DataFrame) -> DataFrame:
 
     Only components are tied anew, not all that they hold.
     """
-    ends = links
+    ends, total = links, links.count()
     for c in ("a", "b"):
-        ends = ends.join(parts.select(F.col("id").alias(c), F.col("component").alias(f"of_{c}")), c, "left")
+        ends = dealt(ends, parts.select(F.col("id").alias(c), F.col("component").alias(f"of_{c}")), [c], "left", total, links.groupBy(c).agg(F.count("*").alias("n")))
     new = connected_components(ends.select(F.coalesce("of_a", "a").alias("src"), F.coalesce("of_b", "b").alias("dst")))
-    known = parts.join(new.select(F.col("id").alias("component"), F.col("component").alias("to")), "component", "left")
+    known = dealt(parts, new.select(F.col("id").alias("component"), F.col("component").alias("to")), ["component"], "left")
     out = known.select("id", F.coalesce("to", "component").alias("component")).unionByName(new.join(parts, "id", "left_anti"))
     out = saved(out, "components")
     drop(new)

@@ -29,6 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidepanel.llm.components import connected_components, forest, groups, repeated
+from tidepanel.llm.skew import dealt
 from tidepanel.llm.store import cut, drop, saved
 
 
@@ -158,6 +159,6 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.9, tables: int | No
     whole = cut(whole.select("key", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "id").alias("component_id")))
     ids = cut(rows.select("vec_id", "key"))
     drop(rows, own, found)
-    out = ids.join(whole, "key", "left")
+    out = dealt(ids, whole, ["key"], "left")
     component = F.coalesce("component_id", "vec_id")
     return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), component.eqNullSafe(F.col("vec_id")).alias("kept"))
