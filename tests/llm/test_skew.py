@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidepanel.llm import components, vectors
+from tidepanel.llm import chosenpath, components, vectors
 from tidepanel.llm.skew import dealt
 
 
@@ -101,3 +101,22 @@ def test_vectors_that_cannot_link_and_copies(spark: SparkSession) -> None:
     assert len(got) == 1_500
     assert all(got[i] == (0, i, True) for i in range(0, 1_500, 3))
     assert all(got[i] == (499, 1, i == 1) for i in range(1, 1_500, 3))
+
+
+def test_rows_of_large_nodes_are_not_shuffled(many_partitions: SparkSession, tmp_path) -> None:
+    rows = many_partitions.range(20_000).select((F.col("id") % 3).alias("node"), "id")
+    rows.groupBy("node").agg(F.count("*").alias("m")).write.parquet(str(tmp_path / "nodes"))
+    nodes = many_partitions.read.parquet(str(tmp_path / "nodes"))
+    for how, n in (("inner", 20_000), ("left_semi", 20_000), ("left_anti", 0)):
+        held = chosenpath.in_nodes(rows, nodes, how)
+        assert "hashpartitioning" not in held._jdf.queryExecution().executedPlan().toString()
+        assert held.count() == n
+
+
+def test_components_without_edges_and_of_stars_take_one_round_at_most(spark: SparkSession, monkeypatch: pytest.MonkeyPatch) -> None:
+    rounds = []
+    monkeypatch.setattr(components, "_stars", lambda *a, stars=components._stars: rounds.append(a[1]) or stars(*a))
+    assert components.connected_components(spark.createDataFrame([], "src long, dst long")).count() == 0
+    assert rounds == []
+    assert dict(components.connected_components(spark.createDataFrame([(2, 1), (3, 1)], "src long, dst long")).collect()) == {1: 1, 2: 1, 3: 1}
+    assert len(rounds) == 2

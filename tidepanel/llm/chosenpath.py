@@ -47,7 +47,7 @@ from pyspark.sql import functions as F
 from tidepanel.llm import textvec as T
 from tidepanel.llm.components import connected_components, groups, merged, repeated, stretches
 from tidepanel.llm.skew import dealt
-from tidepanel.llm.store import drop, saved
+from tidepanel.llm.store import drop, gathered, saved
 
 TOKENS = 64
 FEW = 256
@@ -169,15 +169,18 @@ def large_nodes(rows: DataFrame, small: int) -> DataFrame:
 
 
 def in_nodes(rows: DataFrame, nodes: DataFrame, how: str = "inner") -> DataFrame:
-    """``rows`` joined to stored ``nodes`` (node, m, ...), those of a very large node in several tasks."""
-    return dealt(rows, nodes, ["node"], how, nodes.agg(F.coalesce(F.sum("m"), F.lit(0))).first()[0], nodes.select("node", F.col("m").alias("n")))
+    """``rows`` joined to stored large ``nodes``, which are few: each holds over ``small`` classes or MOST_SHINGLES shingles.
+
+    So the nodes are broadcast, and rows of a very large one stay where they are.
+    """
+    return rows.join(F.broadcast(nodes), "node", how)
 
 
 def beside(rows: DataFrame, small: int) -> DataFrame:
     """Units that compare each class, in the largest of its large nodes, with a few hundred of that node."""
     one = rows.groupBy("id").agg(F.max_by(F.struct("node", "size", "component", "marks"), F.struct("m", "node")).alias("x")).select("id", "x.*")
     per = one.groupBy("node").agg(F.count("*").alias("m"), F.sum("size").alias("weight"))
-    one = dealt(one, per, ["node"], total=rows.count(), counts=per.select("node", F.col("m").alias("n"))).withColumn("parts", _parts("m", "weight", small))
+    one = in_nodes(one, per).withColumn("parts", _parts("m", "weight", small))
     few = F.pmod(F.xxhash64("node", "id", F.lit(1)), F.ceil(F.col("m") / min(FEW, small)).cast("long")) == 0
     to = F.when(few, F.sequence(F.lit(0), F.col("parts") - 1)).otherwise(F.array(_block(F.col("parts"))))
     return units_of(one.withColumn("part", F.explode(to)), F.col("part"))
@@ -195,8 +198,10 @@ def settled(rows: DataFrame, small: int) -> tuple[DataFrame, DataFrame, DataFram
     return units, in_nodes(rows, per.where(~few), "left_semi"), per
 
 
-def _laid(units: DataFrame, keys: list[str], *columns: str) -> DataFrame:
-    return units.repartition(*keys).sortWithinPartitions(*keys, "id").select(*keys, *columns)
+def _laid(units: DataFrame, keys: list[str], *columns: str, rows: int | None = None) -> DataFrame:
+    """Rows by key, each key's in one partition; of ``rows`` rows at most, in no more partitions than these need."""
+    laid = units.repartition(*keys).sortWithinPartitions(*keys, "id").select(*keys, *columns)
+    return laid if rows is None else gathered(laid, rows, 1_000)
 
 
 def _agreeing(marks: np.ndarray, which: int) -> np.ndarray:
@@ -283,8 +288,8 @@ def forests(units: DataFrame, least: int) -> DataFrame:
     return _laid(units, UNIT, "id", "component", "marks").mapInArrow(run, f"node long, part int, tree long, a {kind}, b {kind}, same boolean")
 
 
-def undecided(rows: DataFrame, least: int) -> DataFrame:
-    """(node, part, tree, id, component, marks) of the ``rows`` that may reach one of another component in their tree."""
+def undecided(rows: DataFrame, least: int, most: int) -> DataFrame:
+    """(node, part, tree, id, component, marks) of the ``rows`` that may reach one of another component in their tree; ``rows`` are ``most`` at most."""
     names = [*TREE, "id", "component"]
     kind = dict(rows.dtypes)["id"]
 
@@ -295,7 +300,7 @@ def undecided(rows: DataFrame, least: int) -> DataFrame:
             live = np.array([i for i in range(len(own)) if ((_agreeing(marks, i) >= least) & (component != component[i])).any()], np.int64)
             yield from g.select(names).take(pa.array(live)).append_column("marks", _binary(own[live])).combine_chunks().to_batches()
 
-    return _laid(rows, TREE, "id", "component", "tokens").mapInArrow(run, f"node long, part int, tree long, id {kind}, component {kind}, marks binary")
+    return _laid(rows, TREE, "id", "component", "tokens", rows=most).mapInArrow(run, f"node long, part int, tree long, id {kind}, component {kind}, marks binary")
 
 
 def shared(sets: list[np.ndarray], width: int = 4096) -> np.ndarray:
@@ -375,8 +380,8 @@ def compared(rows: DataFrame, texts: DataFrame, least: int, k: int, percent: int
     return _laid(full, TREE, "id", "component", "marks", "text").mapInArrow(run, f"a {kind}, b {kind}").distinct()
 
 
-def confirmed(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
-    """(a, b, linked): whether the sets have 100 * intersection >= percent * union; ``texts`` has (id, text)."""
+def confirmed(pairs: DataFrame, texts: DataFrame, k: int, percent: int, most: int) -> DataFrame:
+    """(a, b, linked): whether the sets of the ``most`` pairs at most have 100 * intersection >= percent * union; ``texts`` has (id, text)."""
     kind = dict(pairs.dtypes)["a"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -389,31 +394,34 @@ def confirmed(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataF
                 yield pa.record_batch([part.column(0), part.column(1), pa.array(linked, pa.bool_())], ["a", "b", "linked"])
 
     one = pairs.join(texts.select(F.col("id").alias("a"), F.col("text").alias("x")), "a")
-    return one.join(texts.select(F.col("id").alias("b"), F.col("text").alias("y")), "b").select("a", "b", "x", "y").mapInArrow(run, f"a {kind}, b {kind}, linked boolean")
+    one = one.join(texts.select(F.col("id").alias("b"), F.col("text").alias("y")), "b").select("a", "b", "x", "y")
+    return gathered(one, most, 500).mapInArrow(run, f"a {kind}, b {kind}, linked boolean")
 
 
 def decide(units: DataFrame, classes: DataFrame, parts: DataFrame, texts: DataFrame, least: int, k: int, percent: int) -> DataFrame:
     """New components: ``parts`` (id, component; others are their own) with all links between the classes of each unit."""
     tied = saved(forests(units, least), "forests")
-    pairs = saved(tied.where("not same").select("a", "b").distinct(), "pairs")
-    ids = saved(tied.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "ids")
+    most = tied.count()
+    pairs = saved(gathered(tied.where("not same").select("a", "b").distinct(), most), "pairs")
+    ids = saved(gathered(tied.select(F.explode(F.array("a", "b")).alias("id")).distinct(), 2 * most), "ids")
     needed = saved(texts.join(ids, "id", "left_semi"), "needed")  # whole texts are shuffled this once
-    looked = saved(confirmed(pairs, needed, k, percent), "looked")
+    looked = saved(confirmed(pairs, needed, k, percent, most), "looked")
     drop(pairs, ids)
     now = merged(parts, looked.where("linked").select("a", "b"))
     doubtful = tied.join(looked.where("not linked").select("a", "b"), ["a", "b"], "left_semi").select(TREE).distinct()
     rows = tied.join(doubtful, TREE, "left_semi").select(*TREE, F.explode(F.array("a", "b")).alias("id")).distinct()
-    rows = saved(rows.join(now, "id", "left").withColumn("component", F.coalesce("component", "id")), "rows")
+    rows = saved(gathered(rows.join(now, "id", "left").withColumn("component", F.coalesce("component", "id")), 2 * most), "rows")
     drop(tied, looked)
     mixed = rows.groupBy(TREE).agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select(TREE)
     rows, past = rows.join(mixed, TREE, "left_semi"), rows
-    left = saved(undecided(rows.join(classes.select("id", "tokens"), "id"), least), "left")
+    left = saved(undecided(rows.join(classes.select("id", "tokens"), "id"), least, 2 * most), "left")
     drop(past)
     if left.isEmpty():
         drop(left, needed)
         return now
-    last = merged(now, compared(left, needed, least, k, percent))
-    drop(left, needed, now)
+    found = saved(compared(left, needed, least, k, percent), "links")
+    last = merged(now, found)
+    drop(left, needed, now, found)
     return last
 
 

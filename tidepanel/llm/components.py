@@ -6,46 +6,64 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidepanel.llm.skew import dealt
-from tidepanel.llm.store import drop, saved
+from tidepanel.llm.skew import HOT, LEAST, dealt
+from tidepanel.llm.store import drop, gathered, saved
 
 
-def _stars(edges: DataFrame, large: bool, total: int) -> DataFrame:
-    """One half-round over at most ``total`` edges: neighbours of each node are tied to the least of them, or to the node if that is less.
+def _hubs(edges: DataFrame, total: int) -> DataFrame | None:
+    """(src) of the nodes that over a HOT-th of the ``total`` edges touch, if any: at most 2 * HOT."""
+    if total <= LEAST:
+        return None
+    ends = edges.select(F.explode(F.array("src", "dst")).alias("src"))
+    hubs = ends.groupBy("src").count().where(F.col("count") > max(LEAST, total // HOT)).select("src")
+    found = hubs.collect()
+    return edges.sparkSession.createDataFrame(found, hubs.schema) if found else None
 
-    Edges of a node that very many have, the middle of a large component, are dealt to several tasks.
-    """
+
+def _lowest(edges: DataFrame, hubs: DataFrame | None) -> DataFrame:
+    """``edges`` with low, the least dst of the src; a hub's edges stay where they are and get it by a broadcast."""
+    low = F.min("dst")
+    if hubs is None:
+        return edges.withColumn("low", low.over(Window.partitionBy("src")))
+    rest = edges.join(F.broadcast(hubs), "src", "left_anti").withColumn("low", low.over(Window.partitionBy("src")))
+    held = edges.join(F.broadcast(hubs), "src", "left_semi")
+    return rest.unionByName(held.join(F.broadcast(held.groupBy("src").agg(low.alias("low"))), "src"))  # a row for each hub
+
+
+def _stars(edges: DataFrame, large: bool, hubs: DataFrame | None, total: int) -> DataFrame:
+    """One half-round over at most ``total`` edges: neighbours of each node are tied to the least of them, or to the node if that is less."""
     if large:
         both = edges.unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
-    else:
-        both = edges.select(F.greatest("src", "dst").alias("src"), F.least("src", "dst").alias("dst"))
-    least = both.groupBy("src").agg(F.min("dst").alias("low"), F.count("*").alias("n"))
-    low = least.select("src", F.least("src", "low").alias("low"))
-    tied = dealt(both, low, ["src"], total=2 * total if large else total, counts=least)
-    if large:
-        return tied.where("dst > src").select(F.col("dst").alias("src"), F.col("low").alias("dst")).distinct()
-    return tied.where("dst <> low").select(F.col("dst").alias("src"), F.col("low").alias("dst")).unionByName(low.where("src <> low").select("src", F.col("low").alias("dst"))).distinct()
+        tied = gathered(_lowest(both, hubs), 2 * total).where("dst > src")
+        return gathered(tied.select(F.col("dst").alias("src"), F.least("src", "low").alias("dst")).distinct(), total)
+    tied = gathered(_lowest(edges.select(F.greatest("src", "dst").alias("src"), F.least("src", "dst").alias("dst")), hubs), total)
+    ends = F.explode(F.when(F.col("dst") == F.col("low"), F.array("src")).otherwise(F.array("src", "dst")))
+    return gathered(tied.select(ends.alias("src"), F.col("low").alias("dst")).distinct(), total)
 
 
-def connected_components(edges: DataFrame) -> DataFrame:
+def connected_components(edges: DataFrame, most: int | None = None) -> DataFrame:
     """(src, dst) to (id, component): the least id that each id's edges lead to; ids without edges are left out.
 
     Large-star and small-star rounds, each written to the shared folder, until nothing changes. Edges may
     repeat, have either direction, or be loops; edges with a null end are none. The result reads the last
-    round's table, which :func:`drop` of it deletes.
+    round's table, which :func:`drop` of it deletes. ``most`` is a bound of the number of edges, if known.
     """
-    now, seen = saved(edges.where("src <> dst").select("src", "dst").distinct(), "edges"), None
-    total = now.count()  # rounds never add edges
-    while True:
-        now, past = saved(_stars(_stars(now, True, total), False, total), "edges"), now
+
+    def marked(table: DataFrame) -> tuple:
+        return table.agg(F.count("*"), F.sum(F.xxhash64("src", "dst").cast("decimal(38,0)"))).first()
+
+    now = edges.where("src <> dst").select("src", "dst").distinct()
+    now = saved(now if most is None else gathered(now, most), "edges")
+    mark, seen = marked(now), None
+    total = mark[0]  # rounds never add edges
+    while total and mark != seen:
+        hubs = _hubs(now, total)  # the second half of a round gives no node more edges than it had before the first
+        now, past = saved(_stars(_stars(now, True, hubs, total), False, hubs, total), "edges"), now
         drop(past)
-        mark = now.agg(F.count("*"), F.sum(F.xxhash64("src", "dst").cast("decimal(38,0)"))).first()
-        if mark == seen:
-            break
-        seen = mark
+        mark, seen = marked(now), mark
     out = now.select(F.col("src").alias("id"), F.col("dst").alias("component")).unionByName(now.select(F.col("dst").alias("id"), F.col("dst").alias("component")).distinct())
     out.path = now.path
     return out
@@ -54,15 +72,18 @@ def connected_components(edges: DataFrame) -> DataFrame:
 def merged(parts: DataFrame, links: DataFrame) -> DataFrame:
     """``parts`` (id, component) with what the links (a, b) tie together, written; ids not in ``parts`` are their own component.
 
-    Only components are tied anew, not all that they hold.
+    Only the links' ends and their components are tied anew, not all that these hold.
     """
-    ends, total = links, links.count()
-    for c in ("a", "b"):
-        ends = dealt(ends, parts.select(F.col("id").alias(c), F.col("component").alias(f"of_{c}")), [c], "left", total, links.groupBy(c).agg(F.count("*").alias("n")))
-    new = connected_components(ends.select(F.coalesce("of_a", "a").alias("src"), F.coalesce("of_b", "b").alias("dst")))
-    known = dealt(parts, new.select(F.col("id").alias("component"), F.col("component").alias("to")), ["component"], "left")
+    n = links.count()
+    if not n:
+        return saved(parts, "components")
+    ends = links.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    touched = parts.join(ends, "id", "left_semi").select(F.col("id").alias("src"), F.col("component").alias("dst"))
+    new = connected_components(links.select(F.col("a").alias("src"), F.col("b").alias("dst")).unionByName(touched), 3 * n)
+    total = parts.count()
+    known = dealt(parts, new.select(F.col("id").alias("component"), F.col("component").alias("to")), ["component"], "left", total)
     out = known.select("id", F.coalesce("to", "component").alias("component")).unionByName(new.join(parts, "id", "left_anti"))
-    out = saved(out, "components")
+    out = saved(gathered(out, total + 2 * n), "components")
     drop(new)
     return out
 

@@ -35,6 +35,11 @@ def small_batches(spark: SparkSession, size: str = "8m") -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)
 
 
+def gathered(df: DataFrame, rows: int, each: int = 50_000) -> DataFrame:
+    """``df`` in no more partitions than ``rows`` rows need at ``each`` a partition: many small files and tasks cost more than they hold."""
+    return df.coalesce(max(1, -(-rows // each)))
+
+
 def cut(df: DataFrame) -> DataFrame:
     """``df`` computed once and written to the shared folder: later reads survive lost executors."""
     shared_dir(df.sparkSession)
