@@ -270,3 +270,15 @@ def test_splits_as_a_table(spark: SparkSession) -> None:
     many = spark.range(10_000).selectExpr("cast(id as int) split_id", "date_add(DATE'2020-01-01', cast(id % 700 as int)) train_start").selectExpr("split_id", "train_start", "date_add(train_start, 60) train_end", "date_add(train_start, 61) test_start", "date_add(train_start, 70) test_end")
     plan = split.assign_by_table(df, many)
     assert "NestedLoop" not in plan._jdf.queryExecution().executedPlan().toString() and plan.count() > 400_000
+
+
+def test_ranges_are_found_by_few_comparisons(spark: SparkSession) -> None:
+    df = spark.range(3_000).select(F.expr("CASE WHEN id % 11 = 0 THEN NULL ELSE (id * 7919) % 500 END").alias("a"), (F.col("id") % 13).alias("b"), "id")
+    dealt = order._ranges(df, ["a", "b"], 64)
+    assert "filter(" not in dealt._jdf.queryExecution().optimizedPlan().toString().lower().replace("filter (", "")
+    rows = [((r["a"] is None, -1 if r["a"] is None else r["a"], r["b"]), r["_range"]) for r in dealt.collect()]
+    rows.sort()
+    assert [r for _, r in rows] == sorted(r for _, r in rows) and len({r for _, r in rows}) > 32
+    for n in (0, 1, 2, 3, 64):  # no bounds, fewer than ranges, as many
+        got = order.positions(df.limit(n), ["a", "b"], ranges=64).collect()
+        assert sorted(r["position"] for r in got) == list(range(n))

@@ -28,7 +28,10 @@ def _ranges(df: DataFrame, names: Sequence[str], ranges: int) -> DataFrame:
     sample = kept.select("k").orderBy("k").collect()
     step = max(1, -(-len(sample) // ranges))
     bounds = df.sparkSession.createDataFrame([([r["k"] for r in sample[step::step]],)], T.StructType([T.StructField("_bounds", T.ArrayType(kept.schema["k"].dataType))]))
-    return df.crossJoin(F.broadcast(bounds)).withColumn("_range", F.size(F.filter("_bounds", lambda b: b <= key))).drop("_bounds")  # one row
+    halves = F.array(*(F.lit(1 << i) for i in reversed(range(max(1, len(sample[step::step]).bit_length())))))
+    upto = lambda k: F.aggregate(halves, F.lit(0), lambda at, n: F.when(F.get("_bounds", at + n - 1) <= k, at + n).otherwise(at))
+    found = F.transform(F.array(key), upto)[0]  # by halves; the key is made once for each row
+    return df.crossJoin(F.broadcast(bounds)).withColumn("_range", found).drop("_bounds")  # one row
 
 
 def positions(df: DataFrame, by: Sequence[str], name: str = "position", ranges: int = 64) -> DataFrame:
