@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidepanel.operators import backtest, blocked, clean, evaluation, order, profile, regimes, signal, split, windows
+from tidepanel.plans import catalogue
 
 DAY = dt.date(2020, 1, 1)
 
@@ -282,3 +283,11 @@ def test_ranges_are_found_by_few_comparisons(spark: SparkSession) -> None:
     for n in (0, 1, 2, 3, 64):  # no bounds, fewer than ranges, as many
         got = order.positions(df.limit(n), ["a", "b"], ranges=64).collect()
         assert sorted(r["position"] for r in got) == list(range(n))
+
+
+def test_the_strategy_reads_the_lines_once(spark: SparkSession, sf: str, monkeypatch: pytest.MonkeyPatch) -> None:
+    read = []
+    monkeypatch.setattr(catalogue, "table", lambda s, d, name, table=catalogue.table: read.append(name) or table(s, d, name))
+    out = catalogue.traded(spark, sf)
+    assert read == ["lineitem", "part"]
+    assert "lineitem" not in " ".join(out.inputFiles())

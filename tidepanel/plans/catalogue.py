@@ -59,9 +59,29 @@ def macro(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reshape.pivot_first(weekly, ["Date"], "o_orderpriority", "v", "_seq", PRIORITIES)
 
 
+def stored(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """The panel and the benchmark by one pass over the lines: a row of sums for each week and brand, written to the shared folder.
+
+    The benchmark adds up the brands' sums; all are of decimals, so both hold the numbers of :func:`panel` and :func:`benchmark`.
+    """
+    sold = table(spark, sf_dir, "lineitem").join(table(spark, sf_dir, "part"), F.col("l_partkey") == F.col("p_partkey"))
+    cents = lambda c: F.sum(F.col(c).cast("decimal(18,2)"))
+    sums = sold.groupBy(_week("l_shipdate").alias("Date"), F.col("p_brand").alias("Ticker")).agg(cents("l_extendedprice").alias("paid"), cents("l_quantity").alias("units"))
+    path = writers.scratch(spark, "panel")
+    sums.coalesce(8).write.parquet(path)  # as many rows as the panel, and no more with more lines
+    kept = spark.read.schema(sums.schema).parquet(path)
+    price = lambda c: C.ratio(c("paid").cast("double"), c("units").cast("double"))
+    bench = kept.groupBy("Date").agg(price(F.sum).alias("bpx"))
+    return kept.select("Date", "Ticker", price(F.col).alias("Price"), F.col("units").cast("double").alias("Volume")), bench
+
+
 def returns(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The panel with r, ma20, sd20 and vma20."""
-    return features.equity_features(panel(spark, sf_dir)).select("Date", "Ticker", "Price", "Volume", "Return_raw", "Return_MA20", "Return_STD20", "Volume_MA20", "Ret_5d_fwd")
+    return returns_of(panel(spark, sf_dir))
+
+
+def returns_of(p: DataFrame) -> DataFrame:
+    return features.equity_features(p).select("Date", "Ticker", "Price", "Volume", "Return_raw", "Return_MA20", "Return_STD20", "Volume_MA20", "Ret_5d_fwd")
 
 
 def valid_week(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -942,16 +962,16 @@ def _(s: SparkSession, d: str) -> DataFrame:
 RIDGE, ENTER, LEAVE, COST = 2.0, 0.51, 0.495, 0.001
 
 
-def returns_beside(s: SparkSession, d: str) -> DataFrame:
+def returns_beside(p: DataFrame, bench: DataFrame) -> DataFrame:
     """(Date, Ticker, Price, r, br, ma20, sd20): the panel's returns beside the benchmark's."""
-    own = returns(s, d).select("Date", "Ticker", "Price", F.col("Return_raw").alias("r"), F.col("Return_MA20").alias("ma20"), F.col("Return_STD20").alias("sd20"))
-    return joins.on_date(own, features.benchmark_returns(benchmark(s, d), "bpx").select("Date", F.col("Bench_Return_raw").alias("br")))
+    own = returns_of(p).select("Date", "Ticker", "Price", F.col("Return_raw").alias("r"), F.col("Return_MA20").alias("ma20"), F.col("Return_STD20").alias("sd20"))
+    return joins.on_date(own, features.benchmark_returns(bench, "bpx").select("Date", F.col("Bench_Return_raw").alias("br")))
 
 
-def labelled(s: SparkSession, d: str) -> DataFrame:
+def labelled(p: DataFrame, bench: DataFrame) -> DataFrame:
     """Rows of all splits, features scaled by split and ticker, with the label."""
-    df = returns_beside(s, d).withColumn("label", signal.next_sign(F.col("r"), F.col("br"))).select("Date", "Ticker", "ma20", "sd20", "label")
-    a = split.assign(df, splits(panel(s, d)))
+    df = returns_beside(p, bench).withColumn("label", signal.next_sign(F.col("r"), F.col("br"))).select("Date", "Ticker", "ma20", "sd20", "label")
+    a = split.assign(df, splits(p))
     return scale.transform(a, scale.fit(a, ("ma20", "sd20")), ("ma20", "sd20"))
 
 
@@ -976,26 +996,27 @@ LOGIT = splits_sql("rolling") + FIT + f""", {BENCH}, bb AS (SELECT d, bpx / null
   said AS MATERIALIZED (SELECT t.split_id, d, k, 1 / (1 + exp(-(b + w1 * z1 + w2 * z2))) AS p FROM t JOIN model ON t.split_id = model.split_id WHERE part = 'test')"""
 
 
-def said(s: SparkSession, d: str) -> DataFrame:
-    rows_ = labelled(s, d)
+def said(p: DataFrame, bench: DataFrame) -> DataFrame:
+    rows_ = labelled(p, bench)
     return signal.forecasts(rows_, signal.fit(rows_, ("ma20", "sd20"), ridge=RIDGE), ("ma20", "sd20"))
 
 
 @register("logit_models", f"WITH RECURSIVE {LOGIT} SELECT split_id, n_train, round(b, 6) AS intercept, round(w1, 6) AS w_ma20, round(w2, 6) AS w_sd20 FROM model JOIN n USING (split_id)")
 def _(s: SparkSession, d: str) -> DataFrame:
-    m = signal.fit(labelled(s, d), ("ma20", "sd20"), ridge=RIDGE)
+    m = signal.fit(labelled(*stored(s, d)), ("ma20", "sd20"), ridge=RIDGE)
     return m.select("split_id", "n_train", r6("intercept").alias("intercept"), r6(F.col("weights")[0]).alias("w_ma20"), r6(F.col("weights")[1]).alias("w_sd20"))
 
 
 @register("logit_forecasts", f"WITH RECURSIVE {LOGIT} SELECT split_id, d, k, round(p, 6) AS p FROM said")
 def _(s: SparkSession, d: str) -> DataFrame:
-    return said(s, d).select("split_id", F.col("Date").alias("d"), F.col("Ticker").alias("k"), r6("p").alias("p"))
+    return said(*stored(s, d)).select("split_id", F.col("Date").alias("d"), F.col("Ticker").alias("k"), r6("p").alias("p"))
 
 
 def traded(s: SparkSession, d: str) -> DataFrame:
     """The strategy on every row of the panel; months before the first split have no forecast."""
-    p = said(s, d).select("Date", "Ticker", "p")
-    return backtest.strategy(returns_beside(s, d).join(p, ["Date", "Ticker"], "left"), enter=ENTER, leave=LEAVE, cost=COST)
+    p, bench = stored(s, d)
+    told = said(p, bench).select("Date", "Ticker", "p")
+    return backtest.strategy(returns_beside(p, bench).join(told, ["Date", "Ticker"], "left"), enter=ENTER, leave=LEAVE, cost=COST)
 
 
 TRADED = LOGIT + f""", f AS (SELECT rb.*, p FROM rb LEFT JOIN said ON rb.d = said.d AND rb.k = said.k),
