@@ -291,3 +291,9 @@ def test_the_strategy_reads_the_lines_once(spark: SparkSession, sf: str, monkeyp
     out = catalogue.traded(spark, sf)
     assert read == ["lineitem", "part"]
     assert "lineitem" not in " ".join(out.inputFiles())
+
+
+def test_stored_panel_and_benchmark_equal_the_direct_ones(spark: SparkSession, sf: str) -> None:
+    for got, want in zip(catalogue.stored(spark, sf), (catalogue.panel(spark, sf), catalogue.benchmark(spark, sf)), strict=True):
+        assert got.dtypes == want.dtypes
+        assert got.exceptAll(want).count() == want.exceptAll(got).count() == 0
